@@ -5,13 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, exact_dedup, packing
+from . import bit_sliced, byte_bpe, exact_dedup, packing, quality_crf, toxicity
 from ._io import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _fold(folds):
+    """The remainder of the id's checksum, on which held-out rows are chosen."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def _scored(scores, folds, held_out, threshold):
+    return scores.select(
+        "doc_id",
+        F.coalesce(_fold(folds) == held_out, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
+    return _scored(toxicity.score(docs, model), 3, 1, 0.7)
+
+
+def op4_quality_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    theta = quality_crf.train(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return _scored(quality_crf.score(docs, theta), 5, 0, 0.3)
+
+
 def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -29,6 +55,8 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_crf": op4_quality_crf,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
