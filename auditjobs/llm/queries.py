@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, exact_dedup, packing, quality_crf, toxicity
+from . import bit_sliced, byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_crf, toxicity
 from ._io import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,10 @@ def _scored(scores, folds, held_out, threshold):
     )
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("rid")
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
@@ -42,6 +46,10 @@ def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_top_k(spark, sf_dir):
     return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -55,9 +63,11 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_quality_crf": op4_quality_crf,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_html_extraction": op6_html_extraction,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
