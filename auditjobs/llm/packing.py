@@ -20,32 +20,45 @@ CAPACITY = 4096
 #: Closes each document.
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew. Only speed depends on it.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_000_000
+
+
+#: Marks that often close a word, and Latin letters that no normalisation changes.
+_CLOSING = {".", ","}
+_PLAIN = {chr(c) for c in range(97, 0x180) if chr(c).isalpha() and chr(c).lower() == chr(c)}
 
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
-    """(encoder, the pattern of its first split, whether an id ends a part, remembered words)."""
+    """(encoder, encoder of plain words, the pattern of the first split, whether an id ends a part, remembered words)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     encoder = Tokenizer.from_file(path)
     spec = json.loads(encoder.to_str())
     suffix = spec["model"].get("end_of_word_suffix") or ""
     ends = np.zeros(encoder.get_vocab_size(), bool)
     ends[[i for token, i in encoder.get_vocab().items() if suffix and token.endswith(suffix)]] = True
-    return encoder, regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), ends, {}
+    pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    plain = Tokenizer.from_file(path)  # for words of plain letters, which normalisation and splits leave as they are
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return encoder, plain, pattern, ends, {}
 
 
 def _encode_each(encoder, pattern, ends, words: list[str]) -> list[bytes]:
-    """Ids of each word, from one call over all of them: the parts of a word are counted, and each part ends with one id that says so."""
+    """Ids of each word, from one call over all of them: the parts of a word are counted, and each part ends with one id that says so.
+
+    Without a pattern each word is one part.
+    """
     ids = np.array(encoder.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-    parts = np.cumsum([len(pattern.findall(unicodedata.normalize("NFC", word).lower())) for word in words])
+    counts = [len(pattern.findall(unicodedata.normalize("NFC", word).lower())) for word in words] if pattern else np.ones(len(words), int)
+    parts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     stops = np.flatnonzero(ends[ids]) + 1
-    if len(stops) != (parts[-1] if len(parts) else 0):  # this library's Unicode tables differ from the encoder's
+    if len(stops) != parts[-1]:  # this library's Unicode tables differ from the encoder's
         return [np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
-    bounds = np.concatenate([[0], stops])[np.concatenate([[0], parts]).astype(np.int64)] * 4
+    bounds = np.concatenate([[0], stops])[parts] * 4
     data, bounds = ids.tobytes(), bounds.tolist()
     return [data[i:j] for i, j in zip(bounds, bounds[1:])]
 
@@ -56,18 +69,27 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
     For tokenizers that never join characters across blanks or line ends, such
     as the word BPE here: each run between them is encoded once and remembered.
     """
-    encoder, pattern, ends, known = _encoder(path)
+    encoder, plain, pattern, ends, known = _encoder(path)
     if len(known) > WORDS_KEPT:
         known.clear()
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    new = list({word for words in split for word in words if word not in known})
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        known.update(zip(some, _encode_each(encoder, pattern, ends, some)))
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
+    # the encoder lower-cases by itself; done before, forms of a word meet in one entry (the skipped letters fold by context)
+    split = [(text if "Σ" in text or "İ" in text else text.lower()).replace("\n", " ").split(" ") for text in texts]
+    new = list(set().union(*split).difference(known))
+    closed = [word for word in new if word[-1:] in _CLOSING and word[-2:-1] in _PLAIN]
+    if closed:  # a part ends between a letter and a mark, so the word and the mark are encoded apart
+        taken = set(closed)
+        new = list({word for word in new if word not in taken} | {word[:-1] for word in closed if word[:-1] not in known} | (_CLOSING - known.keys()))
+    simple, rest = [], []
     for word in new:
-        if len(word) > 64:
-            del known[word]
+        (simple if word and _PLAIN.issuperset(word) else rest).append(word)
+    for words, by, split_at in ((simple, plain, None), (rest, encoder, pattern)):
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            known.update(zip(some, _encode_each(by, split_at, ends, some)))
+    known.update([(word, known[word[:-1]] + known[word[-1]]) for word in closed])
+    out = [b"".join(map(known.__getitem__, words)) for words in split]
+    for word in [word for word in new if len(word) > 64] + [word for word in closed if len(word) > 64]:
+        del known[word]
     return out
 
 
