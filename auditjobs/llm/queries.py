@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_crf, toxicity
+from . import bit_sliced, byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_crf, repeat_removal, toxicity
 from ._io import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,10 @@ def op6_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_repeat_removal(spark, sf_dir):
+    return repeat_removal.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("rid", "kept_text")
+
+
 def op8_exact_top_k(spark, sf_dir):
     return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_quality_crf": op4_quality_crf,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_html_extraction": op6_html_extraction,
+    "op7_repeat_removal": op7_repeat_removal,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
