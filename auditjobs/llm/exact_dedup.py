@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import Scratch, pick
+from ._io import Scratch
 
 #: Bytes of a block of the lowest level.
 BLOCK_BYTES = 4096
@@ -26,8 +26,11 @@ def exact_dedup(
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
     fingerprint: Callable[[Column], Column] = F.xxhash64,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, rid.
+
+    rid numbers the rows; with ``row_col`` it is that column, a distinct long.
 
     Texts are cut into blocks of ``block_bytes`` bytes. Distinct blocks are
     sorted and named by integers; then adjacent names are paired and the
@@ -46,9 +49,9 @@ def exact_dedup(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     body = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
-    base = pick(docs, doc_id=id_col, text=text_col).select(
-        "doc_id", body.alias("body"), F.monotonically_increasing_id().alias("rid")
-    )
+    rid = docs[f"`{row_col}`"] if row_col else F.monotonically_increasing_id()
+    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), rid.alias("rid"))
+    base = base.select("doc_id", body.alias("body"), "rid")
     last = F.greatest(F.ceil(F.length("body") / F.lit(block_bytes)), F.lit(1)).cast("int") - 1
     blocks_of = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * block_bytes + 1, F.lit(block_bytes)))
 
@@ -119,4 +122,5 @@ def exact_dedup(
         "group_size",
         (F.col("rid") == F.col("keep.rid")).alias("kept"),
         "text_sha256",
+        "rid",
     )

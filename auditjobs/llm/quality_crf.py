@@ -190,18 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
 
 
 def score(docs: DataFrame, theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (and the columns named in ``keep``): one narrow pass over whole texts. Null texts count as empty."""
+    """doc_id, score, and as column0, column1, ... the columns named in ``keep``: one narrow pass over whole texts. Null texts count as empty."""
 
     def batches(stream):
         for batch in stream:
             out = np.zeros(batch.num_rows)
             for lo, data, offsets in runs(batch.column(1)):
                 out[lo : lo + len(offsets) - 1] = document_scores(theta, *line_features(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], names)
-
-    columns = {"doc_id": id_col, "text": text_col} | {f"kept{i}": c for i, c in enumerate(keep)}
-    chosen = pick(docs, **columns)
-    kinds = dict(chosen.dtypes)
-    names = ["doc_id", "score", *(c for c in columns if c.startswith("kept"))]
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", "score double", *(f"{c} {kinds[c]}" for c in names[2:])])
-    return chosen.mapInArrow(batches, schema).withColumnsRenamed({f"kept{i}": c for i, c in enumerate(keep)})
+            held = iter(batch.columns[2:])
+            carried = [batch.column(0) if c == id_col else batch.column(1) if c == text_col else next(held) for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *carried], ["doc_id", "score", *(f"column{i}" for i in range(len(keep)))])
+
+    others = {f"column{i}": c for i, c in enumerate(keep) if c not in (id_col, text_col)}
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"doc_id {kinds[id_col]}", "score double", *(f"column{i} {kinds[c]}" for i, c in enumerate(keep))])
+    return pick(docs, doc_id=id_col, text=text_col, **others).mapInArrow(batches, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_crf, repeat_removal, toxicity
+from . import bit_sliced, byte_bpe, exact_dedup, html_extract, lm_score, ngram_join, packing, quality_crf, repeat_removal, toxicity
 from ._io import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,7 +27,12 @@ def _scored(scores, folds, held_out, threshold):
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("rid")
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_lm_score(spark, sf_dir):
+    scores = lm_score.stupid_backoff(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
 
 
 def op3_toxicity(spark, sf_dir):
@@ -63,11 +68,12 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def op10_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_lm_score": op2_lm_score,
     "op3_toxicity": op3_toxicity,
     "op4_quality_crf": op4_quality_crf,
     "op5_byte_bpe": op5_byte_bpe,
@@ -79,6 +85,28 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_lm_score": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), o AS (
+            SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+        ), n1 AS (SELECT word, count(*) AS c1 FROM o GROUP BY word),
+        n2 AS (SELECT before, word, count(*) AS c2 FROM o WHERE before IS NOT NULL GROUP BY before, word),
+        s AS (
+            SELECT o.doc_id, CASE
+                WHEN o.before IS NULL THEN ln(a.c1 / t.n)
+                WHEN n2.c2 >= 2 THEN ln(n2.c2 / b.c1)
+                ELSE ln(0.4) + ln(a.c1 / t.n) END AS x
+            FROM o CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM o) t
+            JOIN n1 a ON a.word = o.word LEFT JOIN n1 b ON b.word = o.before
+            LEFT JOIN n2 ON n2.before = o.before AND n2.word = o.word
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(r.x, 0.0), 3) AS log_score
+        FROM d LEFT JOIN (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id) r USING (doc_id)""",
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e

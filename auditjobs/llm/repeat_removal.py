@@ -368,7 +368,7 @@ def _compare_segments(window: int):
     return compare
 
 
-def _without(window_free: bool):
+def _without(texts: bool, kept_columns: int):
     def apply(stream):
         for batch in stream:
             n, removed, spans, digests, kept = [], [], [], [], []
@@ -385,16 +385,19 @@ def _without(window_free: bool):
                 removed.append(len(text) - len(rest))
                 spans.append(len(lo))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode("utf-8", "ignore") if window_free else None)
+                kept.append(rest.decode("utf-8", "ignore") if texts else None)
             columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"column{i}" for i in range(kept_columns))]
+            yield pa.RecordBatch.from_arrays(columns + batch.columns[4:], names)
 
     return apply
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (null unless ``texts``).
 
+    column0, column1, ... follow: the input's columns named in ``keep``.
+
     Texts are UTF-8 bytes, a null text has none. A byte is removed if a string of ``window`` bytes over it
     also starts earlier: in a document with a smaller id, or in the same document before. Of rows with
     equal ids the one read first counts as earlier; a null id comes before all others. Strings are judged on the input.
@@ -409,8 +412,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), shuffle_parts(spark)
-    base = pick(docs, doc_id=id_col, text=text_col).select(
-        F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named")
+    carried = {f"column{i}": c for i, c in enumerate(keep)}
+    base = pick(docs, doc_id=id_col, text=text_col, **carried).select(
+        F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named"), *carried
     )
     rows = scratch.cut(
         base.select("rid", "doc_id", "body").mapInArrow(_anchor_rows(window, gram, parts), _WIDE).repartition(parts, "part").mapInArrow(_meet_anchors, _SPANS),
@@ -427,6 +431,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     )
     spans = rows.filter(F.col("kind") == REPEATED).unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     spans = scratch.cut(spans, "spans")
-    joined = base.select("rid", "named", "body").join(broadcast_if_small(spans), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found")
-    kind = dict(joined.dtypes)["doc_id"]
-    return joined.mapInArrow(_without(texts), f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    joined = base.select("rid", "named", "body", *carried).join(broadcast_if_small(spans), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found", *carried)
+    kinds = dict(joined.dtypes)
+    schema = ", ".join([f"rid long, doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"{c} {kinds[c]}" for c in carried)])
+    return joined.mapInArrow(_without(texts, len(keep)), schema)
