@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._io import Scratch, broadcast_if_small, pick, shuffle_parts
+from ._io import Scratch, broadcast_if_small, shuffle_parts
 from ._text import SEPARATORS, hashes, mix, runs, shingles, spans, sums, word_values
 
 #: Cells of the shingle frequency sketch, and cells of one row of it.
@@ -240,10 +240,11 @@ class Index:
         heap. A set found there is then looked up in the long lists by binary search.
         """
         n = len(query)
+        if not n or not len(self.vocabulary):
+            return
         at = np.searchsorted(self.vocabulary, query)
         at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == query if len(self.vocabulary) else np.zeros(n, bool)
-        sizes = np.where(known, self.last[at] - self.first[at], 0) if n else np.zeros(0, int)
+        sizes = np.where(self.vocabulary[at] == query, self.last[at] - self.first[at], 0)
         least = -(-num * n // den)
         order = np.argsort(sizes, kind="stable")
         short = order[: n - (least - 1)]
@@ -386,9 +387,10 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("settled")).alias("open")).filter("open > 0")
     sizes = scratch.cut(sizes, "sizes")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(TILE_SETS)).cast("int")
-    rows = large.join(labels.select("sid", "label", "settled"), "sid").join(broadcast_if_small(sizes), "component")
+    rows = scratch.cut(large.join(labels.select("sid", "label", "settled"), "sid").join(broadcast_if_small(sizes), "component"), "rows")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     left = rows.filter(~F.col("settled")).select("component", "sid", "label", "tokens", F.pmod(F.xxhash64("sid", F.lit(7)), blocks("open")).cast("int").alias("i"), every("n").alias("j"))
+    left = scratch.cut(left, "open")
     right = rows.select("component", "sid", "label", "tokens", every("open").alias("i"), F.pmod(F.xxhash64("sid", F.lit(8)), blocks("n")).cast("int").alias("j"))
     tile = ["component", "i", "j"]
     links.append(left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_verify_tiles(num, den), "a long, b long"))
@@ -398,14 +400,17 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
 # ---- the join ----------------------------------------------------------------------------------
 
 
-def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, rid.
+def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, first, rid.
+
+    rid numbers the rows; with ``row_col`` it is that column, a distinct long. first marks one row of
+    each component, one of the smallest id.
 
     Two documents link when den * intersection >= num * union of their sets of
     n-word shingles (fewer words: the whole sequence as one shingle). component_id is the smallest id
     reachable by links. A null, empty or blank text has no shingles and is its own component. Rows of
     equal sets are one node from the start, so groups of copies of any size cost one set. Null ids
-    count last: a component has a null id only if all its ids are null. rid numbers the rows.
+    count last: a component has a null id only if all its ids are null.
 
     Steps: set ids; keys that any two linked sets share (see :func:`keys`); candidate groups, the
     components over shared keys; T-occurrence search (DivideSkip) within them, so that every
@@ -413,7 +418,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = pick(docs, doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    rid = docs[f"`{row_col}`"] if row_col else F.monotonically_increasing_id()
+    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), rid.alias("rid"))
     kind = dict(base.dtypes)["doc_id"]
 
     def numbered(stream):
@@ -456,8 +462,13 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = components(scratch.cut(joined, "links"), scratch)
     classed = sets.join(classes, sets["sid"] == classes["node"], "left").select("rid", "doc_id", "n_shingles", F.coalesce("component", "sid").alias("class"))
     classed = scratch.cut(classed, "classed")
-    firsts = scratch.cut(classed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")), "firsts")
-    return (
-        classed.join(firsts, "class", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rid")
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    firsts = scratch.cut(classed.filter("class is not null").groupBy("class").agg(F.min(by_id).alias("lead")), "firsts")
+    alone = F.col("class").isNull()
+    return classed.join(firsts, "class", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"),
+        (alone | (F.col("rid") == F.col("lead.rid"))).alias("first"),
+        "rid",
     )
