@@ -63,6 +63,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def broadcast_if_light(df: DataFrame, column: str, rows: int = BROADCAST_ROWS, size: int = 48 << 20) -> DataFrame:
+    """The same for rows whose size is mostly in one binary column, with a bound on its bytes too."""
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if held["n"] <= rows and held["size"] <= size else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import Scratch, broadcast_if_small, pick, shuffle_parts
+from ._io import Scratch, broadcast_if_light, pick, shuffle_parts
 from ._text import hashes, mix, runs, sums
 
 #: Bytes of a repeated string, and of the substrings whose least hash anchors it.
-WINDOW, GRAM = 100, 20
-#: Anchors that a task combines before it passes them on.
+WINDOW, GRAM = 100, 40
+#: Anchors, or single strings, that a task combines before it passes them on.
 BUFFER_ANCHORS = 1 << 20
 #: Different segments of one anchor that are ordered together; beyond it their strings are dealt out singly.
-ANCHOR_SEGMENTS = 1024
+ANCHOR_SEGMENTS = 2000
 #: Segments of one column-wise construction.
-BATCH_SEGMENTS = 2048
+BATCH_SEGMENTS = 1024
 
 U = np.uint64
 _POSITION = 28  # bits of the position in a packed hash; a text may have 2**28 bytes
@@ -28,15 +28,10 @@ _POSITION = 28  # bits of the position in a packed hash; a text may have 2**28 b
 # ---- column-wise construction --------------------------------------------------------------------
 
 
-def _least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _least(table: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minimum of an array over lo..hi, from its sparse table."""
     k = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(lo), levels[0].dtype)
-    for level in np.unique(k):
-        at = np.flatnonzero(k == level)
-        row = levels[level]
-        out[at] = np.minimum(row[lo[at]], row[hi[at] - (1 << level) + 1])
-    return out
+    return np.minimum(table[k, lo], table[k, hi + 1 - (1 << k)])
 
 
 def column_wise(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,48 +46,48 @@ def column_wise(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cap:
     kind = np.uint8 if not len(data) or data.max() < 255 else np.uint16
     symbols = data.astype(kind) + kind(1)
     bwt, common = np.zeros(n, kind), np.zeros(n, np.uint8)
-    names = np.arange(n, dtype=np.int64) << 32
+    string, length = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     row = np.arange(n)
     ends = starts + lengths
     alive = np.arange(n)
+    total = n + int(lengths.sum())
+    table = np.zeros((max(1, total.bit_length()), total), np.uint8)
+    place = np.empty(total, np.int32)
     for j in range(1, int(lengths.max()) + 1 if n else 0):
         alive = alive[lengths[alive] >= j]
-        bwt[row[alive]] = symbols[ends[alive] - j]
+        at = row[alive]
+        bwt[at] = symbols[ends[alive] - j]
         size = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        place = np.empty(size, np.int64)
-        place[order] = np.arange(size)
-        finished = int(np.searchsorted(bwt[order], 1)) if size else 0
-        at = row[alive]
-        k = place[at]
+        place[order] = np.arange(size, dtype=np.int32)
+        finished = size - int(np.count_nonzero(bwt))
+        k = place[at].astype(np.int64)
         new = n + k - finished
-        levels = [common]
-        while 2 << (len(levels) - 1) <= size:
-            half = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+        table[0, :size] = common
+        level, half = 1, 1
+        while 2 * half <= size:
+            np.minimum(table[level - 1, : size - 2 * half + 1], table[level - 1, half : size - half + 1], out=table[level, : size - 2 * half + 1])
+            level, half = level + 1, 2 * half
         above, below = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, size - 1)]
         symbol = bwt[at]
-        before = np.zeros(len(at), np.uint8)
-        after = np.zeros(len(at), np.uint8)
-        same = (k > 0) & (bwt[above] == symbol)
-        before[same] = np.minimum(_least(levels, above[same] + 1, at[same]), cap - 1) + 1
-        same = (k + 1 < size) & (bwt[below] == symbol)
-        after[same] = np.minimum(_least(levels, at[same] + 1, below[same]), cap - 1) + 1
+        top, bottom = (k > 0) & (bwt[above] == symbol), (k + 1 < size) & (bwt[below] == symbol)
+        before = np.where(top, np.minimum(_least(table, np.where(top, above + 1, 0), np.where(top, at, 0)), cap - 1) + 1, 0).astype(np.uint8)
+        after = np.where(bottom, np.minimum(_least(table, np.where(bottom, at + 1, 0), np.where(bottom, below, 0)), cap - 1) + 1, 0).astype(np.uint8)
         old = np.ones(size + len(at), bool)
         old[new] = False
         grown = []
-        for array in (bwt, common, names):
+        for array in (bwt, common, string, length):
             wider = np.zeros(len(old), array.dtype)
             wider[old] = array
             grown.append(wider)
-        bwt, common, names = grown
-        names[new] = (alive << 32) | j
+        bwt, common, string, length = grown
+        string[new], length[new] = alive, j
         common[new] = before
         follows = new + 1 < len(common)
         common[new[follows] + 1] = after[follows]
         row[alive] = new
         # finished strings keep their sentinel; their rows are not needed again
-    return names >> 32, names & 0xFFFFFFFF, common
+    return string.astype(np.int64), length.astype(np.int64), common
 
 
 def repeated_windows(segments: list[bytes], order: np.ndarray, window: int) -> list[np.ndarray]:
@@ -172,15 +167,52 @@ def merged(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return rid[first], lo[first], reach[last] - shift[last]
 
 
-_SPANS = "kind int, rid long, lo long, hi long, anchor long"
-#: Kinds of rows: a repeated span, a segment to compare within its anchor, a segment whose strings are compared singly.
+_BUNDLE = "part int, kinds binary, rids binary, los binary, his binary, anchors binary, packed array<binary>"
+#: Kinds of spans: repeated, to compare within its anchor, to compare string by string.
 REPEATED, CLOSE, SINGLE = 0, 1, 2
+_NAMES = ["part", "kinds", "rids", "los", "his", "anchors", "packed"]
+
+
+def _bundle(parts: int, kind: int, rid, lo, hi, anchor=None) -> pa.RecordBatch:
+    """Spans in one row per part of the documents."""
+    anchor = np.zeros(len(rid), np.int64) if anchor is None else anchor
+    part = rid % parts
+    by = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[by], np.arange(parts + 1))
+    columns = [x[by].astype(t) for x, t in ((rid, "<i8"), (lo, "<i4"), (hi, "<i4"), (anchor, "<i8"))]
+    rows = [(p, np.full(j - i, kind, np.uint8).tobytes(), *(x[i:j].tobytes() for x in columns)) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+    arrays = [pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(rows), pa.list_(pa.binary()))], _NAMES)
+
 
+_FOUND = np.dtype([("kind", "u1"), ("lo", "<i4"), ("hi", "<i4"), ("anchor", "<i8")])
 
-def _span_rows(kind, rid, lo, hi, anchor=None):
-    n = len(rid)
-    columns = [pa.array(np.full(n, kind), pa.int32()), *(pa.array(x, pa.int64()) for x in (rid, lo, hi, np.zeros(n, np.int64) if anchor is None else anchor))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "rid", "lo", "hi", "anchor"])
+
+def _by_document(repeated: bool):
+    """Per part of the documents: rid and its spans in one binary; repeated spans merged."""
+
+    def gather(stream):
+        held = []
+        for batch in stream:
+            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES[1:6])):
+                held.append([np.frombuffer(x, t) for x, t in zip(row, ("u1", "<i8", "<i4", "<i4", "<i8"))])
+        if not held:
+            return
+        kind, rid, lo, hi, anchor = (np.concatenate(x) for x in zip(*held))
+        mine = (kind == REPEATED) == repeated
+        kind, rid, lo, hi, anchor = (x[mine] for x in (kind, rid, lo, hi, anchor))
+        if repeated:
+            rid, lo, hi = merged(rid, lo.astype(np.int64), hi.astype(np.int64))
+            kind, anchor = np.zeros(len(rid), np.uint8), np.zeros(len(rid), np.int64)
+        by = np.argsort(rid, kind="stable")
+        found = np.empty(len(rid), _FOUND)
+        for name, x in (("kind", kind), ("lo", lo), ("hi", hi), ("anchor", anchor)):
+            found[name] = x[by]
+        rids, first = np.unique(rid[by], return_index=True)
+        last = np.append(first[1:], len(rid))
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array([found[i:j].tobytes() for i, j in zip(first, last)], pa.binary())], ["rid", "found"])
+
+    return gather
 
 
 def _sorted_firsts(anchor, content, doc, rid, lo, hi):
@@ -199,11 +231,11 @@ def _anchor_rows(window: int, gram: int, parts: int):
 
     def flush(held):
         columns, firsts, heads = _sorted_firsts(*(np.concatenate(x) for x in zip(*held)))
-        yield "rows", _span_rows(REPEATED, *merged(*(columns[c][~firsts] for c in (3, 4, 5))))
+        yield _bundle(parts, REPEATED, *merged(*(columns[c][~firsts] for c in (3, 4, 5))))
         anchor, content, doc, rid, lo, hi = (x[firsts] for x in columns)
         group = np.cumsum(heads[firsts]) - 1
         many = np.bincount(group)[group] > ANCHOR_SEGMENTS if len(group) else np.zeros(0, bool)
-        yield "rows", _span_rows(SINGLE, rid[many], lo[many], hi[many], anchor[many].view(np.int64))
+        yield _bundle(parts, SINGLE, rid[many], lo[many], hi[many], anchor[many].view(np.int64))
         marks = np.unique(anchor[many])
         few = ~many
         none = np.full(len(marks), -1, np.int64)
@@ -212,8 +244,9 @@ def _anchor_rows(window: int, gram: int, parts: int):
         by = np.argsort(part, kind="stable")
         at = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
         packed = [x[by] for x in packed]
-        rows = [(p, *(x[i:j].astype(x.dtype if k < 4 else np.int32).tobytes() for k, x in enumerate(packed))) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
-        yield "packed", rows
+        rows = [(p, [x[i:j].astype(x.dtype if k < 4 else np.int32).tobytes() for k, x in enumerate(packed)]) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        none = [pa.nulls(len(rows), pa.binary())] * 5
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *none, pa.array([r[1] for r in rows], pa.list_(pa.binary()))], _NAMES)
 
     def emit(stream):
         held, waiting = [], 0
@@ -225,101 +258,98 @@ def _anchor_rows(window: int, gram: int, parts: int):
                 held.append((anchor, content, docs[first + row], rids[first + row], lo - offsets[row], hi - offsets[row]))
                 waiting += len(anchor)
                 if waiting >= BUFFER_ANCHORS:
-                    yield from (_wide(*x) for x in flush(held))
+                    yield from flush(held)
                     held, waiting = [], 0
         if waiting:
-            yield from (_wide(*x) for x in flush(held))
+            yield from flush(held)
 
     return emit
 
 
-_WIDE = f"part int, packed array<binary>, {_SPANS}"
-
+def _meet_anchors(parts: int):
+    """Per part of anchor hashes: repeats of whole segments, and the segments that must be compared further."""
 
-def _wide(what, x):
-    """Both kinds of a task's output under one schema; rows are dealt by row id, packed anchors by part."""
-    names = ["part", "packed", "kind", "rid", "lo", "hi", "anchor"]
-    if what == "rows":
-        none = pa.nulls(x.num_rows, pa.list_(pa.binary()))
-        part = pa.array((x.column(1).to_numpy() % 1009).astype(np.int32), pa.int32())
-        return pa.RecordBatch.from_arrays([part, none, *x.columns], names)
-    n = len(x)
-    columns = [pa.array([r[0] for r in x], pa.int32()), pa.array([list(r[1:]) for r in x], pa.list_(pa.binary())), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(4))]
-    return pa.RecordBatch.from_arrays(columns, names)
+    def meet(stream):
+        held = []
+        for batch in stream:
+            packed = batch.column(6)
+            yield batch.filter(packed.is_null())
+            for row in packed.to_pylist():
+                if row is not None:
+                    held.append([np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32))])
+        if not held:
+            return
+        columns, firsts, heads = _sorted_firsts(*(np.concatenate(x) for x in zip(*held)))
+        columns[4], columns[5] = columns[4].astype(np.int64), columns[5].astype(np.int64)
+        mark = columns[3] < 0
+        again = ~firsts & ~mark
+        yield _bundle(parts, REPEATED, *merged(*(columns[c][again] for c in (3, 4, 5))))
+        group = np.cumsum(heads) - 1
+        contents = np.bincount(group, weights=firsts & ~mark)[group]
+        wide = (contents > ANCHOR_SEGMENTS) | (np.bincount(group, weights=mark)[group] > 0)
+        first = firsts & ~mark
+        for kind, chosen in ((SINGLE, first & wide), (CLOSE, first & ~wide & (contents > 1))):
+            anchor, _, _, rid, lo, hi = (x[chosen] for x in columns)
+            yield _bundle(parts, kind, rid, lo, hi, anchor.view(np.int64))
 
-
-def _meet_anchors(stream):
-    """Per part of anchor hashes: repeats of whole segments, and the segments that must be compared further."""
-    held = []
-    for batch in stream:
-        packed = batch.column(1)
-        own = packed.is_null().to_numpy(zero_copy_only=False)
-        if own.any():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(own)).columns[2:], ["kind", "rid", "lo", "hi", "anchor"])
-        for row in packed.to_pylist():
-            if row is not None:
-                held.append([np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32))])
-    if not held:
-        return
-    columns, firsts, heads = _sorted_firsts(*(np.concatenate(x) for x in zip(*held)))
-    columns[4], columns[5] = columns[4].astype(np.int64), columns[5].astype(np.int64)
-    mark = columns[3] < 0
-    again = ~firsts & ~mark
-    yield _span_rows(REPEATED, *merged(*(columns[c][again] for c in (3, 4, 5))))
-    group = np.cumsum(heads) - 1
-    contents = np.bincount(group, weights=firsts & ~mark)[group]
-    wide = (contents > ANCHOR_SEGMENTS) | (np.bincount(group, weights=mark)[group] > 0)
-    first = firsts & ~mark
-    for kind, chosen in ((SINGLE, first & wide), (CLOSE, first & ~wide & (contents > 1))):
-        anchor, _, _, rid, lo, hi = (x[chosen] for x in columns)
-        yield _span_rows(kind, rid, lo, hi, anchor.view(np.int64))
+    return meet
 
 
 def _cut_segments(window: int, parts: int):
     """Per document with segments to compare: their bytes by anchor, or their strings' hashes."""
 
+    def row(part, kind, body, rest):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([body], pa.binary()), pa.array([rest.astype("<i8").tobytes()], pa.binary())], ["part", "kind", "body", "rest"])
+
     def cut(stream):
         close = {p: [] for p in range(parts)}
-        size = 0
+        single = []
+        size = strings = 0
 
-        def out():
+        def close_out():
             for p, rows in close.items():
                 if rows:
-                    body = b"".join(r[0] for r in rows)
-                    rest = np.array([(len(r[0]), *r[1:]) for r in rows], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([CLOSE], pa.int32()), pa.array([body], pa.binary()), pa.array([rest.tobytes()], pa.binary())], ["part", "kind", "body", "rest"])
+                    yield row(p, CLOSE, b"".join(r[0] for r in rows), np.array([(len(r[0]), *r[1:]) for r in rows], np.int64))
                     rows.clear()
 
+        def single_out():
+            h, doc, rid, at = (np.concatenate(x) for x in zip(*single))
+            part = h % U(parts)
+            by = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            rest = np.stack([doc, rid, at], axis=1)
+            for p, (i, j) in enumerate(zip(bounds, bounds[1:])):
+                if j > i:
+                    yield row(p, SINGLE, h[by[i:j]].tobytes(), rest[by[i:j]])
+            single.clear()
+
         for batch in stream:
             for rid, doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "body", "found"))):
                 text = text or b""
-                prefix = None
-                single = [[], []]
-                for s in found:
-                    if s["kind"] == CLOSE:
-                        close[s["anchor"] % 2**64 % parts].append((text[s["lo"] : s["hi"]], s["anchor"], doc, rid, s["lo"]))
-                        size += s["hi"] - s["lo"]
-                    else:
-                        prefix = sums(np.frombuffer(text, np.uint8)) if prefix is None else prefix
-                        at = np.arange(s["lo"], s["hi"] - window + 1)
-                        single[0].append(hashes(prefix, at, at + window))
-                        single[1].append(at)
-                if single[0]:
-                    h, at = np.concatenate(single[0]), np.concatenate(single[1])
-                    part = h % U(parts)
-                    for p in np.unique(part):
-                        mine = part == p
-                        rest = np.stack([np.full(mine.sum(), doc), np.full(mine.sum(), rid), at[mine]], axis=1).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([SINGLE], pa.int32()), pa.array([h[mine].tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())], ["part", "kind", "body", "rest"])
+                found = np.frombuffer(found, _FOUND)
+                for _, lo, hi, anchor in found[found["kind"] == CLOSE].tolist():
+                    close[anchor % 2**64 % parts].append((text[lo:hi], anchor, doc, rid, lo))
+                    size += hi - lo
+                for _, lo, hi, _ in found[found["kind"] == SINGLE].tolist():
+                    # the strings' hashes do not depend on where the segment lies
+                    at = np.arange(hi - lo - window + 1)
+                    h = hashes(sums(np.frombuffer(text[lo:hi], np.uint8)), at, at + window)
+                    single.append((h, np.full(len(at), doc), np.full(len(at), rid), lo + at))
+                    strings += len(at)
                 if size > 1 << 23:
-                    yield from out()
+                    yield from close_out()
                     size = 0
-        yield from out()
+                if strings > BUFFER_ANCHORS:
+                    yield from single_out()
+                    strings = 0
+        yield from close_out()
+        if single:
+            yield from single_out()
 
     return cut
 
 
-def _compare_segments(window: int):
+def _compare_segments(window: int, parts: int):
     """Per part: the repeated strings among segments of one anchor, and among single strings."""
 
     def batches(anchor):
@@ -351,19 +381,21 @@ def _compare_segments(window: int):
             head = np.flatnonzero(np.diff(h.view(np.int64), prepend=h[:1].view(np.int64) - 1))
             head = np.repeat(head, np.diff(np.append(head, len(h))))
             again = (rest[:, 1] != rest[head, 1]) | (rest[:, 2] != rest[head, 2])
-            yield _span_rows(REPEATED, *merged(rest[again, 1], rest[again, 2], rest[again, 2] + window))
+            yield _bundle(parts, REPEATED, *merged(rest[again, 1], rest[again, 2], rest[again, 2] + window))
         if not rests:
             return
         rest = np.concatenate(rests)
         by = np.argsort(rest[:, 1], kind="stable")
         rest = rest[by]
         document = np.unique(rest[:, [2, 3]], axis=0, return_inverse=True)[1].ravel()
+        spans = []
         for lo, hi in batches(rest[:, 1]):
             order = np.stack([document[lo:hi], rest[lo:hi, 4]], axis=1)
             found = repeated_windows([bodies[i] for i in by[lo:hi]], order, window)
             n = [len(x) for x in found]
             at = np.concatenate(found) + np.repeat(rest[lo:hi, 4], n) if found else np.zeros(0, np.int64)
-            yield _span_rows(REPEATED, *merged(np.repeat(rest[lo:hi, 3], n), at, at + window))
+            spans.append(merged(np.repeat(rest[lo:hi, 3], n), at, at + window))
+        yield _bundle(parts, REPEATED, *merged(*(np.concatenate(x) for x in zip(*spans))))
 
     return compare
 
@@ -374,8 +406,8 @@ def _without(texts: bool, kept_columns: int):
             n, removed, spans, digests, kept = [], [], [], [], []
             for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = text or b""
-                lo, hi = (np.array([s[k] for s in found or ()], np.int64) for k in ("lo", "hi"))
-                _, lo, hi = merged(np.zeros(len(lo), np.int64), lo, hi)
+                found = np.frombuffer(found or b"", _FOUND)
+                lo, hi = found["lo"], found["hi"]
                 at, parts = 0, []
                 for i, j in zip(lo.tolist(), hi.tolist()):
                     parts.append(text[at:i])
@@ -417,21 +449,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named"), *carried
     )
     rows = scratch.cut(
-        base.select("rid", "doc_id", "body").mapInArrow(_anchor_rows(window, gram, parts), _WIDE).repartition(parts, "part").mapInArrow(_meet_anchors, _SPANS),
+        base.select("rid", "doc_id", "body").mapInArrow(_anchor_rows(window, gram, parts), _BUNDLE).repartition(parts, "part").mapInArrow(_meet_anchors(parts), _BUNDLE),
         "segments",
     )
-    open_ = rows.filter(F.col("kind") != REPEATED).groupBy("rid").agg(F.collect_list(F.struct("kind", "lo", "hi", "anchor")).alias("found"))
+    dealt = lambda df: df.repartition(parts, "part")
+    open_ = scratch.cut(dealt(rows).mapInArrow(_by_document(False), "rid long, found binary"), "open")
     compared = scratch.cut(
         base.select("rid", "doc_id", "body")
-        .join(broadcast_if_small(open_, 150_000), "rid")
+        .join(broadcast_if_light(open_, "found"), "rid")
         .mapInArrow(_cut_segments(window, parts), "part int, kind int, body binary, rest binary")
         .repartition(parts, "part")
-        .mapInArrow(_compare_segments(window), _SPANS),
+        .mapInArrow(_compare_segments(window, parts), _BUNDLE),
         "compared",
     )
-    spans = rows.filter(F.col("kind") == REPEATED).unionByName(compared).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    spans = scratch.cut(spans, "spans")
-    joined = base.select("rid", "named", "body", *carried).join(broadcast_if_small(spans), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found", *carried)
+    spans = scratch.cut(dealt(rows.unionByName(compared)).mapInArrow(_by_document(True), "rid long, found binary"), "spans")
+    joined = base.select("rid", "named", "body", *carried).join(broadcast_if_light(spans, "found"), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found", *carried)
     kinds = dict(joined.dtypes)
     schema = ", ".join([f"rid long, doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"{c} {kinds[c]}" for c in carried)])
     return joined.mapInArrow(_without(texts, len(keep)), schema)
