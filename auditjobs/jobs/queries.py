@@ -705,3 +705,215 @@ def ag_02(spark, d):
 @register("sc_08_qualified_name", "functions", "SELECT contract || '.' || name AS qualified FROM functions")
 def sc_08(spark, d):
     return _indexed(spark, d)[1].select(T.qualified_name(F.col("contract"), F.col("name")).alias("qualified"))
+
+
+# ---- context -------------------------------------------------------------------------------------
+
+MATCHED = """SELECT f.id, f.contract, f.function, f.file, f.line_start, f.line_end, s.k FROM findings f JOIN sup s ON f.contract = 'S' || s.k WHERE f.file <> ''"""
+
+
+@register("jn_07_match_paths", "findings sup", f"SELECT id, 'src/S' || k || '.sol' AS path FROM ({MATCHED})")
+def jn_07(spark, d):
+    return X.match_paths(_findings(spark, d), A.sources(spark, d)).select("id", "path")
+
+
+@register(
+    "jn_06_source_window", "findings sup lines",
+    f"""SELECT id, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), 4, ' ') || ' | ' || t, chr(10) ORDER BY ln) AS content
+        FROM ({MATCHED}) m JOIN lines l ON l.k = m.k AND l.ln BETWEEN greatest(1, line_start - 20) AND least(79, line_end + 19) GROUP BY id""",
+)
+def jn_06(spark, d):
+    return X.source_window(_findings(spark, d), A.sources(spark, d))
+
+
+def _texts(spark, d):
+    return X.contract_text(*_indexed(spark, d))
+
+
+#: The description of each contract; {focus} marks a function.
+CONTRACT_TEXT = """SELECT 'S' || sup.k AS name, '=== S' || sup.k || ' (contract) in src/S' || sup.k || '.sol ===' || chr(10) || 'Lines: 2-79' || chr(10) || 'Inherits: N' || nk || chr(10) || 'State Variables:' || chr(10)
+       || v.t || chr(10) || 'Functions:' || chr(10) || f.t || chr(10) || 'Events: E' || sup.k || chr(10) || 'Errors: X' || sup.k AS text FROM sup
+       JOIN (SELECT contract, string_agg('  - ' || var_type || ' ' || var, chr(10) ORDER BY '  - ' || var_type || ' ' || var) AS t FROM vars GROUP BY contract) v ON v.contract = 'S' || sup.k
+       JOIN ({functions}) f ON f.contract = 'S' || sup.k
+       UNION ALL SELECT c.name, '=== ' || c.name || ' (' || contract_type || ') in ' || path || ' ===' || chr(10) || 'Lines: 1-5' || chr(10) || 'Functions:' || chr(10) || f.t FROM contracts c
+       JOIN ({functions}) f ON f.contract = c.name WHERE c.name LIKE 'N%'"""
+FUNCTION_LINES = """SELECT contract, string_agg('  - ' || visibility || ' ' || mutability || ' ' || name || '(' || array_to_string(parameters, ', ') || ')' || chr(10)
+       || '    Calls: ' || array_to_string(calls[1:5], ', ') || chr(10) || '    Writes: ' || array_to_string(storage_writes[1:5], ', '), chr(10) ORDER BY line_start) AS t FROM functions GROUP BY contract"""
+PLAIN_TEXT = CONTRACT_TEXT.format(functions=FUNCTION_LINES)
+
+
+@register("sc_06_contract_text", "sup vars functions contracts", PLAIN_TEXT)
+def sc_06(spark, d):
+    return _texts(spark, d).select("name", X.with_focus().alias("text"))
+
+
+FOCUSED = f"""SELECT f.id, replace(t.text, ' ' || f.function || '(', ' ' || f.function || '(') AS text FROM findings f JOIN ({PLAIN_TEXT}) t ON t.name = f.contract"""
+FOCUS_TEXT = """regexp_replace(t.text, '(\\n  - [a-z]+ [a-z]+ ' || f.function || '\\([^\\n]*\\))\\n', '\\1 [FOCUS]' || chr(10))"""
+
+
+@register("jn_08_finding_contracts", "findings sup vars functions contracts", f"SELECT f.id, {FOCUS_TEXT} AS content FROM findings f JOIN ({PLAIN_TEXT}) t ON t.name = f.contract")
+def jn_08(spark, d):
+    return X.finding_contracts(_findings(spark, d), _texts(spark, d))
+
+
+@register(
+    "jn_09_finding_dependencies", "findings sup vars functions contracts graph",
+    f"""SELECT f.id, CAST(row_number() OVER (PARTITION BY f.id ORDER BY t.name) AS INT) AS place, t.text AS content FROM findings f
+        JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN ({PLAIN_TEXT}) t ON t.name = g.target""",
+)
+def jn_09(spark, d):
+    contracts, functions = _indexed(spark, d)
+    return X.finding_dependencies(_findings(spark, d), G.build_edges(contracts, functions), X.contract_text(contracts, functions))
+
+
+@register(
+    "wn_02_pack_contracts", "findings sup vars functions contracts graph",
+    f"""WITH t AS MATERIALIZED ({PLAIN_TEXT}), parts AS (SELECT f.id, 0 AS place, {FOCUS_TEXT} AS content FROM findings f JOIN t ON t.name = f.contract
+             UNION ALL SELECT f.id, 1, t.text FROM findings f JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN t ON t.name = g.target),
+        run AS (SELECT *, sum(length(content) // 4) OVER (PARTITION BY id ORDER BY place ROWS UNBOUNDED PRECEDING) AS used FROM parts)
+        SELECT f.id, coalesce(p.context, 'No relevant context found.') AS context FROM findings f LEFT JOIN (SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY place) AS context FROM run WHERE used <= 420 GROUP BY id) p USING (id)""".replace("WITH t AS", ", t AS", 1),
+)
+def wn_02(spark, d):
+    contracts, functions = _indexed(spark, d)
+    return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions), 420)
+
+
+@register(
+    "st_02_contract_lookup", "sup vars functions contracts",
+    f"""WITH asked AS (SELECT DISTINCT 'S' || user_id AS name FROM events UNION SELECT 'G1'), hit AS (SELECT a.name, t.text FROM asked a LEFT JOIN ({PLAIN_TEXT}) t USING (name)),
+        near AS (SELECT query, string_agg(contract, ', ' ORDER BY place) AS xs FROM (SELECT query, contract, row_number() OVER (PARTITION BY query ORDER BY max(CASE WHEN term = lower(query) THEN 1 ELSE 0 END) DESC, contract) AS place
+                 FROM (SELECT name AS query FROM hit WHERE text IS NULL) q JOIN ({TERMS}) t ON contains(term, lower(query)) OR contains(lower(query), term) GROUP BY query, contract) WHERE place <= 5 GROUP BY query)
+        SELECT name, CASE WHEN text IS NOT NULL THEN CASE WHEN length(text) <= 600 THEN text ELSE substring(text, 1, 600 - 23) || chr(10) || '... (output truncated)' END
+               WHEN xs IS NULL THEN 'Contract ''' || name || ''' not found in the codebase.' ELSE 'Contract ''' || name || ''' not found. Did you mean: ' || xs || '?' END AS answer
+        FROM hit LEFT JOIN near ON near.query = hit.name""".replace("WITH asked AS", ", asked AS", 1),
+)
+def st_02(spark, d):
+    contracts, functions = _indexed(spark, d)
+    texts = X.contract_text(contracts, functions).select("repo", "name", X.with_focus().alias("text"))
+    names = A.table(spark, d, "events").select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("name")).union(spark.createDataFrame([("G1",)], "name string")).distinct()
+    return G.contract_lookup(texts, G.build_terms(contracts, functions), names.select(F.lit("main").alias("repo"), "name"), 600).select("name", "answer")
+
+
+CHAIN_TOP = "SELECT src_contract || '.' || src_function AS src, dst_contract || '.' || dst_function AS dst, is_external, row_number() OVER (PARTITION BY src_contract, src_function ORDER BY dst_contract || '.' || dst_function, is_external) AS place FROM cedges"
+
+
+@register(
+    "jn_14_finding_call_context", "findings cedges functions",
+    f"""WITH top AS MATERIALIZED (SELECT * FROM ({CHAIN_TOP}) WHERE place <= 5), seeds AS (SELECT DISTINCT contract || '.' || function AS seed FROM findings),
+        chain AS (SELECT seed, 'Call chain from ' || seed || ':' || chr(10) || string_agg(line, chr(10) ORDER BY depth, turn, place) AS chain FROM (
+            SELECT seed, 0 AS depth, 0 AS turn, coalesce(place, 0) AS place, coalesce('  -> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END, '  (leaf)') AS line FROM seeds LEFT JOIN top ON src = seed
+            UNION ALL SELECT seed, 1, a.place, coalesce(b.place, 0), '    ' || coalesce('-> ' || b.dst || CASE WHEN b.is_external THEN ' [external]' ELSE '' END, '(leaf)')
+            FROM seeds JOIN (SELECT src, dst, min(place) AS place FROM top GROUP BY src, dst) a ON a.src = seed AND a.dst <> seed LEFT JOIN top b ON a.dst = b.src) GROUP BY seed),
+        paths AS (SELECT contract, string_agg('  ' || path, chr(10) ORDER BY function) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY function) AS p FROM ({REENTRANT})) WHERE p <= 3 GROUP BY contract),
+        callers AS (SELECT c, f, string_agg(line, chr(10) ORDER BY p) AS callers FROM (SELECT dst_contract AS c, dst_function AS f, '  ' || src_contract || '.' || src_function || CASE WHEN is_external THEN ' (external)' ELSE ' (internal)' END AS line,
+            row_number() OVER (PARTITION BY dst_contract, dst_function ORDER BY src_contract, src_function, is_external) AS p FROM cedges) WHERE p <= 5 GROUP BY c, f)
+        SELECT id, '=== Call Graph Context ===' || chr(10) || chain || coalesce(chr(10) || chr(10) || 'Potential reentrancy paths:' || chr(10) || paths, '') || coalesce(chr(10) || chr(10) || 'Breaking change impact:' || chr(10) || callers, '') AS content
+        FROM findings f JOIN chain ON seed = f.contract || '.' || f.function LEFT JOIN paths ON paths.contract = f.contract LEFT JOIN callers ON callers.c = f.contract AND callers.f = f.function""".replace("WITH top AS", ", top AS", 1),
+)
+def jn_14(spark, d):
+    return X.finding_call_context(_findings(spark, d), _call_edges(spark, d), _indexed(spark, d)[1], 1)
+
+
+@register(
+    "jn_15_finding_flow_context", "findings functions flows",
+    f"""SELECT f.id, '=== Data Flow Context ===' || chr(10) || 'Reads: ' || array_to_string(storage_reads[1:10], ', ') || chr(10) || 'Writes: ' || array_to_string(storage_writes[1:10], ', ')
+        || coalesce(chr(10) || chr(10) || 'Data flow for ' || storage_writes[1] || ':' || chr(10) || x.t, '') AS content
+        FROM findings f JOIN functions g ON g.contract = f.contract AND g.name = f.function
+        LEFT JOIN (SELECT c1, var, string_agg(line, chr(10) ORDER BY line) AS t FROM (SELECT c1, var, '  ' || {FLOW_PATH} || ' (storage)' AS line, row_number() OVER (PARTITION BY c1, var ORDER BY '  ' || {FLOW_PATH} || ' (storage)') AS p FROM flows) WHERE p <= 3 GROUP BY c1, var) x
+        ON x.c1 = f.contract AND x.var = storage_writes[1]""",
+)
+def jn_15(spark, d):
+    return X.finding_flow_context(_findings(spark, d), _indexed(spark, d)[1], _flows(spark, d))
+
+
+FINDING_TEXT = """'=== Finding: ' || check_type || ' ===' || chr(10) || 'Severity: ' || severity || chr(10) || 'Confidence: ' || confidence || chr(10) || 'Contract: ' || contract || chr(10) || 'Function: ' || function
+       || chr(10) || 'Description: ' || substring(description, 1, 500) || CASE WHEN file <> '' THEN chr(10) || 'File: ' || file || chr(10) || 'Lines: ' || line_start || '-' || line_end ELSE '' END"""
+
+
+@register("sc_07_finding_text", "findings", f"SELECT id, {FINDING_TEXT} AS text FROM findings")
+def sc_07(spark, d):
+    return _findings(spark, d).select("id", X.finding_text().alias("text"))
+
+
+def _elements(spark, d):
+    findings = _findings(spark, d)
+    return X.context_elements({"finding": findings.select("id", X.finding_text().alias("content")), "semantic_graph": X.finding_contracts(findings, _texts(spark, d)), "source": X.source_window(findings, A.sources(spark, d))})
+
+
+ELEMENTS = f"""SELECT id, 0 AS seq, {FINDING_TEXT} AS content, 1.0::DOUBLE AS relevance, 'finding' AS source FROM findings
+       UNION ALL SELECT id, 100000, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), 4, ' ') || ' | ' || t, chr(10) ORDER BY ln), 0.95, 'source'
+       FROM ({MATCHED}) m JOIN lines l ON l.k = m.k AND l.ln BETWEEN greatest(1, line_start - 20) AND least(79, line_end + 19) GROUP BY id
+       UNION ALL SELECT f.id, 200000, {FOCUS_TEXT}, 0.9, 'semantic_graph' FROM findings f JOIN ({PLAIN_TEXT}) t ON t.name = f.contract"""
+
+
+@register("set_01_context_elements", "findings sup lines vars functions contracts", f"SELECT id, CAST(seq AS INT) AS seq, length(content) AS chars, CAST(1 AS INT) AS priority, source, CAST(floor(length(content) * 0.25) AS INT) AS tokens, relevance FROM ({ELEMENTS})")
+def set_01(spark, d):
+    return _elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
+
+
+@register(
+    "wn_01_pack_context", "findings sup lines vars functions contracts",
+    f""", e AS MATERIALIZED (SELECT *, CAST(floor(length(content) * 0.25) AS INT) AS tokens FROM ({ELEMENTS})),
+        r AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY relevance DESC ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY id ORDER BY relevance DESC) AS place FROM e),
+        o AS (SELECT *, min(CASE WHEN run > 700 THEN place END) OVER (PARTITION BY id) AS over FROM r),
+        c AS (SELECT id, place, CASE WHEN run <= 700 THEN content ELSE substring(content, 1, CAST(4 * (700 - run + tokens) AS INT)) || chr(10) || '... (context truncated)' END AS content, CASE WHEN run <= 700 THEN tokens ELSE 0 END AS tokens
+              FROM o WHERE run <= 700 OR (place = over AND 700 - run + tokens > 200))
+        SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY place) AS context, CAST(sum(tokens) AS BIGINT) AS used FROM c GROUP BY id""",
+)
+def wn_01(spark, d):
+    return X.pack_context(_elements(spark, d), 700)
+
+
+@register("wn_06_first_n_per_key", "calls", f"SELECT src, dst, CAST(place AS INT) AS place FROM ({TOP}) WHERE place <= 5")
+def wn_06(spark, d):
+    return G.first_n_per_key(A.adapted(spark, d, "calls"), ["src"], ["dst", "is_external"], 5).select("src", "dst", "place")
+
+
+@register(
+    "ag_10_project_overview", "contracts functions",
+    "SELECT c.name, c.contract_type, count(f.name) AS functions, (SELECT count(*) FROM contracts) AS project_contracts, (SELECT count(*) FROM functions) AS project_functions FROM contracts c LEFT JOIN functions f ON f.contract = c.name GROUP BY c.name, c.contract_type",
+)
+def ag_10(spark, d):
+    return X.project_overview(*_indexed(spark, d)).drop("repo")
+
+
+@register(
+    "flt_11_grep", "docs",
+    """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM docs),
+       h AS (SELECT path, n, path || ':' || n || ':' || text AS line FROM l WHERE regexp_matches(text, 'licen[sc]e|License')),
+       t AS (SELECT coalesce(string_agg(line, chr(10) ORDER BY path, n), '(no matches)') AS r FROM h)
+       SELECT 'main' AS repo, CASE WHEN length(r) <= 4000 THEN r ELSE substring(r, 1, 4000 - 23) || chr(10) || '... (output truncated)' END AS result FROM t""",
+)
+def flt_11(spark, d):
+    return X.grep(A.adapted(spark, d, "docs"), "licen[sc]e|License", "*.sol")
+
+
+@register("sc_01_truncate_text", "", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 500 - 23) || chr(10) || '... (output truncated)' END AS cut FROM documents")
+def sc_01(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.truncate_text(F.col("text"), 500).alias("cut"))
+
+
+@register("sc_02_cap_text", "", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 500) || chr(10) || '// ... truncated' END AS cut FROM documents")
+def sc_02(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.cap_text(F.col("text"), 500).alias("cut"))
+
+
+@register("sc_05_list_to_text", "", "SELECT l_orderkey, string_agg(l_returnflag, chr(10) ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")
+def sc_05(spark, d):
+    rows = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_returnflag")).alias("xs"))
+    return rows.select("l_orderkey", T.list_to_text(F.col("xs")).alias("flags"))
+
+
+@register("src_04_blame_lines", "blame", "SELECT path, CAST(count(*) AS BIGINT) AS lines, count(DISTINCT author) AS authors FROM blame GROUP BY path")
+def src_04(spark, d):
+    """Porcelain blame made of the blame table, file by file, and read back."""
+    blame = A.adapted(spark, d, "blame").withColumn("hash", F.substring(F.sha2(F.concat_ws("|", "author", "author_time"), 256), 1, 40))
+    return S.blame_lines(S.porcelain(blame)).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("author").alias("authors"))
+
+
+@register("str_01_stream_index", "contracts", "SELECT name, contract_type, path, line_start, line_end FROM contracts")
+def str_01(spark, d):
+    """The streaming index's plan over the files as a batch; tests run it as a stream and hold it against this."""
+    from ..streaming.index import stream_index
+
+    return stream_index(A.sources(spark, d).withColumn("version", F.lit(1).cast("long"))).select("name", "latest.contract_type", "latest.path", "latest.line_start", "latest.line_end")
