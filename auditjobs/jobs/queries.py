@@ -16,7 +16,7 @@ from ..sources import files as S
 from . import adapters as A
 
 QUERIES, ORACLE_SQL = {}, {}
-AS_OF = F.lit(A.AS_OF).cast("timestamp_ntz")
+#: The moment that ages count from.
 AS_OF_SQL = f"TIMESTAMP '{A.AS_OF}'"
 
 #: Facts of the generated sources by arithmetic, never read from text.
@@ -113,6 +113,10 @@ def register(name: str, shared: str = "", sql: str | None = None):
     return add
 
 
+def _as_of():
+    return F.lit(A.AS_OF).cast("timestamp_ntz")
+
+
 def _findings(spark, d):
     rows = N.detectors_of(A.reports(spark, d), ["repo", "key"])
     return N.normalize_findings(rows, ["key"], ["repo", "key"])
@@ -355,7 +359,7 @@ def src_03(spark, d):
 
 @register("flt_06_recent_commits", "commits", f"SELECT repo, hash, CAST(place AS INT) AS place FROM (SELECT *, {NEWEST.format('repo')} AS place FROM commits WHERE date >= {DAY.format(30)}) WHERE place <= 100")
 def flt_06(spark, d):
-    return H.recent_commits(A.commits(spark, d), AS_OF).select("repo", "hash", "place")
+    return H.recent_commits(A.commits(spark, d), _as_of()).select("repo", "hash", "place")
 
 
 SECURITY = "regexp_matches(lower(message), '" + "|".join(H.SECURITY_KEYWORDS) + "')"
@@ -388,11 +392,11 @@ VOLATILE = f"SELECT *, commits / (90 / 7.0::DOUBLE) AS f, least(1.0, commits / (
 
 @register("ag_05_file_churn", "commits numstat", CHURN)
 def ag_05(spark, d):
-    return H.file_churn(A.commits(spark, d), A.adapted(spark, d, "numstat"), AS_OF)
+    return H.file_churn(A.commits(spark, d), A.adapted(spark, d, "numstat"), _as_of())
 
 
 def _volatile(spark, d):
-    return H.volatility(H.file_churn(A.commits(spark, d), A.adapted(spark, d, "numstat"), AS_OF), AS_OF)
+    return H.volatility(H.file_churn(A.commits(spark, d), A.adapted(spark, d, "numstat"), _as_of()), _as_of())
 
 
 @register("ag_06_volatility", "commits numstat", f"SELECT repo, path, round(f, 6) AS change_frequency, round(v, 6) AS volatility FROM ({VOLATILE})")
@@ -419,7 +423,7 @@ def ag_08(spark, d):
 
 @register("ag_09_repo_stats", "commits", "SELECT repo, count(*) AS total_commits, count(DISTINCT author) AS contributors, CAST(date_diff('day', min(date), TIMESTAMP '2001-08-02 12:00:00') AS INT) AS repo_age_days FROM commits GROUP BY repo")
 def ag_09(spark, d):
-    return H.repo_stats(A.commits(spark, d), AS_OF)
+    return H.repo_stats(A.commits(spark, d), _as_of())
 
 
 DAYS = f"floor(epoch({AS_OF_SQL} - date) / 86400)"
@@ -429,7 +433,7 @@ RELATIVE = f"""CASE WHEN {DAYS} = 0 THEN 'today' WHEN {DAYS} = 1 THEN 'yesterday
 
 @register("sc_03_relative_age", "commits", f"SELECT repo, hash, {RELATIVE} AS age FROM commits")
 def sc_03(spark, d):
-    return A.commits(spark, d).select("repo", "hash", T.relative_age(F.col("date"), AS_OF).alias("age"))
+    return A.commits(spark, d).select("repo", "hash", T.relative_age(F.col("date"), _as_of()).alias("age"))
 
 
 @register("sc_04_commit_summary", "", "SELECT doc_id, substring(split_part(text, chr(10), 1), 1, 100) AS summary FROM documents")
@@ -455,7 +459,7 @@ def _file_findings(spark, d):
              ) s ON s.repo = e.repo AND (s.path IS NULL OR s.path = e.path)""",
 )
 def jn_10(spark, d):
-    rows = H.finding_history(_file_findings(spark, d), A.commits(spark, d), A.adapted(spark, d, "numstat"), AS_OF)
+    rows = H.finding_history(_file_findings(spark, d), A.commits(spark, d), A.adapted(spark, d, "numstat"), _as_of())
     return rows.filter("section < 4")  # hotspot lines hold rounded numbers: ag_07 checks them
 
 
