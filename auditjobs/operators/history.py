@@ -121,7 +121,7 @@ def volatility(churn: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """change_frequency (commits a week) and a score from 0 to 1 of frequency and recency."""
     frequency = F.col("commits") / F.lit(days / 7)
     age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_modified").cast("timestamp"))) / F.lit(86_400_000_000))
-    recency = F.coalesce(F.greatest(F.lit(0.0), 1 - age / F.lit(float(DECAY_DAYS))), F.lit(1.0))
+    recency = F.when(F.col("last_modified").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - age / F.lit(float(DECAY_DAYS))))
     score = F.when(F.col("commits") > 0, F.least(F.lit(1.0), frequency * FREQUENCY_WEIGHT + recency * RECENCY_WEIGHT)).otherwise(0.0)
     return churn.withColumn("change_frequency", frequency).withColumn("volatility", score)
 
