@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +15,7 @@ from ..operators import graph as G
 from ..operators import history as H
 from ..operators import replies as R
 from ..sources import files as S
+from ..sources.scratch import shared_folder
 from . import adapters as A
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -289,6 +292,14 @@ def src_06(spark, d):
     return numbered.select("finding_id", "number").join(S.report_sections(numbered), "number").select("finding_id", "section")
 
 
+@register("src_05_write_findings", "findings", "SELECT id, check_type, severity FROM findings")
+def src_05(spark, d):
+    """Findings written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    S.write_findings(_findings(spark, d), path)
+    return spark.read.schema("id string, check_type string, severity string").json(path)
+
+
 # ---- replies -------------------------------------------------------------------------------------
 
 BODY = """'{"results":[{"finding_id":"E' || conv_id || '","is_true_positive":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || ',"reason":"turn {' || turn || '}"}]}'"""
