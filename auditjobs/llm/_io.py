@@ -40,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/auditjobs-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it again."""
@@ -48,14 +49,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all written tables but these."""
+        self.drop(*(t for t in self.tables if not any(t is k for k in tables)))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         jvm = self.spark._jvm
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = [t for t in self.tables if not any(t is x for x in tables)]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

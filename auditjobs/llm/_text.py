@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are taken in runs of about this many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 U = np.uint64
 _RANDOM = np.random.default_rng(20240229)

@@ -116,6 +116,7 @@ def exact_dedup(
         named_rows.groupBy("height", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")),
         "groups",
     )
+    scratch.keep_only(named_rows, groups)
     return named_rows.join(groups, ["height", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),

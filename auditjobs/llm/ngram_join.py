@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -18,11 +19,11 @@ from ._text import SEPARATORS, hashes, mix, runs, shingles, spans, sums, word_va
 #: Cells of the shingle frequency sketch, and cells of one row of it.
 CELLS, CHUNK = 1 << 22, 1 << 16
 #: A shingle is frequent if its cell counts this many times the mean cell, and this many besides.
-FREQUENT_TIMES, FREQUENT_LEAST = 4, 48
+FREQUENT_TIMES, FREQUENT_LEAST = 2, 12
 #: Candidate groups of up to this many sets are verified in one piece; others by pivots and tiles.
 GROUP_SETS = 256
 #: Sets per pivot round, rounds, and sets of one side of a tile.
-PIVOTS, PIVOT_ROUNDS, TILE_SETS = 4, 4, 256
+PIVOTS, PIVOT_ROUNDS, TILE_SETS = 4, 2, 8192
 #: Keys that a task combines before it passes them on.
 BUFFER_KEYS = 1 << 19
 
@@ -65,15 +66,20 @@ def frequent_cells(texts: DataFrame, n: int) -> np.ndarray:
 
     def count(stream):
         cells, held, waiting = np.zeros(CELLS, np.uint32), [], 0
+
+        def add_held():
+            if held:
+                np.add.at(cells, (np.concatenate(held) >> U(42)).astype(np.int64), 1)
+            held.clear()
+
         for batch in stream:
             for _, tokens in shingle_sets(batch.column(0), n):
                 held.append(tokens)
                 waiting += len(tokens)
-                if waiting > 1 << 21:
-                    cells += np.bincount((np.concatenate(held) >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                    held, waiting = [], 0
-        if held:
-            cells += np.bincount((np.concatenate(held) >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                if waiting > 1 << 18:
+                    add_held()
+                    waiting = 0
+        add_held()
         for i in range(0, CELLS, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([cells[i : i + CHUNK].astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
 
@@ -113,9 +119,28 @@ def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 # ---- candidate keys ----------------------------------------------------------------------------
 
 
+def _differ(size: int, num: int, den: int) -> int:
+    """Most hashes in which linked sets of at most this size differ."""
+    return 2 * size * (den - num) // (den + num)
+
+
+def _ranges() -> list[int]:
+    """Numbers of ranges at the levels, each about a quarter more than the last."""
+    out = [5]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return out
+
+
+RANGES = _ranges()
+
+
 def levels(size: int, num: int, den: int) -> range:
-    """The partition levels at which a set of this size may meet a linked set that is no smaller, or itself."""
-    at = lambda m: (2 * m * (den - num) // (den + num) + 1).bit_length()
+    """The partition levels at which a set of this size may meet a linked set that is no smaller, or itself.
+
+    A level has a tenth more ranges than two linked sets may differ in, and four, so that they share ranges that are not empty.
+    """
+    at = lambda m: bisect.bisect_left(RANGES, _differ(m, num, den) * 11 // 10 + 4)
     return range(at(size), at(size * den // num) + 1)
 
 
@@ -123,19 +148,22 @@ def keys(tokens: np.ndarray, size: int, num: int, den: int, salt: int) -> np.nda
     """Keys of which two linked sets share one at least.
 
     The sets of two linked documents differ in at most d hashes. Hash space is cut
-    into 2**level > d + 1 ranges, so some range holds the same hashes of both; each key stands for one
+    into more than d + 1 ranges, so some range holds the same hashes of both; each key stands for one
     range and what the set has there. Empty ranges give keys only where a set has so many that a
     shared range might be empty. ``tokens`` may be any part of the set chosen by the hash
-    alone, since the parts differ no more than the sets.
+    alone, since the parts differ no more than the sets. Sets so small that they link only to equal ones have no keys.
     """
+    most = size * (den - num) // num
+    if not most and not _differ(size, num, den):
+        return np.zeros(0, np.uint64)
     out = []
     for level in levels(size, num, den):
-        count = 1 << level
-        differ = min(count - 2, size * (den - num) // num)
-        part = (tokens >> U(64 - level)).astype(np.int64)
+        count = RANGES[level]
+        differ = min(count - 4, most)
+        part = ((tokens >> U(32)) * U(count) >> U(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
         body = np.add.reduceat(mix(tokens ^ U(0xA5A5A5A55A5A5A5A)), first) if len(first) else np.zeros(0, np.uint64)
-        tag = U((salt * 64 + level) * 0x9E3779B97F4A7C15 % 2**64)
+        tag = U((salt * 256 + level) * 0x9E3779B97F4A7C15 % 2**64)
         out.append(mix(body ^ mix(part[first].astype(np.uint64) + tag)))
         if count - len(first) > count - differ - 1:
             empty = np.setdiff1d(np.arange(count), part[first])
@@ -144,15 +172,16 @@ def keys(tokens: np.ndarray, size: int, num: int, den: int, salt: int) -> np.nda
 
 
 def document_keys(tokens: np.ndarray, bitmap: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys on the rare shingles where they are half the set, and on all shingles where they may be fewer in a linked set."""
+    """Keys on the rare shingles where they are seven tenths of the set, and on all shingles where they may be fewer in a linked set."""
     n = len(tokens)
     rare = tokens[~is_frequent(tokens, bitmap)]
     out = []
-    if 2 * len(rare) >= n:
+    if 10 * len(rare) >= 7 * n:
         out.append(keys(rare, n, num, den, 1))
-    if 2 * num * len(rare) < n * den + 2 * num * (n * (den - num) // num + 1):
+    # a linked set of m hashes with fewer than 0.7 m rare ones leaves this one at most 0.7 n den / num of them
+    if 10 * num * len(rare) < 7 * n * den + 10 * num:
         out.append(keys(tokens, n, num, den, 2))
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def _combine(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -455,7 +484,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = [small.repartition(4 * parts, "component").mapInArrow(_verify_groups(num, den), "a long, b long")]
     large = with_tokens.filter(F.col("sets") > GROUP_SETS).select("sid", "component", "tokens")
     if not large.isEmpty():
-        links += _links_of_large(large, scratch, num, den)
+        links += _links_of_large(scratch.cut(large, "large"), scratch, num, den)
     joined = links[0]
     for more in links[1:]:
         joined = joined.unionByName(more)
@@ -465,6 +494,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     firsts = scratch.cut(classed.filter("class is not null").groupBy("class").agg(F.min(by_id).alias("lead")), "firsts")
     alone = F.col("class").isNull()
+    scratch.keep_only(classed, firsts)
     return classed.join(firsts, "class", "left").select(
         "doc_id",
         "n_shingles",

@@ -463,6 +463,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         "compared",
     )
     spans = scratch.cut(dealt(rows.unionByName(compared)).mapInArrow(_by_document(True), "rid long, found binary"), "spans")
+    scratch.keep_only(spans)
     joined = base.select("rid", "named", "body", *carried).join(broadcast_if_light(spans, "found"), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found", *carried)
     kinds = dict(joined.dtypes)
     schema = ", ".join([f"rid long, doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"{c} {kinds[c]}" for c in carried)])
