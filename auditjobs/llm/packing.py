@@ -20,7 +20,7 @@ CAPACITY = 4096
 #: Closes each document.
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew. Only speed depends on it.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 700_000
 
 
 #: Marks that often close a word, and Latin letters that no normalisation changes.
@@ -63,14 +63,14 @@ def _encode_each(encoder, pattern, ends, words: list[str]) -> list[bytes]:
     return [data[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
-def encode_words(texts: list[str], path: str) -> list[bytes]:
+def encode_words(texts: list[str], path: str, words_kept: int = WORDS_KEPT) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
     For tokenizers that never join characters across blanks or line ends, such
     as the word BPE here: each run between them is encoded once and remembered.
     """
     encoder, plain, pattern, ends, known = _encoder(path)
-    if len(known) > WORDS_KEPT:
+    if len(known) > words_kept:
         known.clear()
     # the encoder lower-cases by itself; done before, forms of a word meet in one entry (the skipped letters fold by context)
     split = [(text if "Σ" in text or "İ" in text else text.lower()).replace("\n", " ").split(" ") for text in texts]
@@ -93,7 +93,7 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the closing id, cut every ``capacity`` ids.
 
     A null or empty text has the closing id alone.
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in stream:
             row, piece, start, length, crc = [], [], [], [], []
             for run in runs((i, t or "") for i, t in enumerate(batch.column(1).to_pylist())):
-                for (i, _), ids in zip(run, encode_words([t for _, t in run], path)):
+                for (i, _), ids in zip(run, encode_words([t for _, t in run], path, words_kept)):
                     ids += closing
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -190,6 +190,7 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    words_kept: int = WORDS_KEPT,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -200,7 +201,7 @@ def pack(
     alone. Repeated rows are packed each on its own; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    cut = scratch.cut(pieces(docs, path, capacity, end_id, id_col, text_col).withColumn("shard", F.spark_partition_id()), "pieces")
+    cut = scratch.cut(pieces(docs, path, capacity, end_id, id_col, text_col, words_kept).withColumn("shard", F.spark_partition_id()), "pieces")
     counts = scratch.cut(cut.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = counts.select(
         "length",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditjobs.llm import exact_dedup, ngram_join, packing, quality_crf, repeat_removal
-from auditjobs.llm._io import Scratch, table
+from auditjobs.llm._io import Scratch, broadcast_if_small, table
 
 #: A document stays if its quality score is at least this.
 QUALITY_LEAST = 0.3
@@ -15,9 +15,13 @@ QUALITY_LEAST = 0.3
 ROW = "_row_of_stage"
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a row number, written once, so that rows of equal or null ids are told apart."""
-    return Scratch(spark).cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, which a stage reads from Parquet, with the number that each row has in any scan of it."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(broadcast_if_small(kept), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest id."""
-    rows = _numbered(spark, docs)
+    rows = _numbered(docs)
     kept = exact_dedup.exact_dedup(rows, row_col=ROW).filter("kept").select(F.col("rid").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return _only(rows, kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word shingles (five words, 0.8), that of the smallest id; texts without words stay."""
-    rows = _numbered(spark, docs)
+    rows = _numbered(docs)
     kept = ngram_join.similar_components(rows, row_col=ROW).filter("first").select(F.col("rid").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return _only(rows, kept)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +56,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents in sequences of at most 4096 ids. Workers remember fewer words, since they serve the other stages too."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=150_000)
 
 
 STAGES = [
