@@ -361,19 +361,37 @@ def _verify_groups(num: int, den: int):
     return verify
 
 
-def _verify_pivots(num: int, den: int):
+def _verify_pivots(num: int, den: int, shared=None):
+    """Links of each set to its group's pivots, which come with the row or, by group, in a broadcast."""
+
     def verify(stream):
         for batch in stream:
             found = []
-            for sid, tokens, pivots in zip(*(batch.column(c).to_pylist() for c in ("sid", "tokens", "pivots"))):
-                mine = np.frombuffer(tokens, np.uint64)
-                others = _tokens(p["tokens"] for p in pivots)
-                found += [(sid, pivots[j]["sid"]) for j in Index(others).search(mine, num, den, lambda j: pivots[j]["sid"] != sid)]
+            for at in range(0, batch.num_rows, 64):  # few rows at a time become Python objects
+                part = batch.slice(at, 64)
+                columns = [part.column(c).to_pylist() for c in ("sid", "component", "tokens")]
+                rows = [shared.value.get(c, ()) for c in columns[1]] if shared else [[(p["sid"], p["tokens"]) for p in x] for x in part.column("pivots").to_pylist()]
+                for sid, tokens, pivots in zip(columns[0], columns[2], rows):
+                    index = Index(_tokens(t for _, t in pivots))
+                    found += [(sid, pivots[j][0]) for j in index.search(np.frombuffer(tokens, np.uint64), num, den, lambda j: pivots[j][0] != sid)]
             yield _edges(found)
 
     return verify
 
 
+def _pivot_links(large: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
+    """pivots: component, sid, tokens. A broadcast once they were counted and found few and light; else a join by group."""
+    held = pivots.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("tokens")), F.lit(0)).alias("size")).first()
+    if held["n"] <= 10_000 and held["size"] <= 32 << 20:
+        by_group: dict[int, list] = {}
+        for r in pivots.collect():
+            by_group.setdefault(r["component"], []).append((r["sid"], bytes(r["tokens"])))
+        shared = large.sparkSession.sparkContext.broadcast(by_group)
+        return large.mapInArrow(_verify_pivots(num, den, shared), "a long, b long")
+    grouped = pivots.groupBy("component").agg(F.collect_list(F.struct("sid", "tokens")).alias("pivots"))
+    return large.join(grouped, "component").mapInArrow(_verify_pivots(num, den), "a long, b long")
+
+
 def _verify_tiles(num: int, den: int):
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("sid").to_pylist(), right.column("sid").to_pylist()
@@ -396,10 +414,8 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
     for k in range(PIVOT_ROUNDS):
         order = Window.partitionBy("component").orderBy(F.xxhash64("sid", F.lit(k)), "sid")
         chosen = labels.filter(~F.col("settled")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS)
-        pivots = scratch.cut(
-            large.join(broadcast_if_small(chosen.select("sid")), "sid").groupBy("component").agg(F.collect_list(F.struct("sid", "tokens")).alias("pivots")), "pivots"
-        )
-        links.append(scratch.cut(large.join(broadcast_if_small(pivots, 2_000), "component").mapInArrow(_verify_pivots(num, den), "a long, b long"), "links"))
+        pivots = scratch.cut(large.join(broadcast_if_small(chosen.select("sid")), "sid").select("component", "sid", "tokens"), "pivots")
+        links.append(scratch.cut(_pivot_links(large, pivots, num, den), "links"))
         joined = links[0]
         for more in links[1:]:
             joined = joined.unionByName(more)
