@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,28 @@ def shuffle_parts(spark: SparkSession) -> int:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names, so extra columns never clash."""
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether each row of df is a row of one table of files, picked and filtered at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """df with a distinct long for each row that is the same in every job, however a scan is split.
+
+    For Parquet it is the file's place among the files by name, and the row's in the file; any other
+    df is written with numbers once and read again.
+    """
+    if _plain_scan(df):
+        try:
+            files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+            numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _first long")
+            rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+            return rows.join(F.broadcast(numbers), "_file").select(*(rows[f"`{c}`"] for c in df.columns), (F.col("_first") + F.col("_place")).alias(name))
+        except AnalysisException:
+            pass
+    return Scratch(df.sparkSession).cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

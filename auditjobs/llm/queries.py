@@ -35,6 +35,12 @@ def op2_lm_score(spark, sf_dir):
     return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
 
 
+def op2_lm_score_of_pairs(spark, sf_dir):
+    """The same with pairs as the longest n-grams, which its SQL can follow."""
+    scores = lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=2)
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
@@ -74,6 +80,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_score": op2_lm_score,
+    "op2_lm_score_of_pairs": op2_lm_score_of_pairs,
     "op3_toxicity": op3_toxicity,
     "op4_quality_crf": op4_quality_crf,
     "op5_byte_bpe": op5_byte_bpe,
@@ -85,7 +92,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_lm_score": """
+    "op2_lm_score_of_pairs": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

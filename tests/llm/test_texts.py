@@ -171,6 +171,48 @@ def test_stupid_backoff(spark, order):
     assert sorted(key(r.doc_id, r.n_words, r.log_score) for r in got) == sorted(key(d, len(w), score(w)) for (d, _), w in zip(rows, texts))
 
 
+def test_registered_scores_have_contexts_of_two_words(spark):
+    from tests.conftest import DATA
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    texts = [words_of(r.text) for r in rows]
+    counts = Counter(tuple(w[i : i + n]) for w in texts for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    expected = {}
+    for r, w in zip(rows, texts):
+        s = 0.0
+        for i in range(len(w)):
+            three, two = tuple(w[i - 2 : i + 1]) if i > 1 else (), tuple(w[i - 1 : i + 1]) if i else ()
+            if counts[three] >= 2:
+                s += math.log(counts[three] / counts[three[:2]])
+            elif counts[two] >= 2:
+                s += math.log((0.4 if three else 1) * counts[two] / counts[two[:1]])
+            else:
+                s += math.log((0.16 if three else 0.4 if two else 1) * counts[(w[i],)] / sum(map(len, texts)))
+        expected[r.doc_id] = s
+    got = {r.doc_id: r.log_score for r in queries.op2_lm_score(spark, DATA).collect()}
+    assert got == pytest.approx(expected, abs=2e-3)
+
+
+def test_scores_do_not_hang_on_splits(spark, tmp_path):
+    """Each scan of the documents may cut them elsewhere."""
+    frame(spark, corpus()).coalesce(1).write.option("parquet.block.size", 2000).option("parquet.page.size", 500).option("parquet.block.size.row.check.min", 5).parquet(str(tmp_path / "d"))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6))
+    docs = lambda: spark.read.parquet(str(tmp_path / "d"))
+    whole = sorted(map(key, lm_score.stupid_backoff(docs()).collect()))
+    out = lm_score.stupid_backoff(docs())  # counted over one split, scored over others
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in held:
+            spark.conf.set(c, "3000")
+        assert docs().rdd.getNumPartitions() > 1
+        cut = sorted(map(key, lm_score.stupid_backoff(docs()).collect()))
+        late = sorted(map(key, out.select("*").collect()))
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert cut == whole == late
+
+
 def test_forward_backward_sums_over_all_labelings():
     rng = np.random.default_rng(3)
     first = np.array([0, 4, 5, 8])
