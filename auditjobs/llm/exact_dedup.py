@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import Scratch
+from ._io import Scratch, numbered, pick
 
 #: Bytes of a block of the lowest level.
 BLOCK_BYTES = 4096
@@ -49,8 +49,8 @@ def exact_dedup(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     body = F.coalesce(F.col("text").cast("binary"), F.lit(bytearray()))
-    rid = docs[f"`{row_col}`"] if row_col else F.monotonically_increasing_id()
-    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), rid.alias("rid"))
+    columns = {"doc_id": id_col, "text": text_col}
+    base = pick(docs, **columns, rid=row_col) if row_col else numbered(pick(docs, **columns))
     base = base.select("doc_id", body.alias("body"), "rid")
     last = F.greatest(F.ceil(F.length("body") / F.lit(block_bytes)), F.lit(1)).cast("int") - 1
     blocks_of = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * block_bytes + 1, F.lit(block_bytes)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._io import Scratch, broadcast_if_small, shuffle_parts
+from ._io import Scratch, broadcast_if_small, numbered, pick, shuffle_parts
 from ._text import SEPARATORS, hashes, mix, runs, shingles, spans, sums, word_values
 
 #: Cells of the shingle frequency sketch, and cells of one row of it.
@@ -463,11 +463,11 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rid = docs[f"`{row_col}`"] if row_col else F.monotonically_increasing_id()
-    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), rid.alias("rid"))
+    columns = {"doc_id": id_col, "text": text_col}
+    base = pick(docs, **columns, rid=row_col) if row_col else numbered(pick(docs, **columns))
     kind = dict(base.dtypes)["doc_id"]
 
-    def numbered(stream):
+    def sized(stream):
         for batch in stream:
             size, sid = [], []
             for _, tokens in shingle_sets(batch.column(2), n):
@@ -475,7 +475,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 sid.append(set_id(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sid, pa.int64())], ["rid", "doc_id", "n_shingles", "sid"])
 
-    sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(numbered, f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
+    sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(sized, f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
     texts = base.select("text")
     bitmap = frequent_cells(texts, n)
     edges = scratch.cut(candidate_edges(texts, n, num, den, bitmap).distinct(), "candidates")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import Scratch, broadcast_if_light, pick, shuffle_parts
+from ._io import Scratch, broadcast_if_light, numbered, pick, shuffle_parts
 from ._text import hashes, mix, runs, sums
 
 #: Bytes of a repeated string, and of the substrings whose least hash anchors it.
@@ -445,8 +445,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), shuffle_parts(spark)
     carried = {f"column{i}": c for i, c in enumerate(keep)}
-    base = pick(docs, doc_id=id_col, text=text_col, **carried).select(
-        F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named"), *carried
+    base = numbered(pick(docs, doc_id=id_col, text=text_col, **carried)).select(
+        "rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named"), *carried
     )
     rows = scratch.cut(
         base.select("rid", "doc_id", "body").mapInArrow(_anchor_rows(window, gram, parts), _BUNDLE).repartition(parts, "part").mapInArrow(_meet_anchors(parts), _BUNDLE),

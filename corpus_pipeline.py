@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditjobs.llm import exact_dedup, ngram_join, packing, quality_crf, repeat_removal
-from auditjobs.llm._io import Scratch, broadcast_if_small, table
+from auditjobs.llm._io import Scratch, broadcast_if_small, numbered, table
 
 #: A document stays if its quality score is at least this.
 QUALITY_LEAST = 0.3
@@ -15,11 +15,6 @@ QUALITY_LEAST = 0.3
 ROW = "_row_of_stage"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, which a stage reads from Parquet, with the number that each row has in any scan of it."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(kept), ROW, "left_semi").drop(ROW)
 
@@ -34,14 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest id."""
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     kept = exact_dedup.exact_dedup(rows, row_col=ROW).filter("kept").select(F.col("rid").alias(ROW))
     return _only(rows, kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word shingles (five words, 0.8), that of the smallest id; texts without words stay."""
-    rows = _numbered(docs)
+    rows = numbered(docs, ROW)
     kept = ngram_join.similar_components(rows, row_col=ROW).filter("first").select(F.col("rid").alias(ROW))
     return _only(rows, kept)
 

@@ -316,6 +316,29 @@ def test_site_templates(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers_on_other_splits(spark, tmp_path):
+    """Between two jobs a scan may be dealt anew, as when an executor leaves."""
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(t for _, t in corpus())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = lambda: spark.read.parquet(str(tmp_path / "d"))
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    stages = corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.repeated_passages
+    whole = [key(stage(spark, docs(), None)) for stage in stages]
+    begun = [stage(spark, docs(), None) for stage in stages]
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    parts = docs().rdd.getNumPartitions()
+    try:
+        for c in held:
+            spark.conf.set(c, "100")
+        assert docs().rdd.getNumPartitions() > parts
+        assert [key(df.select("*")) for df in begun] == whole
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tests.conftest import DATA
