@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ._io import Scratch, broadcast_if_small, pick
 
-#: A subtree is a template if it is on at least this many pages of its host and on this share of them.
+#: A subtree is a template if it is on at least this many different pages of its host and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.3
+#: On hosts of very many pages, this many different pages are enough without the share.
+MANY_PAGES = 1000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -54,10 +56,10 @@ _WHOLE = {"html", "body", "main", "article", "#page"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "print")
+    __slots__ = ("tag", "attrs", "parts", "print", "places")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.parts, self.print = tag, attrs, [], 0
+        self.tag, self.attrs, self.parts, self.print, self.places = tag, attrs, [], 0, ()
 
 
 def parse(source: str) -> Node:
@@ -105,7 +107,8 @@ def parse(source: str) -> Node:
 
 
 def fingerprint(root: Node) -> None:
-    """Give each element the hash of its tag, text and the hashes below it."""
+    """Give each element the hash of its tag, attributes, text and the hashes below it; and two hashes of that and its place: the
+    elements above it, and how many stand before or after it."""
     todo = [(root, False)]
     while todo:
         node, below = todo.pop()
@@ -114,8 +117,20 @@ def fingerprint(root: Node) -> None:
             todo.extend((x, False) for x in node.parts if isinstance(x, Node))
             continue
         parts = [str(x.print) if isinstance(x, Node) else " ".join(x.split()) for x in node.parts]
-        key = node.tag + "\0" + "\0".join(p for p in parts if p)
-        node.print = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - 2**63
+        node.print = _hash(node.tag, " ".join(node.attrs.split()), *(p for p in parts if p))
+    todo = [(root, 0)]
+    while todo:
+        node, above = todo.pop()
+        # the page's own elements tell by their attributes of the page, not of the site
+        above = _hash(str(above), node.tag, "" if node.tag in _WHOLE else " ".join(node.attrs.split()))
+        below = [x for x in node.parts if isinstance(x, Node)]
+        for i, x in enumerate(below):
+            x.places = (_hash(str(above), str(x.print), "before", str(i)), _hash(str(above), str(x.print), "after", str(len(below) - i)))
+            todo.append((x, above))
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - 2**63
 
 
 def marked(node: Node) -> bool:
@@ -146,7 +161,7 @@ def _text_size(node: Node, templates: frozenset) -> int:
         for x in todo.pop().parts:
             if isinstance(x, str):
                 size += len(x)
-            elif not marked(x) and x.print not in templates:
+            elif not marked(x) and templates.isdisjoint(x.places):
                 todo.append(x)
     return size
 
@@ -186,7 +201,7 @@ def blocks(node: Node, templates: frozenset) -> list[str]:
                 piece.append(html.unescape(x) if "&" in x else x)
             elif x.tag == "br":
                 piece.append(" ")
-            elif marked(x) or x.print in templates:
+            elif marked(x) or not templates.isdisjoint(x.places):
                 if x.tag in _BLOCK:
                     close()
             else:
@@ -207,11 +222,13 @@ def main_text(source: str, templates: frozenset = frozenset()) -> str:
     root = parse(source)
     if templates:
         fingerprint(root)
-    return "\n".join(blocks(main_element(root, templates), templates))
+    chosen = main_element(root, templates)
+    # what an article element holds is its text, however often the site repeats it
+    return "\n".join(blocks(chosen, frozenset() if chosen.tag == "article" else templates))
 
 
 def subtrees(source: str) -> set[int]:
-    """Hashes of the elements that hold text, but for those that stand for the whole page."""
+    """Hashes, with the place, of the elements that hold text, but for those that stand for the whole page."""
     root = parse(source)
     fingerprint(root)
     out, todo = set(), [root]
@@ -219,19 +236,20 @@ def subtrees(source: str) -> set[int]:
         node = todo.pop()
         below = [x for x in node.parts if isinstance(x, Node) and not marked(x)]
         if node.tag not in _WHOLE and any(isinstance(x, Node) or x.strip() for x in node.parts):
-            out.add(node.print)
+            out.update(node.places)
         todo.extend(below)
     return out
 
 
 def _subtree_rows(stream) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        hosts, prints = [], []
+        hosts, prints, pages = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = subtrees(source or "")
             hosts += [host] * len(found)
             prints += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64())], ["host", "print"])
+            pages += [_hash(source or "")] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(pages, pa.int64())], ["host", "print", "page"])
 
 
 def _text_rows(stream) -> Iterator[pa.RecordBatch]:
@@ -247,15 +265,17 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates array<long>: subtrees on at least ``min_pages`` pages of the host and ``min_share`` of them.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """host, templates array<long>: subtrees on at least ``min_pages`` pages of the host and ``min_share`` of them, or on ``many_pages``.
 
-    pages: host, html. Counts combine before the shuffle, so a host may hold any
-    share of the pages. A host has at most 1 / min_share as many templates as a page has subtrees.
+    pages: host, html. Pages of equal html count once. Rows combine before the shuffle, so a host may hold any
+    share of the pages. A host has at most 1 / min_share as many templates as a page has subtrees, or those of its pages / many_pages.
     """
-    counted = pages.select("host", "html").mapInArrow(_subtree_rows, "host string, print long").groupBy("host", "print").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    often = counted.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.lit(min_share))
+    rows = pages.select("host", "html").mapInArrow(_subtree_rows, "host string, print long, page long").distinct()
+    counted = rows.groupBy("host", "print").agg(F.count(F.lit(1)).alias("n"))
+    different = pages.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")).distinct()
+    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    often = counted.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= F.least(F.col("pages") * F.lit(min_share), F.lit(many_pages)))
     return often.groupBy("host").agg(F.array_sort(F.collect_list("print")).alias("templates"))
 
 
@@ -264,11 +284,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Elements that tag or attributes mark (menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, comments of readers) are dropped, and so are
-    subtrees that recur across many pages of the host, whatever their tags.
+    subtrees that recur with attributes and place across many different pages of the host, whatever their tags; but
+    nothing that an article element holds is dropped for recurring.
     Text within a block has single blanks; blocks are joined by a line feed.
 
     Null or empty html gives an empty text. Pages without a host count as of one host
-    named ''. Repeated pages count as often as they occur. Broken markup is repaired, not dropped.
+    named ''. Of repeated pages one counts. Broken markup is repaired, not dropped.
     """
     scratch = Scratch(pages.sparkSession)
     own = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))

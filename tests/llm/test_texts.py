@@ -316,6 +316,23 @@ def test_site_templates(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_copies_and_shared_paragraphs_stay(spark):
+    wrap = lambda i, inner: f"<body><div class=q>Site words</div><article><h1>T{i}</h1><p>own text {i}</p>{inner}</article>"
+    rows = [(i, "http://a.example/", "<body><p>copied page</p><p>its <b>end</b></p>") for i in range(6)]
+    rows += [(10 + i, "http://a.example/", f"<body><div><p>page {i}</p></div>") for i in range(8)]
+    rows += [(30 + i, "http://b.example/", wrap(i, "<p>shared <b>note</b></p>" if i < 6 else "")) for i in range(12)]
+    # without an article element: the same paragraph, here and there on the page, is no template; the line at the end is
+    rows += [(50 + i, "http://c.example/", "<body>" + "".join(f"<p>one {i} {k}</p>" for k in range(i)) + "<p>often said</p>" + "".join(f"<p>two {i} {k}</p>" for k in range(9 - i)) + "<div>All rights</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"copied page\nits end"}
+    assert got[30] == "T0\nown text 0\nshared note" and got[41] == "T11\nown text 11"
+    assert all("often said" in got[50 + i] and "All rights" not in got[50 + i] for i in range(8))
+    # many pages are enough on a host on which no share of them is reached
+    pages = spark.createDataFrame([("d", f"<p>{i}</p>" + ("<div>foot</div>" if i < 6 else "")) for i in range(40)], "host string, html string")
+    assert html_extract.site_templates(pages).count() == 0
+    assert len(html_extract.site_templates(pages, many_pages=6).first().templates) == 2
+
+
 def test_rows_keep_their_numbers_on_other_splits(spark, tmp_path):
     """Between two jobs a scan may be dealt anew, as when an executor leaves."""
     import corpus_pipeline
