@@ -19,6 +19,8 @@ from ..sources.scratch import shared_folder
 from . import adapters as A
 
 QUERIES, ORACLE_SQL = {}, {}
+#: Queries with the operators' own depths, sections and budgets, which no SQL follows; QUERIES has their small forms.
+WHOLE = {}
 #: The moment that ages count from.
 AS_OF_SQL = f"TIMESTAMP '{A.AS_OF}'"
 
@@ -116,6 +118,14 @@ def register(name: str, shared: str = "", sql: str | None = None):
     return add
 
 
+def whole(name: str):
+    def add(query):
+        WHOLE[name] = query
+        return query
+
+    return add
+
+
 def _as_of():
     return F.lit(A.AS_OF).cast("timestamp_ntz")
 
@@ -462,7 +472,7 @@ def _file_findings(spark, d):
 
 
 @register(
-    "jn_10_finding_history", "commits numstat",
+    "jn_10_finding_history_small", "commits numstat",
     f"""SELECT e.id, s.section, CAST(s.place AS INT) AS place, s.line FROM (SELECT 'R' || (event_id % 4) AS repo, event_id AS id, 'src/P' || user_id || '.sol' AS path FROM events) e
         JOIN (SELECT repo, path, 1 AS section, place, {COMMIT_LINE} AS line FROM ({HISTORY}) WHERE place <= 5
               UNION ALL SELECT repo, NULL, 2, place, {COMMIT_LINE} FROM (SELECT *, {NEWEST.format('repo')} AS place FROM (SELECT * FROM (SELECT *, {NEWEST.format('repo')} AS p FROM commits WHERE date >= {DAY.format(30)}) WHERE p <= 100) WHERE {SECURITY}) WHERE place <= 5
@@ -474,6 +484,11 @@ def jn_10(spark, d):
     return rows.filter("section < 4")  # hotspot lines hold rounded numbers: ag_07 checks them
 
 
+@whole("jn_10_finding_history")
+def jn_10_whole(spark, d):
+    return H.finding_history(_file_findings(spark, d), A.commits(spark, d), A.adapted(spark, d, "numstat"), _as_of())
+
+
 # ---- extraction ----------------------------------------------------------------------------------
 
 
@@ -597,7 +612,7 @@ SHOW = "'-> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END"
 
 
 @register(
-    "gr_05_call_chain", "calls",
+    "gr_05_call_chain_small", "calls",
     f"""SELECT seed, 'Call chain from ' || seed || ':' || chr(10) || string_agg(line, chr(10) ORDER BY depth, turn, place) AS chain FROM (
         SELECT src AS seed, 0 AS depth, 0 AS turn, place, '  ' || {SHOW} AS line FROM ({TOP}) WHERE place <= 5
         UNION ALL SELECT a.src, 1, a.place, coalesce(b.place, 0), '    ' || coalesce('-> ' || b.dst || CASE WHEN b.is_external THEN ' [external]' ELSE '' END, '(leaf)')
@@ -608,6 +623,12 @@ def gr_05(spark, d):
     return G.call_chain(calls, _nodes(calls, "src"), max_depth=1).select("seed", "chain")
 
 
+@whole("gr_05_call_chain")
+def gr_05_whole(spark, d):
+    calls = A.adapted(spark, d, "calls")
+    return G.call_chain(calls, _nodes(calls, "src")).select("seed", "chain")
+
+
 @register(
     "gr_06_dependency_report", "edges",
     f"""WITH x AS (SELECT * FROM (WITH e AS (SELECT DISTINCT source, target FROM edges) {CLOSURE}))
@@ -782,7 +803,7 @@ def jn_09(spark, d):
 
 
 @register(
-    "wn_02_pack_contracts", "findings sup vars functions contracts graph",
+    "wn_02_pack_contracts_small", "findings sup vars functions contracts graph",
     f"""WITH t AS MATERIALIZED ({PLAIN_TEXT}), parts AS (SELECT f.id, 0 AS place, {FOCUS_TEXT} AS content FROM findings f JOIN t ON t.name = f.contract
              UNION ALL SELECT f.id, 1, t.text FROM findings f JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN t ON t.name = g.target),
         run AS (SELECT *, sum(length(content) // 4) OVER (PARTITION BY id ORDER BY place ROWS UNBOUNDED PRECEDING) AS used FROM parts)
@@ -793,8 +814,21 @@ def wn_02(spark, d):
     return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions), 420)
 
 
+@whole("wn_02_pack_contracts")
+def wn_02_whole(spark, d):
+    contracts, functions = _indexed(spark, d)
+    return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions))
+
+
+def _lookups(spark, d, *most_chars):
+    contracts, functions = _indexed(spark, d)
+    texts = X.contract_text(contracts, functions).select("repo", "name", X.with_focus().alias("text"))
+    names = A.table(spark, d, "events").select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("name")).union(spark.createDataFrame([("G1",)], "name string")).distinct()
+    return G.contract_lookup(texts, G.build_terms(contracts, functions), names.select(F.lit("main").alias("repo"), "name"), *most_chars).select("name", "answer")
+
+
 @register(
-    "st_02_contract_lookup", "sup vars functions contracts",
+    "st_02_contract_lookup_small", "sup vars functions contracts",
     f"""WITH asked AS (SELECT DISTINCT 'S' || user_id AS name FROM events UNION SELECT 'G1'), hit AS (SELECT a.name, t.text FROM asked a LEFT JOIN ({PLAIN_TEXT}) t USING (name)),
         near AS (SELECT query, string_agg(contract, ', ' ORDER BY place) AS xs FROM (SELECT query, contract, row_number() OVER (PARTITION BY query ORDER BY max(CASE WHEN term = lower(query) THEN 1 ELSE 0 END) DESC, contract) AS place
                  FROM (SELECT name AS query FROM hit WHERE text IS NULL) q JOIN ({TERMS}) t ON contains(term, lower(query)) OR contains(lower(query), term) GROUP BY query, contract) WHERE place <= 5 GROUP BY query)
@@ -803,17 +837,19 @@ def wn_02(spark, d):
         FROM hit LEFT JOIN near ON near.query = hit.name""".replace("WITH asked AS", ", asked AS", 1),
 )
 def st_02(spark, d):
-    contracts, functions = _indexed(spark, d)
-    texts = X.contract_text(contracts, functions).select("repo", "name", X.with_focus().alias("text"))
-    names = A.table(spark, d, "events").select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("name")).union(spark.createDataFrame([("G1",)], "name string")).distinct()
-    return G.contract_lookup(texts, G.build_terms(contracts, functions), names.select(F.lit("main").alias("repo"), "name"), 600).select("name", "answer")
+    return _lookups(spark, d, 600)
+
+
+@whole("st_02_contract_lookup")
+def st_02_whole(spark, d):
+    return _lookups(spark, d)
 
 
 CHAIN_TOP = "SELECT src_contract || '.' || src_function AS src, dst_contract || '.' || dst_function AS dst, is_external, row_number() OVER (PARTITION BY src_contract, src_function ORDER BY dst_contract || '.' || dst_function, is_external) AS place FROM cedges"
 
 
 @register(
-    "jn_14_finding_call_context", "findings cedges functions",
+    "jn_14_finding_call_context_small", "findings cedges functions",
     f"""WITH top AS MATERIALIZED (SELECT * FROM ({CHAIN_TOP}) WHERE place <= 5), seeds AS (SELECT DISTINCT contract || '.' || function AS seed FROM findings),
         chain AS (SELECT seed, 'Call chain from ' || seed || ':' || chr(10) || string_agg(line, chr(10) ORDER BY depth, turn, place) AS chain FROM (
             SELECT seed, 0 AS depth, 0 AS turn, coalesce(place, 0) AS place, coalesce('  -> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END, '  (leaf)') AS line FROM seeds LEFT JOIN top ON src = seed
@@ -829,6 +865,11 @@ def jn_14(spark, d):
     return X.finding_call_context(_findings(spark, d), _call_edges(spark, d), _indexed(spark, d)[1], 1)
 
 
+@whole("jn_14_finding_call_context")
+def jn_14_whole(spark, d):
+    return X.finding_call_context(_findings(spark, d), _call_edges(spark, d), _indexed(spark, d)[1])
+
+
 @register(
     "jn_15_finding_flow_context", "findings functions flows",
     f"""SELECT f.id, '=== Data Flow Context ===' || chr(10) || 'Reads: ' || array_to_string(storage_reads[1:10], ', ') || chr(10) || 'Writes: ' || array_to_string(storage_writes[1:10], ', ')
@@ -861,13 +902,13 @@ ELEMENTS = f"""SELECT id, 0 AS seq, {FINDING_TEXT} AS content, 1.0::DOUBLE AS re
        UNION ALL SELECT f.id, 200000, {FOCUS_TEXT}, 0.9, 'semantic_graph' FROM findings f JOIN ({PLAIN_TEXT}) t ON t.name = f.contract"""
 
 
-@register("set_01_context_elements", "findings sup lines vars functions contracts", f"SELECT id, CAST(seq AS INT) AS seq, length(content) AS chars, CAST(1 AS INT) AS priority, source, CAST(floor(length(content) * 0.25) AS INT) AS tokens, relevance FROM ({ELEMENTS})")
+@register("set_01_context_elements_small", "findings sup lines vars functions contracts", f"SELECT id, CAST(seq AS INT) AS seq, length(content) AS chars, CAST(1 AS INT) AS priority, source, CAST(floor(length(content) * 0.25) AS INT) AS tokens, relevance FROM ({ELEMENTS})")
 def set_01(spark, d):
     return _elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
 
 
 @register(
-    "wn_01_pack_context", "findings sup lines vars functions contracts",
+    "wn_01_pack_context_small", "findings sup lines vars functions contracts",
     f""", e AS MATERIALIZED (SELECT *, CAST(floor(length(content) * 0.25) AS INT) AS tokens FROM ({ELEMENTS})),
         r AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY relevance DESC ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY id ORDER BY relevance DESC) AS place FROM e),
         o AS (SELECT *, min(CASE WHEN run > 700 THEN place END) OVER (PARTITION BY id) AS over FROM r),
@@ -879,6 +920,28 @@ def wn_01(spark, d):
     return X.pack_context(_elements(spark, d), 700)
 
 
+def _more_elements(spark, d):
+    """All kinds of elements that an operator makes: all but git and structure."""
+    findings, texts, edges = _findings(spark, d), _texts(spark, d), G.build_edges(*_indexed(spark, d))
+    functions = _indexed(spark, d)[1]
+    more = {
+        "dependency": X.finding_dependencies(findings, edges, texts),
+        "call_graph": X.finding_call_context(findings, _call_edges(spark, d), functions),
+        "data_flow": X.finding_flow_context(findings, functions, _flows(spark, d)),
+    }
+    return _elements(spark, d).unionByName(X.context_elements(more))
+
+
+@whole("set_01_context_elements")
+def set_01_whole(spark, d):
+    return _more_elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
+
+
+@whole("wn_01_pack_context")
+def wn_01_whole(spark, d):
+    return X.pack_context(_more_elements(spark, d))
+
+
 @register("wn_06_first_n_per_key", "calls", f"SELECT src, dst, CAST(place AS INT) AS place FROM ({TOP}) WHERE place <= 5")
 def wn_06(spark, d):
     return G.first_n_per_key(A.adapted(spark, d, "calls"), ["src"], ["dst", "is_external"], 5).select("src", "dst", "place")

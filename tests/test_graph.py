@@ -110,3 +110,33 @@ def test_resolution_order(spark):
     edges = C.call_edges(functions, variables, contracts)
     assert {(e.dst, e.is_external) for e in edges.collect()} == {("Token.go", True), ("Pool.go", True), ("IPool.get", True), ("x.y", True), ("A.f", False)}
     assert C.resolve_internal_calls(functions, drop_self=True).count() == 0
+
+
+def test_registered_chains_and_history_are_whole(spark):
+    from tests.conftest import DATA
+
+    import __spark_entry__
+    from auditjobs.jobs import adapters as A
+
+    queries = __spark_entry__.queries()
+    out = defaultdict(list)
+    for r in A.adapted(spark, DATA, "calls").collect():
+        out[r.src].append((r.dst, r.is_external))
+
+    def expected(start):
+        lines, seen, queue = [f"Call chain from {start}:"], set(), deque([(start, 0)])
+        while queue:
+            x, d = queue.popleft()
+            if x in seen or d > 3:
+                continue
+            seen.add(x)
+            if x not in out:
+                lines.append("  " * (d + 1) + "(leaf)")
+            for b, external in sorted(out.get(x, []))[:5]:
+                lines.append("  " * (d + 1) + "-> " + b + (" [external]" if external else ""))
+                queue.append((b, d + 1))
+        return "\n".join(lines)
+
+    found = {r.seed: r.chain for r in queries["gr_05_call_chain"](spark, DATA).collect()}
+    assert found == {x: expected(x) for x in list(out)}
+    assert {r.section for r in queries["jn_10_finding_history"](spark, DATA).select("section").distinct().collect()} >= {4}
