@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Rows are taken in runs of about this many bytes; a longer text is a run of its own.
 RUN_BYTES = 1 << 20
@@ -95,9 +96,30 @@ def spans(apart: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(~apart & after) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_values() -> np.ndarray:
-    """Byte values that do not tell A-Z from a-z."""
-    return BYTE_VALUES[FOLD]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word data[start:end], A-Z as a-z: its length, then eight bytes at a time, mixed after each.
+
+    Words of up to eight bytes and one length never share a hash. Words of over 256 bytes are hashed by xxhash.
+    """
+    folded = np.zeros(len(data) + 8, np.uint8)
+    np.take(FOLD, data, out=folded[: len(data)])
+    eights = np.ndarray((len(data) + 1,), "<u8", folded, strides=(1,))
+    length = ends - starts
+    out = length.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    at, left = starts, length
+    for lo in range(0, 256, 8):
+        if lo:
+            more = np.flatnonzero(left > lo)
+            if not len(more):
+                return out
+            at, short = starts[more] + lo, left[more] - lo
+        else:
+            more, short = slice(None), left
+        chunk = eights[at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(8) * np.maximum(8 - short, 0).astype(np.uint64)))
+        out[more] = mix(out[more] ^ chunk) + U(0x9E3779B97F4A7C15)
+    for i in np.flatnonzero(length > 256):
+        out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]])
+    return out
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import Scratch, numbered, pick, shuffle_parts
-from ._text import SEPARATORS, hashes, mix, runs, spans, sums, word_values
+from ._text import SEPARATORS, mix, runs, spans, word_hashes
 
 ORDER = 3
 #: Weight of each step back, and the count from which an n-gram of two or more words is in the model.
@@ -23,10 +23,9 @@ U = np.uint64
 
 def ngrams(column, order: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(row, hashes of its runs of 1, 2, ... order words) for each text; words as blanks and control separators part them, A-Z lower-cased."""
-    values = word_values()
     for lo, data, offsets in runs(column):
         starts, ends, rows = spans(SEPARATORS[data], offsets)
-        words = hashes(sums(data, values), starts, ends)
+        words = word_hashes(data, starts, ends)
         at = np.searchsorted(rows, np.arange(len(offsets)))
         for i in range(len(offsets) - 1):
             own = words[at[i] : at[i + 1]]

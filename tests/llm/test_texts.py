@@ -44,7 +44,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("n, num, small", [(3, 90, False), (5, 80, False), (5, 80, True), (2, 50, True)])
 def test_components(spark, monkeypatch, n, num, small):
     if small:
-        for name, value in (("GROUP_SETS", 3), ("TILE_SETS", 4), ("PIVOTS", 1), ("PIVOT_ROUNDS", 1)):
+        for name, value in (("GROUP_SETS", 3), ("TILE_SETS", 4), ("TILE_TOKENS", 300), ("HEAP_ENTRIES", 4), ("PIVOTS", 1), ("PIVOT_ROUNDS", 1)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = corpus()
     sets = []
@@ -92,6 +92,76 @@ def test_linked_sets_share_a_key():
             common = len(np.intersect1d(a, b))
             if len(b) and not np.array_equal(a, b) and 100 * common >= num * (len(a) + len(b) - common):
                 assert np.intersect1d(ngram_join.document_keys(a, bitmap, num, 100), ngram_join.document_keys(b, bitmap, num, 100)).size
+                assert np.intersect1d(ngram_join.strict_keys(a, len(a), num, 100), ngram_join.strict_keys(b, len(b), num, 100)).size
+
+
+def test_words_of_two_letters_differ():
+    """Words that polynomial hashes modulo a power of two cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    import pyarrow as pa
+
+    sets = dict(ngram_join.shingle_sets(pa.array([a, b, a.upper(), a[:300], b[:300], a[:40], b[:40]]), 3))
+    assert [int(x[0]) for x in sets.values()].count(int(sets[0][0])) == 2
+    assert len({int(x[0]) for x in sets.values()}) == 6
+
+
+def test_search_finds_what_every_pair_shows():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 80, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        keep = base[rng.random(80) > rng.random() * 0.3]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**64, int(rng.integers(0, 14)), dtype=np.uint64)])))
+    for num in (60, 80, 90):
+        linked = [[100 * (c := len(np.intersect1d(a, b))) >= num * (len(a) + len(b) - c) for b in sets] for a in sets]
+        index = ngram_join.Index(sets)
+        for i, a in enumerate(sets):
+            assert sorted(index.search(a, num, 100, np.arange(len(sets)), -1)) == [j for j in range(len(sets)) if linked[i][j]]
+        up = ngram_join.links_within(sets, num, 100)
+        graph = {i: i for i in range(len(sets))}
+        for _ in range(len(sets)):
+            for i, j in up:
+                graph[i] = graph[j] = min(graph[i], graph[j])
+        whole = {i: i for i in range(len(sets))}
+        for _ in range(12):
+            for i in whole:
+                whole[i] = min(whole[j] for j in range(len(sets)) if linked[i][j])
+        assert graph == whole
+
+
+def test_large_group_of_near_copies(spark):
+    """Many near copies of one text, a part of them linked to nothing, at the production constants."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(900):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(70)] = f"u{rng.randrange(60 if i % 2 else 10**9)}"
+        if i % 3 == 0:
+            words = words[rng.randrange(6) : 70 - rng.randrange(6)]
+        rows.append((i, " ".join(words)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    up = {i: i for i, _ in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert len(set(got.values())) > 50
+    assert got == {i: find(i) for i in sets}
 
 
 def test_graph_components(spark):
