@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._io import pick
+from ._memory import lean
 
 #: Texts are encoded in runs of about this many characters, so memory follows the run or one text.
 RUN_CHARS = 1 << 20
@@ -98,7 +99,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     kind = dict(docs.dtypes)[id_col]
     extra = ", starts array<int>, ends array<int>" if offsets else ""
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(batches, f"doc_id {kind}, ids array<int>{extra}")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(lean(batches), f"doc_id {kind}, ids array<int>{extra}")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -114,7 +115,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = dict(tokens.dtypes)[id_col]
-    return pick(tokens, doc_id=id_col, ids=ids_col).mapInArrow(batches, f"doc_id {kind}, text string")
+    return pick(tokens, doc_id=id_col, ids=ids_col).mapInArrow(lean(batches), f"doc_id {kind}, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,4 +134,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(lean(batches), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import Scratch, broadcast_if_small, pick
+from ._memory import lean
 
 #: A subtree is a template if it is on at least this many different pages of its host and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.3
@@ -271,7 +272,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     pages: host, html. Pages of equal html count once. Rows combine before the shuffle, so a host may hold any
     share of the pages. A host has at most 1 / min_share as many templates as a page has subtrees, or those of its pages / many_pages.
     """
-    rows = pages.select("host", "html").mapInArrow(_subtree_rows, "host string, print long, page long").distinct()
+    rows = pages.select("host", "html").mapInArrow(lean(_subtree_rows), "host string, print long, page long").distinct()
     counted = rows.groupBy("host", "print").agg(F.count(F.lit(1)).alias("n"))
     different = pages.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")).distinct()
     sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
@@ -295,4 +296,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
     templates = scratch.cut(site_templates(own, min_pages, min_share), "templates")
     joined = own.join(broadcast_if_small(templates, 20_000), "host", "left").select("page_id", "url", "html", "templates")
-    return joined.mapInArrow(_text_rows, f"page_id {dict(own.dtypes)['page_id']}, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(_text_rows), f"page_id {dict(own.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import Scratch, numbered, pick, shuffle_parts
+from ._memory import give_back, lean
 from ._text import SEPARATORS, mix, runs, spans, word_hashes
 
 ORDER = 3
@@ -152,7 +153,10 @@ def _score(order: int, parts: int, words: int, backoff: float, least: int):
             for k, x in enumerate(piece.totals(), i):
                 totals[k][n] = x
         scores = [document_score(t, words, backoff, least) for t in totals]
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array([len(d[0]) for d in documents], pa.int64()), "log_score": pa.array(scores, pa.float64())})
+        n_words = [len(d[0]) for d in documents]
+        del documents, totals, pieces
+        give_back()
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(scores, pa.float64())})
 
     return score
 
@@ -176,8 +180,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     base = numbered(pick(docs, doc_id=id_col, text=text_col))
     counted = None
     for lengths in [tuple(range(min(order, 2))), *((n,) for n in range(2, order))]:
-        rows = base.select("rid", "text").mapInArrow(_chunk_rows(lengths, parts), "part int, chunk long, lo long, hi long, n int, grams binary, counts binary")
-        met = scratch.cut(rows.repartition(parts, "part").mapInArrow(_add_counts, "chunk long, lo long, hi long, part int, n int, places binary, totals binary"), "counts")
+        rows = base.select("rid", "text").mapInArrow(lean(_chunk_rows(lengths, parts)), "part int, chunk long, lo long, hi long, n int, grams binary, counts binary")
+        met = scratch.cut(rows.repartition(parts, "part").mapInArrow(lean(_add_counts), "chunk long, lo long, hi long, part int, n int, places binary, totals binary"), "counts")
         counted = met if counted is None else counted.unionByName(met)
     words = sum(np.frombuffer(r.totals, "<i8")[0].item() for r in counted.filter("n = -1").select("totals").collect())
     chunks = base.select("rid", "doc_id", "text", F.shiftright("rid", CHUNK_BITS).alias("chunk")).groupBy("chunk")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._io import Scratch, broadcast_if_small, numbered, pick, shuffle_parts
+from ._memory import lean
 from ._text import SEPARATORS, mix, runs, shingles, spans, word_hashes
 
 #: Cells of the shingle frequency sketch, and cells of one row of it.
@@ -97,7 +98,7 @@ def frequent_cells(texts: DataFrame, n: int) -> np.ndarray:
 
     scratch = Scratch(texts.sparkSession)
     summed = scratch.cut(
-        texts.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary, total long"), "cells"
+        texts.mapInArrow(lean(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary, total long"), "cells"
     )
     total = summed.agg(F.sum("total")).first()[0] or 0
     least = FREQUENT_TIMES * total / CELLS + FREQUENT_LEAST
@@ -108,7 +109,7 @@ def frequent_cells(texts: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary())], ["chunk", "flags"])
 
     bitmap = np.zeros((CELLS // CHUNK, CHUNK // 8), np.uint8)
-    for row in summed.select("chunk", "counts").mapInArrow(flag, "chunk int, flags binary").collect():  # CELLS / 8 bytes in all
+    for row in summed.select("chunk", "counts").mapInArrow(lean(flag), "chunk int, flags binary").collect():  # CELLS / 8 bytes in all
         bitmap[row["chunk"]] = np.frombuffer(row["flags"], np.uint8)
     return bitmap.ravel()
 
@@ -242,7 +243,7 @@ def keyed_edges(rows: DataFrame, keyed) -> DataFrame:
             _, _, a, b = _combine(np.concatenate(key), np.concatenate(sid))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(emit, "part int, edges boolean, x binary, y binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long")
+    return rows.mapInArrow(lean(emit), "part int, edges boolean, x binary, y binary").repartitionById(parts, "part").mapInArrow(lean(meet), "a long, b long")
 
 
 def candidate_edges(texts: DataFrame, n: int, num: int, den: int, bitmap: np.ndarray) -> DataFrame:
@@ -343,7 +344,7 @@ def able(rows: DataFrame, num: int, den: int) -> DataFrame:
             sids, counts = np.unique(lone[lone != 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(counts.astype(np.int64))], ["sid", "alone"])
 
-    alone = rows.select("sid", "component", "tokens").mapInArrow(emit, "part int, keys binary, sids binary").repartitionById(parts, "part").mapInArrow(meet, "sid long, alone long")
+    alone = rows.select("sid", "component", "tokens").mapInArrow(lean(emit), "part int, keys binary, sids binary").repartitionById(parts, "part").mapInArrow(lean(meet), "sid long, alone long")
     alone = alone.groupBy("sid").agg(F.sum("alone").alias("alone"))
     sized = rows.select("sid", "component", (F.length("tokens") / 8).cast("long").alias("n")).join(alone, "sid", "left")
     shared = F.col("n") - F.coalesce("alone", F.lit(0))
@@ -519,9 +520,9 @@ def _pivot_links(large: DataFrame, pivots: DataFrame, num: int, den: int) -> Dat
         for r in pivots.collect():
             by_group.setdefault(r["component"], []).append((r["sid"], bytes(r["tokens"])))
         shared = large.sparkSession.sparkContext.broadcast(by_group)
-        return large.mapInArrow(_verify_pivots(num, den, shared), "a long, b long")
+        return large.mapInArrow(lean(_verify_pivots(num, den, shared)), "a long, b long")
     grouped = pivots.groupBy("component").agg(F.collect_list(F.struct("sid", "tokens")).alias("pivots"))
-    return large.join(grouped, "component").mapInArrow(_verify_pivots(num, den), "a long, b long")
+    return large.join(grouped, "component").mapInArrow(lean(_verify_pivots(num, den)), "a long, b long")
 
 
 def _verify_tiles(num: int, den: int):
@@ -559,7 +560,7 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
 
 def _links_of_small(small: DataFrame, num: int, den: int) -> DataFrame:
     dealt = small.select("sid", "component", "tokens").repartition(4 * shuffle_parts(small.sparkSession), "component").sortWithinPartitions("component")
-    return dealt.mapInArrow(_verify_groups(num, den), "a long, b long")
+    return dealt.mapInArrow(lean(_verify_groups(num, den)), "a long, b long")
 
 
 def _links_by_pivots(rows: DataFrame, scratch: Scratch, num: int, den: int) -> list[DataFrame]:
@@ -640,7 +641,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 sid.append(set_id(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sid, pa.int64())], ["rid", "doc_id", "n_shingles", "sid"])
 
-    sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(sized, f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
+    sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(lean(sized), f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
     texts = base.select("text")
     bitmap = frequent_cells(texts, n)
     edges = scratch.cut(candidate_edges(texts, n, num, den, bitmap).distinct(), "candidates")
@@ -657,7 +658,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(tokens, pa.binary())], ["sid", "component", "sets", "tokens"])
 
     with_tokens = scratch.cut(
-        base.select("rid", "text").join(broadcast_if_small(members), "rid").select("sid", "component", "sets", "text").mapInArrow(fetched, "sid long, component long, sets long, tokens binary"),
+        base.select("rid", "text").join(broadcast_if_small(members), "rid").select("sid", "component", "sets", "text").mapInArrow(lean(fetched), "sid long, component long, sets long, tokens binary"),
         "tokens",
     )
     links = [_links_of_small(with_tokens.filter(F.col("sets") <= GROUP_SETS), num, den)]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import Scratch, pick
+from ._memory import lean
 
 CAPACITY = 4096
 #: Closes each document.
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(lean(batches), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

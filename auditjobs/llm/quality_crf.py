@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import pick
+from ._memory import lean
 from ._text import BYTE_VALUES, SEPARATORS, hashes, runs, spans, sums
 
 #: Documents that the field is fitted on, at most. Chosen by a hash of their id among the labelled rows given.
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
     known = pick(labels.filter(may_learn), doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    rows = texts.mapInArrow(_fit_rows, "label int, lines binary").toArrow()
+    rows = texts.mapInArrow(lean(_fit_rows), "label int, lines binary").toArrow()
     good = rows.column("label").to_numpy() > 0
     lines = [np.frombuffer(x, "<f4").reshape(-1, OWN).astype(np.float64) for x in rows.column("lines").to_pylist()]
     if not len(good) or good.all() or not good.any():
@@ -204,4 +205,4 @@ def score(docs: DataFrame, theta: np.ndarray, id_col: str = "doc_id", text_col:
     others = {f"column{i}": c for i, c in enumerate(keep) if c not in (id_col, text_col)}
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"doc_id {kinds[id_col]}", "score double", *(f"column{i} {kinds[c]}" for i, c in enumerate(keep))])
-    return pick(docs, doc_id=id_col, text=text_col, **others).mapInArrow(batches, schema)
+    return pick(docs, doc_id=id_col, text=text_col, **others).mapInArrow(lean(batches), schema)

@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import Scratch, broadcast_if_light, numbered, pick, shuffle_parts
+from ._memory import lean
 from ._text import hashes, mix, runs, sums
 
 #: Bytes of a repeated string, and of the substrings whose least hash anchors it.
 WINDOW, GRAM = 100, 40
 #: Anchors, or single strings, that a task combines before it passes them on.
-BUFFER_ANCHORS = 1 << 20
+BUFFER_ANCHORS = 1 << 18
 #: Different segments of one anchor that are ordered together; beyond it their strings are dealt out singly.
 ANCHOR_SEGMENTS = 2000
 #: Segments of one column-wise construction.
 BATCH_SEGMENTS = 1024
 
 U = np.uint64
-_POSITION = 28  # bits of the position in a packed hash; a text may have 2**28 bytes
+_POSITION = 28  # bits of the position in a packed hash
+#: String starts of a longer text that are looked at together; far below 2 ** _POSITION.
+STARTS = 1 << 20
 
 
 # ---- column-wise construction --------------------------------------------------------------------
@@ -254,12 +257,15 @@ def _anchor_rows(window: int, gram: int, parts: int):
             rids = batch.column(0).to_numpy()
             docs = batch.column(1).to_numpy(zero_copy_only=False)
             for first, data, offsets in runs(batch.column(2)):
-                anchor, content, row, lo, hi = anchored_segments(data, offsets, window, gram)
-                held.append((anchor, content, docs[first + row], rids[first + row], lo - offsets[row], hi - offsets[row]))
-                waiting += len(anchor)
-                if waiting >= BUFFER_ANCHORS:
-                    yield from flush(held)
-                    held, waiting = [], 0
+                # a text of many strings goes by pieces: each string is in one piece, and equal ones still have equal anchors
+                for at in range(0, len(data), STARTS) if len(offsets) == 2 else (0,):
+                    piece, ends = (data[at : at + STARTS + window - 1], np.array([0, min(STARTS + window - 1, len(data) - at)])) if len(offsets) == 2 else (data, offsets)
+                    anchor, content, row, lo, hi = anchored_segments(piece, ends, window, gram)
+                    held.append((anchor, content, docs[first + row], rids[first + row], at + lo - ends[row], at + hi - ends[row]))
+                    waiting += len(anchor)
+                    if waiting >= BUFFER_ANCHORS:
+                        yield from flush(held)
+                        held, waiting = [], 0
         if waiting:
             yield from flush(held)
 
@@ -295,6 +301,13 @@ def _meet_anchors(parts: int):
     return meet
 
 
+def _few(stream, rows: int = 512):
+    """The batches in slices of few rows, so that only these are Python objects at a time."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _cut_segments(window: int, parts: int):
     """Per document with segments to compare: their bytes by anchor, or their strings' hashes."""
 
@@ -323,7 +336,7 @@ def _cut_segments(window: int, parts: int):
                     yield row(p, SINGLE, h[by[i:j]].tobytes(), rest[by[i:j]])
             single.clear()
 
-        for batch in stream:
+        for batch in _few(stream):
             for rid, doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "body", "found"))):
                 text = text or b""
                 found = np.frombuffer(found, _FOUND)
@@ -402,7 +415,7 @@ def _compare_segments(window: int, parts: int):
 
 def _without(texts: bool, kept_columns: int):
     def apply(stream):
-        for batch in stream:
+        for batch in _few(stream):
             n, removed, spans, digests, kept = [], [], [], [], []
             for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = text or b""
@@ -449,22 +462,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         "rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("body"), F.col("doc_id").alias("named"), *carried
     )
     rows = scratch.cut(
-        base.select("rid", "doc_id", "body").mapInArrow(_anchor_rows(window, gram, parts), _BUNDLE).repartition(parts, "part").mapInArrow(_meet_anchors(parts), _BUNDLE),
+        base.select("rid", "doc_id", "body").mapInArrow(lean(_anchor_rows(window, gram, parts)), _BUNDLE).repartition(parts, "part").mapInArrow(lean(_meet_anchors(parts)), _BUNDLE),
         "segments",
     )
     dealt = lambda df: df.repartition(parts, "part")
-    open_ = scratch.cut(dealt(rows).mapInArrow(_by_document(False), "rid long, found binary"), "open")
+    open_ = scratch.cut(dealt(rows).mapInArrow(lean(_by_document(False)), "rid long, found binary"), "open")
     compared = scratch.cut(
         base.select("rid", "doc_id", "body")
         .join(broadcast_if_light(open_, "found"), "rid")
-        .mapInArrow(_cut_segments(window, parts), "part int, kind int, body binary, rest binary")
+        .mapInArrow(lean(_cut_segments(window, parts)), "part int, kind int, body binary, rest binary")
         .repartition(parts, "part")
-        .mapInArrow(_compare_segments(window, parts), _BUNDLE),
+        .mapInArrow(lean(_compare_segments(window, parts)), _BUNDLE),
         "compared",
     )
-    spans = scratch.cut(dealt(rows.unionByName(compared)).mapInArrow(_by_document(True), "rid long, found binary"), "spans")
+    spans = scratch.cut(dealt(rows.unionByName(compared)).mapInArrow(lean(_by_document(True)), "rid long, found binary"), "spans")
     scratch.keep_only(spans)
     joined = base.select("rid", "named", "body", *carried).join(broadcast_if_light(spans, "found"), "rid", "left").select("rid", F.col("named").alias("doc_id"), "body", "found", *carried)
     kinds = dict(joined.dtypes)
     schema = ", ".join([f"rid long, doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"{c} {kinds[c]}" for c in carried)])
-    return joined.mapInArrow(_without(texts, len(keep)), schema)
+    return joined.mapInArrow(lean(_without(texts, len(keep))), schema)

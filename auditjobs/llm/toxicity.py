@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import pick
+from ._memory import lean
 from ._text import hashes, mix, runs, spans, sums
 
 #: Labelled documents to fit on, at most, by label; chosen by a hash of their id.
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
         if len(sizes) < 2:
             return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, -30.0)
         counted = (
-            texts.mapInArrow(_counts, "feature long, toxic long, clean long")
+            texts.mapInArrow(lean(_counts), "feature long, toxic long, clean long")
             .groupBy("feature")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .filter(F.col("toxic") + F.col("clean") >= 4)
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
                     held = [number[order[i:j]].astype("<i4").tobytes() for i, j in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(words)], pa.array(words), pa.array(held, pa.binary())], ["label", "words", "held"])
 
-        rows = texts.mapInArrow(present, "label int, words long, held binary").toArrow().sort_by([("label", "ascending"), ("words", "ascending"), ("held", "ascending")])
+        rows = texts.mapInArrow(lean(present), "label int, words long, held binary").toArrow().sort_by([("label", "ascending"), ("words", "ascending"), ("held", "ascending")])
     finally:
         texts.unpersist()
     given, words = rows.column("label").to_numpy(), rows.column("words").to_numpy()
@@ -204,4 +205,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out[lo : lo + len(offsets) - 1] = model.scores(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(batches, f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(lean(batches), f"doc_id {dict(docs.dtypes)[id_col]}, score double")

@@ -175,9 +175,11 @@ def test_graph_components(spark):
     assert {r.node: r.component for r in _graph.components(df, Scratch(spark)).collect()} == up
 
 
-@pytest.mark.parametrize("crowded", [2000, 2])
-def test_repeats(spark, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded, starts", [(2000, 1 << 20), (2, 1 << 20), (2000, 170)])
+def test_repeats(spark, monkeypatch, crowded, starts):
+    """With few string starts at a time, each row is a batch, so that every text of more goes by pieces."""
     monkeypatch.setattr(repeat_removal, "ANCHOR_SEGMENTS", crowded)
+    monkeypatch.setattr(repeat_removal, "STARTS", starts)
     rng = random.Random(4)
     line = lambda k: "".join(rng.choice("abcdé 中") for _ in range(k))
     shared = [line(90), line(150), line(400)]
@@ -196,8 +198,23 @@ def test_repeats(spark, monkeypatch, crowded):
         gone = np.cumsum(mark)[:-1] > 0
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         expected.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = repeat_removal.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == sorted(expected)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "1" if starts < 1000 else held)
+        got = repeat_removal.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.set(batch, held)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(expected)
+
+
+def test_repeats_of_odd_tables(spark):
+    """A null id comes before all others; extra columns of the operator's own names are no matter; no rows give none."""
+    text = "".join(map(chr, range(97, 117))) * 6
+    docs = spark.createDataFrame([(1, text, 7, "a"), (None, text, 8, "b"), (2, None, 9, None)], "doc_id long, text string, rid long, body string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_text) for r in repeat_removal.remove_repeats(docs).collect()}
+    assert got == {None: (120, 100, text[:20]), 1: (120, 120, ""), 2: (0, 0, "")}
+    assert repeat_removal.remove_repeats(docs.limit(0)).count() == 0
 
 
 def test_column_wise_order():
