@@ -1,45 +1,44 @@
-"""Connected components by minimum labels with pointer jumping, as joins and partial aggregates."""
+"""Connected components by contraction, as joins and partial aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import Scratch
+from ._io import Scratch, broadcast_if_small
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (its smallest node) for every node of the edges. Loops and repeated edges do no harm.
+    """node, component (one of its nodes, always the same one) for every node of the edges. Loops and repeated edges do no harm.
 
-    Each round takes the least label among a node and its neighbours, then the
-    label of that label, so rounds grow with the logarithm of a path's length.
-    Joins have two plain exchanges, which AQE splits at hubs. Rounds are written to
-    the shared folder and the former round is deleted.
+    In each round every node takes as parent the node of least hash among itself and its
+    neighbours, and then the parent's parent; edges are renamed by parents, and those that became loops go. As hashes are
+    in random order, rounds grow with the logarithm of a path's length and each has a fraction of the edges of the last. Parents
+    are aggregated on the map side, so a hub is one row a task; joins are broadcast where the nodes were counted and
+    found few, else they have two plain exchanges, which AQE splits at hubs. Rounds are written to the shared folder; ids are not null.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    pairs = scratch.cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-    lone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("label"))
-    labels = scratch.cut(
-        pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
-        .unionByName(lone).groupBy("node").agg(F.min("label").alias("label")),
-        "labels",
-    )
-    while True:
-        near = (
-            pairs.join(labels, pairs["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("label").alias("least"))
+    left = scratch.cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        rank = lambda x: F.struct(F.xxhash64(x, F.lit(len(rounds))).alias("hash"), x.alias("parent"))
+        nearest = both.groupBy(F.col("e.a").alias("node")).agg(F.min(rank(F.col("e.b"))).alias("least"))
+        near = scratch.cut(nearest.select("node", F.least("least", rank(F.col("node")))["parent"].alias("parent")), "near")
+        parents = scratch.cut(
+            near.join(broadcast_if_small(near.select(F.col("node").alias("parent"), F.col("parent").alias("further"))), "parent").select("node", F.col("further").alias("parent")), "parents"
         )
-        stepped = scratch.cut(
-            labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", "least").alias("label")), "step"
-        )
-        of = stepped.select(F.col("node").alias("target"), F.col("label").alias("further"))
-        jumped = scratch.cut(
-            stepped.join(of, stepped["label"] == of["target"], "left").select("node", "was", F.least("label", "further").alias("label")), "labels"
-        )
-        changed = jumped.filter("label <> was").limit(1).count()
-        scratch.drop(labels, stepped)
-        labels = jumped
-        if not changed:
-            scratch.drop(pairs)
-            return labels.select("node", F.col("label").alias("component"))
+        scratch.drop(near)
+        rounds.append(parents)
+        of = lambda end: broadcast_if_small(parents.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_parent")))
+        renamed = left.filter("a <> b").join(of("a"), "a").join(of("b"), "b").filter("a_parent <> b_parent")
+        fewer = scratch.cut(renamed.select(F.least("a_parent", "b_parent").alias("a"), F.greatest("a_parent", "b_parent").alias("b")).distinct(), "edges")
+        scratch.drop(left)
+        left = fewer
+    scratch.drop(left)
+    named = rounds[0].select("node", F.col("parent").alias("component"))
+    for parents in rounds[1:]:
+        further = broadcast_if_small(parents.select(F.col("node").alias("component"), "parent"))
+        named = named.join(further, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+    out = scratch.cut(named, "components")
+    scratch.drop(*rounds)
+    return out

@@ -545,7 +545,7 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
     """
     few = scratch.cut(able(large, num, den).select("sid"), "able")
     rows = scratch.cut(large.select("sid", "tokens").join(broadcast_if_small(few), "sid"), "rows")
-    groups = components(scratch.cut(tokens_edges(rows, num, den).distinct(), "strict"), scratch)
+    groups = components(tokens_edges(rows, num, den).distinct(), scratch)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     member = scratch.cut(groups.join(sizes, "component").select(F.col("node").alias("sid"), "component", "sets"), "member")
     rows = scratch.cut(rows.join(broadcast_if_small(member), "sid").select("sid", "component", "sets", "tokens"), "grouped")
@@ -559,7 +559,7 @@ def _links_of_large(large: DataFrame, scratch: Scratch, num: int, den: int) -> l
 
 
 def _links_of_small(small: DataFrame, num: int, den: int) -> DataFrame:
-    dealt = small.select("sid", "component", "tokens").repartition(4 * shuffle_parts(small.sparkSession), "component").sortWithinPartitions("component")
+    dealt = small.select("sid", "component", "tokens").repartition(shuffle_parts(small.sparkSession), "component").sortWithinPartitions("component")
     return dealt.mapInArrow(lean(_verify_groups(num, den)), "a long, b long")
 
 
@@ -644,8 +644,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(lean(sized), f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
     texts = base.select("text")
     bitmap = frequent_cells(texts, n)
-    edges = scratch.cut(candidate_edges(texts, n, num, den, bitmap).distinct(), "candidates")
-    groups = components(edges, scratch)
+    groups = components(candidate_edges(texts, n, num, den, bitmap).distinct(), scratch)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
     chosen = sets.filter("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"))
     members = scratch.cut(
@@ -668,7 +667,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     joined = links[0]
     for more in links[1:]:
         joined = joined.unionByName(more)
-    classes = components(scratch.cut(joined, "links"), scratch)
+    classes = components(joined, scratch)
     classed = sets.join(classes, sets["sid"] == classes["node"], "left").select("rid", "doc_id", "n_shingles", F.coalesce("component", "sid").alias("class"))
     classed = scratch.cut(classed, "classed")
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")

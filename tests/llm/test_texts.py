@@ -172,7 +172,12 @@ def test_graph_components(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {r.node: r.component for r in _graph.components(df, Scratch(spark)).collect()} == up
+    got = {r.node: r.component for r in _graph.components(df, Scratch(spark)).collect()}
+    least = {}
+    for x, c in got.items():
+        least[c] = min(x, least.get(c, x))
+    assert {x: least[c] for x, c in got.items()} == up and all(got[c] == c for c in got.values())
+    assert _graph.components(df.limit(0), Scratch(spark)).count() == 0
 
 
 @pytest.mark.parametrize("crowded, starts", [(2000, 1 << 20), (2, 1 << 20), (2000, 170)])
