@@ -12,6 +12,16 @@ from ._io import Scratch, pick
 #: Rows of one block of the index, and queries that meet a block in one task.
 BLOCK_ROWS = 16384
 QUERY_ROWS = 512
+#: Components under PLAIN in size are usual; rows of a block of vectors with larger ones, whose slices are many.
+PLAIN, WIDE_ROWS = 2.0**31, 1024
+#: Stands for all scores from it on, and its negative for those down from that.
+BEYOND = 2**63 - 1
+
+
+def whole(values) -> np.ndarray:
+    """Integral doubles as integers: 64-bit ones, or Python's where these are too short."""
+    values = np.array(values, np.float64)
+    return values.astype(np.int64) if not values.size or np.abs(values).max() < 2.0**62 else np.frompyfunc(int, 1, 1)(values)
 
 
 def to_slices(values: np.ndarray) -> tuple[int, np.ndarray]:
@@ -22,12 +32,14 @@ def to_slices(values: np.ndarray) -> tuple[int, np.ndarray]:
     """
     n, dims = values.shape
     low = int(values.min()) if values.size else 0
-    bits = max(1, int(values.max() - low).bit_length()) if values.size else 1
-    wide = np.zeros((-(-n // 64) * 64, dims), np.uint64)
-    wide[:n] = (values - low).astype(np.uint64)
+    bits = max(1, (int(values.max()) - low).bit_length()) if values.size else 1
+    kind = object if values.dtype == object else np.uint64
+    wide = np.zeros((-(-n // 64) * 64, dims), kind)
+    wide[:n] = values - low if kind is object else values.astype(np.uint64) - np.uint64(low % 2**64)
     out = np.empty((dims, bits, len(wide) // 64), np.uint64)
+    one = 1 if kind is object else np.uint64(1)
     for b in range(bits):
-        bit = ((wide >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+        bit = ((wide >> (b * one)) & one).astype(np.uint8)
         out[:, b] = np.packbits(np.ascontiguousarray(bit.T), axis=1, bitorder="little").view(np.uint64)
     return low, out
 
@@ -67,14 +79,14 @@ def scores(query: np.ndarray, low: int, slices: np.ndarray, mask: np.ndarray) ->
     for sign in (1, -1):
         weight = np.maximum(sign * query, 0)
         for a in range(int(weight.max()).bit_length() if len(weight) else 0):
-            chosen = slices[np.flatnonzero((weight >> a) & 1)]
+            chosen = slices[np.flatnonzero(((weight >> a) & 1).astype(bool))]
             if sign < 0:
                 chosen = ~chosen & mask
             for b in range(bits):
                 levels.setdefault(a + b, []).append(chosen[:, b])
     total = add_slices({s: x for s, parts in levels.items() if len(x := np.concatenate(parts))})
     zero = np.zeros(words, np.uint64)
-    constant = low * int(query.sum()) - top * int(-query[query < 0].sum())
+    constant = low * sum(query.tolist()) + top * sum(query[query < 0].tolist())
     return constant, [zero if x is None else x for x in total]
 
 
@@ -96,23 +108,24 @@ def top_rows(total: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray
 
 
 def value_at(total: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.int64)
+    kind = np.int64 if len(total) < 63 else object
+    out = np.zeros(len(rows), kind)
     for s, bitmap in enumerate(total):
-        out += ((bitmap[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << s
+        out += ((bitmap[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind) << s
     return out
 
 
 def _build(table: pa.Table) -> pa.Table:
     """The index of one block: rows by id, so that positions settle ties."""
     table = table.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
-    values = np.array(table.column("q").to_pylist(), np.int64).reshape(len(table), -1)
+    values = whole(table.column("q").to_pylist()).reshape(len(table), -1)
     low, slices = to_slices(values)
     as_bytes = lambda name: table.column(name).to_numpy().astype("<i8").tobytes()
     return pa.table(
         {
             "dims": pa.array([values.shape[1]], pa.int32()),
             "block": table.column("block")[:1],
-            "low": pa.array([low], pa.int64()),
+            "low": pa.array([str(low)], pa.string()),
             "bits": pa.array([slices.shape[1]], pa.int32()),
             "ids": pa.array([as_bytes("vec_id")], pa.binary()),
             "rids": pa.array([as_bytes("rid")], pa.binary()),
@@ -130,7 +143,7 @@ def _search(k: int):
             everyone = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
             place = {r: i for i, r in enumerate(rids.tolist())}
             for rid, vec_id, q in zip(*(queries.column(c).to_pylist() for c in ("rid", "vec_id", "q"))):
-                constant, total = scores(np.array(q, np.int64), row["low"], slices, everyone)
+                constant, total = scores(whole(q), int(row["low"]), slices, everyone)
                 allowed = everyone.copy()
                 if rid in place:
                     allowed[place[rid] // 64] &= ~np.uint64(1 << (place[rid] % 64))
@@ -138,7 +151,8 @@ def _search(k: int):
                 found["query_rid"].append(np.full(len(rows), rid))
                 found["query_id"].append(np.full(len(rows), vec_id))
                 found["vec_id"].append(ids[rows])
-                found["score"].append(value_at(total, rows) + constant)
+                exact = [v + constant for v in value_at(total, rows).tolist()]
+                found["score"].append(np.array([min(max(v, -BEYOND), BEYOND) for v in exact], np.int64))
         return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in found.items()})
 
     return search
@@ -164,26 +178,32 @@ def top_k(
     are merged by a ranking whose partial limit runs before the shuffle.
 
     ``is_query`` is a condition on the id column. Rows with a null id, and vectors
-    null, empty, or holding a null, non-finite or (after scaling) over 31-bit
-    component take no part. Vectors of different lengths are not compared.
-    Of repeated ids each row counts; a row is never its own result.
+    null, empty, or holding a null or non-finite (also after scaling) component take no part. Vectors with components of
+    over 31 bits have blocks of their own, with as many slices as they need; only a score of over 64
+    bits among the results, which no long can hold, ends the job with an error. Vectors of different lengths are not compared.
+    Of repeated ids each row counts; a row is never its own result. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession)
-    q = F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(scale)))
-    fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(scale)) < F.lit(2.0**31)))
+    scaled = lambda x: x.cast("double") * F.lit(scale)
+    # floor() gives longs, which hold no more than 63 bits; from 2 ** 53 on every double is integral
+    q = F.transform("v", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < F.lit(float("inf"))))
     rows = scratch.cut(
         vectors.select(vectors[f"`{id_col}`"].cast("long").alias("vec_id"), vectors[f"`{vector_col}`"].alias("v"), is_query.alias("asks"))
         .withColumn("rid", F.monotonically_increasing_id())
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fits)
-        .select("rid", "vec_id", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("v").alias("dims"), q.alias("q")),
+        .select("rid", "vec_id", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("v").alias("dims"), q.alias("q"), F.exists("v", lambda x: F.abs(scaled(x)) >= PLAIN).alias("wide")),
         "vectors",
     )
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks")).first()
-    blocks, groups = max(1, round(n["n"] / block_rows)), max(1, round((n["asks"] or 0) / query_rows))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks"), F.count_if("wide").alias("wide")).first()
+    plain, groups = max(1, round(n["n"] / block_rows)), max(1, round((n["asks"] or 0) / query_rows))
+    wide = -(-n["wide"] // WIDE_ROWS)
+    blocks = plain + wide
+    block = F.when(F.col("wide"), plain + F.pmod(F.xxhash64("rid"), F.lit(max(1, wide)))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(plain)))
     index = scratch.cut(
-        rows.select("rid", "vec_id", "dims", "q", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"))
+        rows.select("rid", "vec_id", "dims", "q", block.cast("int").alias("block"))
         .groupBy("dims", "block")
-        .applyInArrow(_build, "dims int, block int, low long, bits int, ids binary, rids binary, slices binary"),
+        .applyInArrow(_build, "dims int, block int, low string, bits int, ids binary, rids binary, slices binary"),
         "index",
     )
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -200,4 +220,6 @@ def top_k(
         .applyInArrow(_search(k), "query_rid long, query_id long, vec_id long, score long")
     )
     order = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.when(F.abs("score") < BEYOND, F.col("score")).otherwise(F.raise_error(F.lit("a score needs over 64 bits")))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))

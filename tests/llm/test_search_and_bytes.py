@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -123,19 +124,25 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), rng.normal(size=8).astype(float).tolist()) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 340)]  # ties
-    rows += [(340, None), (341, [1.0, None] * 4), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (344, []), (345, [1.0, 2.0]), (20, [0.5] * 8), (None, [0.5] * 8), (360, [1e30] * 8)]
+    rows += [(340, None), (341, [1.0, None] * 4), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (344, []), (345, [1.0, 2.0]), (20, [0.5] * 8), (None, [0.5] * 8), (360, [4e7] * 8), (361, [-4e7] * 8), (362, [1e5, 1.0] * 4)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rid int, q string")
     got = bit_sliced.top_k(df, F.col("vec_id") % 20 == 0, k=7, block_rows=64, query_rows=8).collect()
-    kept = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and abs(x) < 1e9 for x in v)]
+    kept = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for a, (i, x) in enumerate(kept):
         if i % 20 == 0:
-            scored = sorted((-int(x @ y), j) for b, (j, y) in enumerate(kept) if a != b and len(x) == len(y))[:7]
+            scored = sorted((-sum(p * q for p, q in zip(x.tolist(), y.tolist())), j) for b, (j, y) in enumerate(kept) if a != b and len(x) == len(y))[:7]
             expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(expected)
     assert bit_sliced.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_components_beyond_64_bits(spark):
+    df = spark.createDataFrame([(20, [0.0, 2.0, -1.0]), (1, [1e30, 1.0, 0.5]), (2, [-1e200, -3.0, 0.0]), (3, [5.0, 1e9, 1e9]), (4, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = bit_sliced.top_k(df, F.col("vec_id") == 20).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 3, 64 * 64 * 10**9), (2, 1, 128 * 64 - 64 * 32), (3, 4, 0), (4, 2, -128 * 192)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(same_rows, name):
     same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
