@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 300_000
+#: The setting for the bytes of a batch between Spark and a Python worker, which counts rows of any length, and its value here.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +84,12 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named input columns, under the operator's own names, so extra columns never clash."""
+    """Only the named input columns, under the operator's own names, so extra columns never clash.
+
+    Where the session leaves the bytes of a batch at Spark's 64 MB, they are set to BATCH_BYTES: both sides of a task hold several.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
