@@ -201,15 +201,41 @@ def _combine(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[new], sid[new], edges[:, 0], edges[:, 1]
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one star for each set of nodes that the given edges connect: (node, the least node of the set)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        for end in (x, y):
+            np.minimum.at(label, label[end].copy(), least)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def _leads(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sets that stand for these in the stars (a, b), whose a ascend."""
+    if not len(a):
+        return sid
+    at = np.minimum(np.searchsorted(a, sid), len(a) - 1)
+    return np.where(a[at] == sid, b[at], sid)
+
+
 def keyed_edges(rows: DataFrame, keyed) -> DataFrame:
-    """a, b: edges that connect all sets sharing a key, one star per key; equal sets are one node.
+    """a, b: edges that connect all sets connected by shared keys; equal sets are one node.
 
     keyed: from a record batch to (set id, its keys), again and again. Keys travel in packed runs. Every task sends a
-    key once, whatever the number of its documents that have it, so no key is hot.
+    key once, whatever the number of its documents that have it, so no key is hot. Sets that a task has connected stand
+    as one for their keys, and are one star among its edges, so that edges grow with the sets, not with the keys they share.
     """
     parts = shuffle_parts(rows.sparkSession)
 
     def packed(key, sid, a, b):
+        a, b = joined(a, b)
+        sid = _leads(sid, a, b)
         order = np.argsort(key % U(parts), kind="stable")
         at = np.searchsorted((key % U(parts))[order], np.arange(parts + 1, dtype=np.uint64))
         rows = [(p, False, key[order[i:j]].tobytes(), sid[order[i:j]].tobytes()) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
@@ -231,17 +257,17 @@ def keyed_edges(rows: DataFrame, keyed) -> DataFrame:
             yield packed(*_combine(np.concatenate(key), np.concatenate(sid)))
 
     def meet(stream):
-        key, sid = [], []
+        key, sid, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for batch in stream:
             for _, edges, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["a", "b"])
+                    held.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)))
                 else:
                     key.append(np.frombuffer(x, np.uint64))
                     sid.append(np.frombuffer(y, np.int64))
-        if key:
-            _, _, a, b = _combine(np.concatenate(key), np.concatenate(sid))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held.append(_combine(np.concatenate(key), np.concatenate(sid))[2:])
+        a, b = joined(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return rows.mapInArrow(lean(emit), "part int, edges boolean, x binary, y binary").repartitionById(parts, "part").mapInArrow(lean(meet), "a long, b long")
 

@@ -164,6 +164,18 @@ def test_large_group_of_near_copies(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_joined_edges():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = rng.integers(-30, 30, (2, rng.integers(0, 25)))
+        up = {v: v for v in [*a.tolist(), *b.tolist()]}
+        for _ in up:
+            for p, q in zip(a.tolist(), b.tolist()):
+                up[p] = up[q] = min(up[p], up[q])
+        x, y = ngram_join.joined(a, b)
+        assert dict(zip(x.tolist(), y.tolist())) == {v: r for v, r in up.items() if v != r}
+
+
 def test_graph_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(9, 9)]
