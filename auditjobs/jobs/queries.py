@@ -755,7 +755,7 @@ def jn_07(spark, d):
 
 @register(
     "jn_06_source_window", "findings sup lines",
-    f"""SELECT id, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), 4, ' ') || ' | ' || t, chr(10) ORDER BY ln) AS content
+    f"""SELECT id, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), CAST(greatest(4, length(CAST(ln AS VARCHAR))) AS INTEGER), ' ') || ' | ' || t, chr(10) ORDER BY ln) AS content
         FROM ({MATCHED}) m JOIN lines l ON l.k = m.k AND l.ln BETWEEN greatest(1, line_start - 20) AND least(79, line_end + 19) GROUP BY id""",
 )
 def jn_06(spark, d):
@@ -897,7 +897,7 @@ def _elements(spark, d):
 
 
 ELEMENTS = f"""SELECT id, 0 AS seq, {FINDING_TEXT} AS content, 1.0::DOUBLE AS relevance, 'finding' AS source FROM findings
-       UNION ALL SELECT id, 100000, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), 4, ' ') || ' | ' || t, chr(10) ORDER BY ln), 0.95, 'source'
+       UNION ALL SELECT id, 100000, '=== Source: ' || any_value(file) || ' ===' || chr(10) || string_agg('>>> ' || lpad(CAST(ln AS VARCHAR), CAST(greatest(4, length(CAST(ln AS VARCHAR))) AS INTEGER), ' ') || ' | ' || t, chr(10) ORDER BY ln), 0.95, 'source'
        FROM ({MATCHED}) m JOIN lines l ON l.k = m.k AND l.ln BETWEEN greatest(1, line_start - 20) AND least(79, line_end + 19) GROUP BY id
        UNION ALL SELECT f.id, 200000, {FOCUS_TEXT}, 0.9, 'semantic_graph' FROM findings f JOIN ({PLAIN_TEXT}) t ON t.name = f.contract"""
 

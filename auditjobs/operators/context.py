@@ -59,7 +59,9 @@ def source_window(findings: DataFrame, sources: DataFrame, before: int = 20, aft
     start = F.coalesce("location.line_start", F.lit(1))
     end = F.coalesce("location.line_end", start)
     first, last = F.greatest(F.lit(1), start - before), F.least(F.size("lines"), end + after)
-    line = lambda x, i: F.concat(F.lit(">>> "), F.lpad((F.col("first") + i).cast("string"), 4, " "), F.lit(" | "), x)
+    number = lambda i: (F.col("first") + i).cast("string")
+    padded = lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, " ")).otherwise(n)
+    line = lambda x, i: F.concat(F.lit(">>> "), padded(number(i)), F.lit(" | "), x)
     rows = rows.select("id", "location", "lines", first.alias("first"), F.greatest(last - first + 1, F.lit(0)).alias("n"))
     text = F.concat(F.lit("=== Source: "), F.col("location.file"), F.lit(" ===\n"), F.array_join(F.transform(F.slice("lines", F.col("first"), F.col("n")), line), "\n"))
     return rows.select("id", cap_text(text, most).alias("content"))
