@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..operators import history as H
 from ..operators import replies as R
 from ..sources import files as S
-from ..sources.scratch import shared_folder
+from ..sources.scratch import cut, shared_folder
 from . import adapters as A
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -920,26 +920,45 @@ def wn_01(spark, d):
     return X.pack_context(_elements(spark, d), 700)
 
 
-def _more_elements(spark, d):
-    """All kinds of elements that an operator makes: all but git and structure."""
-    findings, texts, edges = _findings(spark, d), _texts(spark, d), G.build_edges(*_indexed(spark, d))
-    functions = _indexed(spark, d)[1]
-    more = {
+def _history(spark, d):
+    """The commits and numstat rows as the history of the one repository with sources; paths are those of sources."""
+    commits = A.commits(spark, d).withColumn("repo", F.lit("main"))
+    return commits, A.adapted(spark, d, "numstat").withColumn("repo", F.lit("main")).withColumn("path", F.regexp_replace("path", "^src/P", "src/S"))
+
+
+@whole("jn_10_history_text")
+def jn_10_text(spark, d):
+    return H.history_text(_findings(spark, d), *_history(spark, d), _as_of())
+
+
+def _all_elements(spark, d):
+    """The elements of all eight kinds; what several kinds read is made once."""
+    findings = cut(_findings(spark, d))
+    contracts, functions = (cut(x) for x in _indexed(spark, d))
+    edges, texts = cut(G.build_edges(contracts, functions)), cut(X.contract_text(contracts, functions))
+    calls = cut(C.call_edges(functions, E.extract_state_vars(contracts), contracts))
+    sources, (commits, numstat) = A.sources(spark, d), _history(spark, d)
+    parts = {
+        "finding": findings.select("id", X.finding_text().alias("content")),
+        "source": X.source_window(findings, sources),
+        "semantic_graph": X.finding_contracts(findings, texts),
         "dependency": X.finding_dependencies(findings, edges, texts),
-        "call_graph": X.finding_call_context(findings, _call_edges(spark, d), functions),
-        "data_flow": X.finding_flow_context(findings, functions, _flows(spark, d)),
+        "call_graph": X.finding_call_context(findings, calls, functions),
+        "data_flow": X.finding_flow_context(findings, functions, C.storage_flows(functions, edges)),
+        "git": H.history_text(findings, commits, numstat, _as_of()),
+        "structure": X.structure_text(findings, G.graph_stats(contracts, functions, edges, sources), H.repo_stats(commits, _as_of())),
     }
-    return _elements(spark, d).unionByName(X.context_elements(more))
+    return X.context_elements(parts)
 
 
 @whole("set_01_context_elements")
 def set_01_whole(spark, d):
-    return _more_elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
+    return _all_elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
 
 
 @whole("wn_01_pack_context")
 def wn_01_whole(spark, d):
-    return X.pack_context(_more_elements(spark, d))
+    return X.pack_context(_all_elements(spark, d))
 
 
 @register("wn_06_first_n_per_key", "calls", f"SELECT src, dst, CAST(place AS INT) AS place FROM ({TOP}) WHERE place <= 5")

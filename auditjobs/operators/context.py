@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cap_text, flow_text, list_to_text, truncate_text
+from ..sources.scratch import cut
 from .calls import breaking_changes, reentrancy_paths, trace_data_flow
 from .extract import extract_decls, extract_state_vars
 from .graph import call_chain, dependencies, first_n_per_key
@@ -149,6 +150,16 @@ def finding_flow_context(findings: DataFrame, functions: DataFrame, flows: DataF
     return own.join(blocks, "id", "left").select("id", content.alias("content"))
 
 
+def structure_text(findings: DataFrame, stats: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """id, content: counts of the finding's repository, from graph_stats and, where it has commits, repo_stats. A row of each is one repository."""
+    if history is not None:
+        stats = stats.join(history.select("repo", "total_commits", "contributors"), "repo", "left")
+    shown = {"Contracts: ": "contracts", "Functions: ": "functions", "Dependencies: ": "edges", "Commits: ": "total_commits", "Contributors: ": "contributors"}
+    lines = [F.concat(F.lit(label), F.col(c)) for label, c in shown.items() if c in stats.columns]  # null where there is no history, and then no line
+    per_repo = stats.select("repo", F.concat_ws("\n", F.lit("=== Project Structure ==="), *lines).alias("content"))
+    return findings.select("id", "repo").join(per_repo, "repo").select("id", "content")
+
+
 def context_elements(parts: dict[str, DataFrame], switched_off: tuple[str, ...] = ()) -> DataFrame:
     """id, seq, content, priority, source, tokens, relevance: the union of (id, content[, place]) per kind, in the kinds' order."""
     found = []
@@ -163,6 +174,7 @@ def context_elements(parts: dict[str, DataFrame], switched_off: tuple[str, ...]
 def pack_context(elements: DataFrame, max_tokens: int = 30_000, buffer: int = 0, suffix: str = "\n... (context truncated)") -> DataFrame:
     """id, context, used: elements by priority, relevance and seq up to the first that overflows; that one is cut if over 200
     tokens remain. 0 tokens: all. The window runs over sizes only; texts join afterwards."""
+    elements = cut(elements)  # read three times below
     budget = max_tokens - buffer
     w = Window.partitionBy("id").orderBy("priority", F.desc("relevance"), "seq")
     slim = elements.select("id", "priority", "relevance", "seq", "tokens").withColumn("run", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))

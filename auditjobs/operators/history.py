@@ -19,6 +19,15 @@ RISKY_CHANGE_KEYWORDS = [
     "remove", "delete", "deprecate", "upgrade", "migrate",
 ]
 
+# The headings of a finding's lists from the second on, and the text without lists.
+HEADINGS = [
+    "",
+    "\n=== Recent security-related commits ===\n",
+    "\n=== Recent risky changes (refactors, rewrites) ===\n",
+    "\n=== Frequently changed files (hotspots) ===\n",
+]
+NO_HISTORY = "No relevant git context found."
+
 #: Volatility: weights of frequency and recency, and the days over which recency decays.
 FREQUENCY_WEIGHT, RECENCY_WEIGHT, DECAY_DAYS = 0.3, 0.7, 90
 
@@ -147,14 +156,19 @@ def repo_stats(commits: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def finding_history(findings: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, window_days: int = 30, churn_days: int = 90, most: int = 5) -> DataFrame:
+def finding_history(findings: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, window_days: int = 30, churn_days: int = 90, most: int = 5, sizes: bool = False) -> DataFrame:
     """id, section, place, line: history lines of each finding: its file's newest commits, then its repository's security and risky commits and hotspots.
 
-    Repository lists are made once a repository and joined, at most ``most`` rows each.
+    Repository lists are made once a repository and joined, at most ``most`` rows each. sizes: a file's commits have a
+    second line of the lines they changed in it, where they changed any.
     """
     line = F.concat(F.lit("  "), F.col("short_hash"), F.lit(" ("), relative_age(F.col("date"), as_of), F.lit("): "), commit_summary(F.col("message")))
     wanted = findings.select("id", "repo", F.col("location.file").alias("path"))
-    own = newest(file_history(commits, numstat, wanted, 10), ["repo", "path"], most).select("repo", "path", "place", line.alias("line"))
+    own = newest(file_history(commits, numstat, wanted, 10), ["repo", "path"], most).select("repo", "path", "hash", "place", line.alias("line"))
+    if sizes:
+        changed = numstat.groupBy("repo", "path", "hash").agg(F.sum("insertions").alias("i"), F.sum("deletions").alias("d")).filter("i + d > 0")
+        size = F.concat(F.lit("    +"), F.col("i"), F.lit("/-"), F.col("d"), F.lit(" lines"))
+        own = own.join(changed, ["repo", "path", "hash"], "left").withColumn("line", F.concat_ws("\n", "line", size))
     files = wanted.join(own, ["repo", "path"]).select("id", F.lit(1).alias("section"), "place", "line")
     recent = recent_commits(commits, as_of, window_days)
     listed = lambda rows, n: newest(rows.drop("place"), ["repo"], most).select("repo", F.lit(n).alias("section"), "place", line.alias("line"))
@@ -162,3 +176,16 @@ def finding_history(findings: DataFrame, commits: DataFrame, numstat: DataFrame,
     hot_line = F.format_string("  %s: %d changes, volatility=%.2f", "path", "commits", "volatility")
     per_repo = listed(security_commits(recent), 2).unionByName(listed(risky_commits(recent), 3)).unionByName(hot.select("repo", F.lit(4).alias("section"), "place", hot_line.alias("line")))
     return files.unionByName(wanted.select("id", "repo").join(per_repo, "repo").select("id", "section", "place", "line"))
+
+
+def history_text(findings: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, window_days: int = 30, churn_days: int = 90, most: int = 5) -> DataFrame:
+    """id, content: the lines of :func:`finding_history` under headings, one text a finding; a message where there are none.
+
+    Findings of repositories without commits have no text. A finding has 4 * ``most`` lines at most.
+    """
+    rows = finding_history(findings, commits, numstat, as_of, window_days, churn_days, most, sizes=True)
+    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("section", "place", "line"))).alias("xs"))
+    wanted = findings.select("id", "repo", F.col("location.file").alias("path")).join(commits.select("repo").distinct(), "repo", "left_semi").join(lists, "id", "left")
+    heading = lambda x: F.when(x["section"] == 1, F.concat(F.lit("=== Recent changes to "), "path", F.lit(" ===\n"))).otherwise(F.element_at(F.array(*map(F.lit, HEADINGS)), x["section"]))
+    lines = F.transform("xs", lambda x: F.when(x["place"] == 1, F.concat(heading(x), x["line"])).otherwise(x["line"]))
+    return wanted.select("id", F.coalesce(F.array_join(lines, "\n"), F.lit(NO_HISTORY)).alias("content"))

@@ -130,3 +130,57 @@ def test_grep_cap_and_none(spark):
     found = {r.repo: r.result for r in X.grep(sources, "hit", "*.sol").collect()}
     assert found == {"r": "a.sol:2:hit 1\na.sol:3:hit 2", "q": "(no matches)"}
     assert len(X.grep(sources, "hit", None, 30).filter("repo = 'r'").first().result) == 30
+
+
+def test_history_text(spark):
+    at = datetime.datetime(2024, 3, 1)
+    commits = spark.createDataFrame(
+        [("r", "h1", "h1", "Ann", at, "Fix overflow"), ("r", "h2", "h2", "Bob", at - datetime.timedelta(days=1), "Refactor"), ("r", "h3", "h3", "Bob", at - datetime.timedelta(days=2), "Docs"), ("bare", "h4", "h4", "Cid", at - datetime.timedelta(days=300), "Docs")],
+        "repo string, hash string, short_hash string, author string, date timestamp_ntz, message string",
+    ).withColumn("is_merge", F.lit(False))
+    numstat = spark.createDataFrame([("r", h, "a.sol", i, d) for h, i, d in (("h1", 3, 1), ("h1", 1, 0), ("h2", 0, 0), ("h3", 0, 2))], "repo string, hash string, path string, insertions int, deletions int")
+    findings = spark.createDataFrame([(1, "r", ("a.sol",)), (2, "r", (None,)), (3, "bare", ("a.sol",)), (4, "none", ("a.sol",))], "id int, repo string, location struct<file string>")
+    as_of = F.lit("2024-03-01 12:00:00").cast("timestamp_ntz")
+    found = {r.id: r.content for r in H.history_text(findings, commits, numstat, as_of).collect()}
+    score = min(1, 3 / (90 / 7) * 0.3 + 0.7)
+    rest = ["", "=== Recent security-related commits ===", "  h1 (today): Fix overflow", "", "=== Recent risky changes (refactors, rewrites) ===", "  h2 (yesterday): Refactor"]
+    rest += ["", "=== Frequently changed files (hotspots) ===", f"  a.sol: 3 changes, volatility={score:.2f}"]
+    own = ["=== Recent changes to a.sol ===", "  h1 (today): Fix overflow", "    +4/-1 lines", "  h2 (yesterday): Refactor", "  h3 (2 days ago): Docs", "    +0/-2 lines"]
+    assert found == {1: record(*own, *rest), 2: record(*rest), 3: H.NO_HISTORY}
+    assert H.history_text(findings.limit(0), commits, numstat, as_of).count() == 0
+
+
+def test_structure_text(spark):
+    findings = spark.createDataFrame([(1, "r"), (2, "r"), (3, "s"), (4, None)], "id int, repo string")
+    stats = spark.createDataFrame([("r", 5, 2, 3, 4), ("s", 1, 1, 0, 0)], "repo string, files_indexed long, contracts long, functions long, edges long")
+    history = spark.createDataFrame([("r", 7, 2, 10)], "repo string, total_commits long, contributors long, repo_age_days int")
+    r = record("=== Project Structure ===", "Contracts: 2", "Functions: 3", "Dependencies: 4")
+    s = record("=== Project Structure ===", "Contracts: 1", "Functions: 0", "Dependencies: 0")
+    assert {x.id: x.content for x in X.structure_text(findings, stats, history).collect()} == {1: r + "\nCommits: 7\nContributors: 2", 2: r + "\nCommits: 7\nContributors: 2", 3: s}
+    assert {x.content for x in X.structure_text(findings, stats).collect()} == {r, s}
+
+
+def test_whole_context_holds_all_kinds(spark):
+    from auditjobs.jobs import queries as Q
+    from tests.conftest import DATA
+
+    elements = Q._all_elements(spark, DATA).collect()
+    assert {e.source for e in elements} == set(X.KINDS)
+    of = {}
+    for e in elements:
+        of.setdefault(e.id, []).append(e)
+    for most in (30_000, 700):
+        expected = {}
+        for key, parts in of.items():
+            used, texts = 0, []
+            for e in sorted(parts, key=lambda e: (e.priority, -e.relevance, e.seq)):
+                size = len(e.content) // 4
+                if used + size > most:
+                    if most - used > 200:
+                        texts.append(e.content[: 4 * (most - used)] + "\n... (context truncated)")
+                    break
+                texts.append(e.content)
+                used += size
+            expected[key] = "\n\n".join(texts), used
+        rows = X.pack_context(spark.createDataFrame(elements), most).collect()
+        assert {r.id: (r.context, r.used) for r in rows} == expected
