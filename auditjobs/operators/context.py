@@ -12,6 +12,7 @@ from ..sources.scratch import cut
 from .calls import breaking_changes, reentrancy_paths, trace_data_flow
 from .extract import extract_decls, extract_state_vars
 from .graph import call_chain, dependencies, first_n_per_key
+from .ranked import running
 
 # Priority and relevance of each kind of element, in the order in which they are built.
 KINDS = {
@@ -220,7 +221,6 @@ def grep(sources: DataFrame, pattern: str, glob: str | None = None, most_chars:
     hit = rows.filter(F.col("content").rlike("(?m)" + pattern)).select("repo", "path", F.posexplode(F.split("content", "\n")).alias("number", "text")).filter(F.col("text").rlike(pattern))
     line = F.concat("path", F.lit(":"), F.col("number") + 1, F.lit(":"), "text")
     # running lengths stop the collection early: only lines that begin within the cap are gathered
-    w = Window.partitionBy("repo").orderBy("path", "number").rowsBetween(Window.unboundedPreceding, 0)
-    near = hit.withColumn("line", line).withColumn("run", F.sum(F.length("line") + 1).over(w)).filter(F.col("run") - F.length("line") - 1 <= most_chars)
+    near = running(hit.select("repo", "path", "number", line.alias("line")), ["repo"], ["path", "number"], run=F.length("line") + 1).filter(F.col("run") - F.length("line") - 1 <= most_chars)
     text = near.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "number", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return sources.select("repo").distinct().join(text, "repo", "left").select("repo", truncate_text(F.coalesce("text", F.lit("(no matches)")), most_chars).alias("result"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranked import running
+
 # Check types that are not exploitable in practice.
 SKIP_CHECK_TYPES = [
     "solc-version",
@@ -196,15 +198,15 @@ def report_entries(confirmed: DataFrame, verdicts: DataFrame, replies: DataFrame
 
 
 def assign_batches(candidates: DataFrame, order: list[str], size: int = 10, by: list[str] = ("repo",)) -> DataFrame:
-    """batch (from 1), batches and batch_rows: runs of ``size`` rows in input order."""
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(*order))
-    rows = candidates.withColumn("batch", F.ceil(place / F.lit(size)).cast("int")).withColumn("batches", F.ceil(F.count(F.lit(1)).over(w) / F.lit(size)).cast("int"))
-    return rows
+    """batch (from 1) and batches: runs of ``size`` rows in ``order``."""
+    rows = running(candidates, list(by), order, batch=F.lit(1))
+    count = lambda c: F.ceil(F.col(c) / F.lit(size)).cast("int")
+    return rows.withColumn("batches", count("batch_whole")).withColumn("batch", count("batch")).drop("batch_whole")
 
 
 def number_entries(entries: DataFrame, order: list[str], by: list[str] = ("repo",)) -> DataFrame:
-    return entries.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """number (from 1): the place of each row in ``order``."""
+    return running(entries, list(by), order, number=F.lit(1)).withColumn("number", F.col("number").cast("int")).drop("number_whole")
 
 
 def findings_table(confirmed: DataFrame) -> DataFrame:

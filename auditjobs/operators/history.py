@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import commit_summary, contains_any, relative_age
+from .ranked import running
 
 # Words whose presence marks a commit.
 SECURITY_KEYWORDS = [
@@ -135,10 +136,12 @@ def volatility(churn: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     return churn.withColumn("change_frequency", frequency).withColumn("volatility", score)
 
 
-def hotspots(churn: DataFrame, least: int = 5) -> DataFrame:
-    """Files with at least ``least`` commits and their place in the repository by score."""
-    order = Window.partitionBy("repo").orderBy(F.desc("volatility"), "path")
-    return churn.filter(F.col("commits") >= least).withColumn("place", F.row_number().over(order))
+def hotspots(churn: DataFrame, least: int = 5, most: int | None = None) -> DataFrame:
+    """Files with at least ``least`` commits and their place in the repository by score; the first ``most``, else all."""
+    rows, order = churn.filter(F.col("commits") >= least), [F.desc("volatility"), "path"]
+    if most is not None:  # a limit that each task applies before rows are dealt
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).filter(F.col("place") <= most)
+    return running(rows, ["repo"], order, place=F.lit(1)).withColumn("place", F.col("place").cast("int")).drop("place_whole")
 
 
 def blame_share(blame: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def finding_history(findings: DataFrame, commits: DataFrame, numstat: DataFrame,
     files = wanted.join(own, ["repo", "path"]).select("id", F.lit(1).alias("section"), "place", "line")
     recent = recent_commits(commits, as_of, window_days)
     listed = lambda rows, n: newest(rows.drop("place"), ["repo"], most).select("repo", F.lit(n).alias("section"), "place", line.alias("line"))
-    hot = hotspots(volatility(file_churn(commits, numstat, as_of, churn_days), as_of, churn_days), 3).filter(F.col("place") <= most)
+    hot = hotspots(volatility(file_churn(commits, numstat, as_of, churn_days), as_of, churn_days), 3, most)
     hot_line = F.format_string("  %s: %d changes, volatility=%.2f", "path", "commits", "volatility")
     per_repo = listed(security_commits(recent), 2).unionByName(listed(risky_commits(recent), 3)).unionByName(hot.select("repo", F.lit(4).alias("section"), "place", hot_line.alias("line")))
     return files.unionByName(wanted.select("id", "repo").join(per_repo, "repo").select("id", "section", "place", "line"))

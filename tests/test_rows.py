@@ -184,3 +184,31 @@ def test_whole_context_holds_all_kinds(spark):
             expected[key] = "\n\n".join(texts), used
         rows = X.pack_context(spark.createDataFrame(elements), most).collect()
         assert {r.id: (r.context, r.used) for r in rows} == expected
+
+
+@pytest.mark.parametrize("shown", [["id"], ["score", "id"]])
+def test_running_totals_over_ranges(spark, shown):
+    """One key holds nearly all rows; others hold few, one is null; each has its totals whatever the ranges."""
+    from auditjobs.operators.ranked import running
+
+    rows = [(i, None if i % 50 == 0 else "few" if i % 50 == 1 else "hot", (i * 7919) % 1009, i % 13) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, repo string, score int, size int").repartition(5)
+    order = [F.desc("score"), "id"] if len(shown) > 1 else ["id"]
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(adaptive)
+    try:
+        spark.conf.set(adaptive, "false")  # several ranges, small as they are
+        out = running(df, ["repo"], order, place=F.lit(1), run=F.col("size"))
+        found = sorted((r.id, r.place, r.place_whole, r.run, r.run_whole) for r in out.collect())
+    finally:
+        spark.conf.set(adaptive, held)
+    assert out.columns == ["id", "repo", "score", "size", "place", "run", "place_whole", "run_whole"]
+    expected = []
+    for repo in (None, "few", "hot"):
+        own = sorted((r for r in rows if r[1] == repo), key=lambda r: r[0] if len(shown) == 1 else (-r[2], r[0]))
+        total = 0
+        for n, r in enumerate(own):
+            total += r[3]
+            expected.append((r[0], n + 1, len(own), total, sum(x[3] for x in own)))
+    assert found == sorted(expected)
+    assert running(df.limit(0), ["repo"], ["id"], place=F.lit(1)).count() == 0
