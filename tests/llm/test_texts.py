@@ -481,3 +481,73 @@ def test_pipeline(spark):
     for rows in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             rows = Scratch(spark).cut(stage(spark, rows, DATA))
+
+
+def test_stages_equal_brute_force(spark):
+    """Stages 2 to 5 on a small table against plain Python, row by row."""
+    import binascii
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words = lambda k: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(40)) for _ in range(k))
+    passage, base, long = words(30), words(60), words(3000)
+    texts = [words(rng.randrange(5, 50)) for _ in range(20)] + [words(8) + " " + passage + " " + words(8) for _ in range(4)]
+    texts += [base, base + " one", "Two " + base, base.upper(), base, long, long + " end", "", None, "  ", "word", "word", texts[0], texts[1], texts[1]]
+    rows = [(i * 3 + 1, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    held = []
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = Scratch(spark).cut(stage(spark, docs, None))
+        held.append(docs.collect())
+
+    newest = {}
+    for i, t, *_ in rows:
+        newest[t or ""] = max(i, newest.get(t or "", 0))
+    kept = {i: t for i, t, *_ in rows if newest[t or ""] == i}
+    assert sorted((r.doc_id, r.text) for r in held[0]) == sorted(kept.items())
+
+    def shingled(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, lead = {i: shingled(t) for i, t in kept.items()}, {i: i for i in kept}
+    for _ in kept:
+        for a in kept:
+            for b in kept:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    lead[a] = lead[b] = min(lead[a], lead[b])
+    kept = {i: t for i, t in kept.items() if lead[i] == i}
+    assert sorted((r.doc_id, r.text) for r in held[1]) == sorted(kept.items())
+
+    seen = set()
+    for i in sorted(kept):
+        b = (kept[i] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        kept[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in held[2]) == sorted((i, t, len(t)) for i, t in kept.items())
+    assert any(len(t) < len(dict((i, t or "") for i, t, *_ in rows)[i]) for i, t in kept.items())
+
+    tokenizer, pieces = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))), []
+    for i, t in kept.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        pieces += [(i, at // 4096, at, len(ids[at : at + 4096]), binascii.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for at in range(0, len(ids), 4096)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in held[3]) == sorted(pieces)
+    bins = []
+    for size in sorted((p[3] for p in pieces), reverse=True):
+        room = [g for g in bins if g >= size]
+        if room:
+            bins.remove(min(room))
+        bins.append((min(room) if room else 4096) - size)
+    ends = {}
+    for r in sorted(held[3], key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096 and len(ends) == len(bins)
