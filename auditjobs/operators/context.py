@@ -110,11 +110,16 @@ def finding_contracts(findings: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("id", with_focus(F.col("focus")).alias("content"))
 
 
-def finding_dependencies(findings: DataFrame, edges: DataFrame, texts: DataFrame, max_depth: int = 5) -> DataFrame:
-    """id, place, content: each indexed dependency of the finding's contract, by name. Closures run once a contract."""
+def _dependency_names(findings: DataFrame, edges: DataFrame, texts: DataFrame, max_depth: int) -> DataFrame:
+    """repo, contract, name: the dependencies of each indexed contract that has findings. Closures run once a contract."""
     owners = findings.select("repo", F.col("contract").alias("name")).filter("name <> ''").distinct()
     known = owners.join(texts.select("repo", "name"), ["repo", "name"], "left_semi").select("repo", F.col("name").alias("seed"))
-    deps = dependencies(edges, known, max_depth).select("repo", F.col("seed").alias("contract"), F.col("node").alias("name"))
+    return dependencies(edges, known, max_depth).select("repo", F.col("seed").alias("contract"), F.col("node").alias("name"))
+
+
+def finding_dependencies(findings: DataFrame, edges: DataFrame, texts: DataFrame, max_depth: int = 5) -> DataFrame:
+    """id, place, content: each indexed dependency of the finding's contract, by name."""
+    deps = _dependency_names(findings, edges, texts, max_depth)
     rows = deps.join(texts, ["repo", "name"]).select("repo", "contract", "name", with_focus().alias("content"))
     place = F.row_number().over(Window.partitionBy("repo", "contract").orderBy("name"))
     return findings.select("id", "repo", "contract").join(rows.withColumn("place", place), ["repo", "contract"]).select("id", "place", "content")
@@ -192,12 +197,19 @@ def pack_context(elements: DataFrame, max_tokens: int = 30_000, buffer: int = 0,
 
 
 def pack_contracts(findings: DataFrame, texts: DataFrame, edges: DataFrame, max_tokens: int = 15_000) -> DataFrame:
-    """id, context: the finding's contract and its dependencies within two hops by name, whole, up to the first that overflows; else a message."""
-    own = finding_contracts(findings, texts).select("id", F.lit(0).alias("place"), "content")
-    parts = own.unionByName(finding_dependencies(findings, edges, texts, 2)).withColumn("tokens", F.floor(F.length("content") / F.lit(4)))
-    w = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    kept = parts.withColumn("run", F.sum("tokens").over(w)).filter(F.col("run") <= max_tokens)
-    packed = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("xs")).select("id", F.array_join(F.transform("xs", lambda x: x["content"]), "\n\n").alias("context"))
+    """id, context: the finding's contract and its dependencies within two hops by name, whole, up to the first that overflows; else a message.
+
+    Running sizes decide once a contract which dependencies can fit; only their texts are gathered, at most the budget a contract.
+    """
+    size = lambda x: F.floor(F.length(x) / F.lit(4))
+    w = Window.partitionBy("repo", "contract").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
+    sized = _dependency_names(findings, edges, texts, 2).join(texts.select("repo", "name", size(with_focus()).alias("tokens")), ["repo", "name"])
+    fit = sized.withColumn("run", F.sum("tokens").over(w)).filter(F.col("run") <= max_tokens).select("repo", "contract", "name", "run")
+    parts = fit.join(texts, ["repo", "name"]).groupBy("repo", "contract").agg(F.array_sort(F.collect_list(F.struct("name", "run", with_focus().alias("content")))).alias("parts"))
+    named = findings.select("id", "repo", "contract", "function").join(texts.withColumnRenamed("name", "contract"), ["repo", "contract"])
+    own = named.select("id", "repo", "contract", with_focus(F.col("function")).alias("content")).withColumn("tokens", size(F.col("content"))).filter(F.col("tokens") <= max_tokens)
+    added = F.transform(F.filter("parts", lambda x: x["run"] + F.col("tokens") <= max_tokens), lambda x: x["content"])
+    packed = own.join(parts, ["repo", "contract"], "left").select("id", F.concat_ws("\n\n", "content", added).alias("context"))
     return findings.select("id").join(packed, "id", "left").select("id", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
