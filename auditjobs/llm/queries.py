@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, exact_dedup, html_extract, lm_score, ngram_join, packing, quality_crf, repeat_removal, toxicity
-from ._io import table
+from . import bit_sliced, byte_bpe, conversation_repair, decontaminate, exact_dedup, hard_negatives, html_extract, lm_score, ngram_join, packing, quality_crf, repeat_removal, toxicity
+from ._io import Scratch, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,32 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(turns)
+    audits = Scratch(spark).cut(conversation_repair.audit(rows), "audits")
+    hashes = conversation_repair.digests(conversation_repair.repaired(rows, audits))
+    same = lambda df: F.col("c.conv_id").eqNullSafe(F.col(f"{df}.conv_id"))
+    joined = turns.select(F.col("conv_id").cast("long")).distinct().alias("c").join(audits.alias("a"), same("a"), "left").join(hashes.alias("h"), same("h"), "left")
+    zero = lambda c: F.coalesce(f"a.{c}", F.lit(0)).cast("long").alias(c)
+    return joined.select(
+        "c.conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("a.audit", F.lit("")).alias("audit"),
+        F.coalesce("h.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op13_decontamination(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_score": op2_lm_score,
@@ -89,6 +115,9 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE_SQL = {
@@ -127,6 +156,46 @@ ORACLE_SQL = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id
+            WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+               p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_decontamination": """
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), i AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark
+        ), g AS (
+            SELECT DISTINCT item, w[p : p + 9] AS win, CAST(least(10, len(w)) AS BIGINT) AS n
+            FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS p FROM i WHERE len(w) > 0)
+        ), o AS (
+            SELECT r, p, k.n, w[p : p + k.n - 1] AS win
+            FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) x CROSS JOIN (SELECT DISTINCT n FROM g) k
+            WHERE p + k.n - 1 <= len(w)
+        ), h AS (SELECT o.r, o.p, o.n, g.item FROM o JOIN g ON g.n = o.n AND g.win = o.win),
+        hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
+        it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
