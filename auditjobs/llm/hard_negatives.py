@@ -62,7 +62,7 @@ def bounds(anchors: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.nda
         part = total[lo : lo + ROWS_AT_ONCE]
         for d in range(dims):
             part += tables[d].take(codes[d, lo : lo + ROWS_AT_ONCE], axis=0)
-    return total[:, :m], total[:, m:]
+    return clipped(total[:, :m]), clipped(total[:, m:])
 
 
 def kth_greatest(values: np.ndarray, k: int):
@@ -77,9 +77,10 @@ class Block:
 
     def __init__(self, row: dict, scale: int):
         dims, n = row["dims"], row["n"]
+        cells = len(row["low"]) // 8 // max(1, dims)
         read = lambda name, kind, *shape: np.frombuffer(row[name], kind).reshape(*shape)
         self.ids, self.rids, self.labels = row["ids"], read("rids", "<i8", n), read("labels", "<i8", n)
-        self.codes, self.low, self.high = read("codes", np.uint8, dims, n), quantised(read("low", "<f8", dims, -1), scale), quantised(read("high", "<f8", dims, -1), scale)
+        self.codes, self.low, self.high = read("codes", np.uint8, dims, n), quantised(read("low", "<f8", dims, cells), scale), quantised(read("high", "<f8", dims, cells), scale)
         self.values = quantised(read("values", "<f8", n, dims), scale)
         kinds = {x.dtype == object for x in (self.low, self.high, self.values)}
         if len(kinds) > 1:
@@ -88,13 +89,17 @@ class Block:
     def exact(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Inner products of these rows with the anchor, as integers."""
         found = self.values[rows].dot(anchor)
-        return found.astype(np.int64) if found.dtype != object else found
+        return found.astype(np.int64) if found.dtype != object else clipped(found)
 
 
 def whole(values: np.ndarray) -> np.ndarray:
     return np.frompyfunc(int, 1, 1)(values).astype(object) if values.size else values.astype(object)
 
 
+def clipped(scores: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(scores, -BEYOND), BEYOND) if scores.dtype == object else scores
+
+
 def first(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k greatest scores and their rows, ties by row; rows ascend."""
     order = np.argsort(-scores, kind="stable")[:k]
@@ -173,7 +178,7 @@ def _search(scale: int, k: int, low: int, high: int, windows: bool):
                     found["place"] += [place] * len(rows)
                     found["vec_id"] += [block.ids[r] for r in rows]
                     found["rid"] += block.rids[rows].tolist()
-                    found["score"] += [min(max(int(s), -BEYOND), BEYOND) for s in scores]
+                    found["score"] += [int(s) for s in scores]
         return pa.table(found, FOUND)
 
     return search
