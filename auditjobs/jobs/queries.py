@@ -583,30 +583,75 @@ def _nodes(edges, column):
     return edges.select("repo", F.col(column).alias("seed")).distinct()
 
 
-@register("gr_02_dependencies", "edges", f"SELECT * FROM (WITH e AS (SELECT DISTINCT source, target FROM edges) {CLOSURE})")
+#: The stated seeds of closures: nodes whose number is divisible by 50, against all edges.
+ASKS = "CAST(substring({}, 2) AS BIGINT) % 50 = 0"
+
+
+def _seeds(edges, column):
+    return _nodes(edges, column).filter(ASKS.format("seed"))
+
+
+@register("gr_02_dependencies", "edges", f"SELECT * FROM (WITH e AS (SELECT DISTINCT source, target FROM edges) {CLOSURE}) WHERE {ASKS.format('seed')}")
 def gr_02(spark, d):
     edges = A.adapted(spark, d, "edges")
-    return G.dependencies(edges, _nodes(edges, "source")).select("seed", "node", "depth")
+    return G.dependencies(edges, _seeds(edges, "source")).select("seed", "node", "depth")
 
 
-@register("gr_03_dependents", "edges", f"SELECT * FROM (WITH e AS (SELECT DISTINCT target AS source, source AS target FROM edges) {CLOSURE})")
+@register("gr_03_dependents", "edges", f"SELECT * FROM (WITH e AS (SELECT DISTINCT target AS source, source AS target FROM edges) {CLOSURE}) WHERE {ASKS.format('seed')}")
 def gr_03(spark, d):
     edges = A.adapted(spark, d, "edges")
-    return G.dependents(edges, _nodes(edges, "target")).select("seed", "node", "depth")
+    return G.dependents(edges, _seeds(edges, "target")).select("seed", "node", "depth")
+
+
+def _part_pairs(spark, d, seeds):
+    """Each part with each region, by the keys of the tables; seeds: a condition on the key of a part that asks."""
+    part = A.table(spark, d, "part").filter(seeds).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("start"))
+    ends = A.table(spark, d, "region").select(F.collect_set(F.concat(F.lit("G"), F.col("r_regionkey").cast("string"))).alias("ends"))
+    return part.join(F.broadcast(ends)).select(F.lit("main").alias("repo"), "start", F.explode("ends").alias("end"))  # one row of regions
+
+
+def _hops(edges):
+    return edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst"))
 
 
 @register(
     "gr_04_call_paths", "edges",
-    """SELECT a.source || ' -> ' || a.target || ' -> ' || b.target || ' -> ' || c.target AS path FROM edges a JOIN edges b ON a.target = b.source JOIN edges c ON b.target = c.source WHERE a.source LIKE 'P%'""",
+    """, a AS MATERIALIZED (SELECT * FROM edges WHERE source LIKE 'P%' AND CAST(substring(source, 2) AS BIGINT) % 50 = 0)
+       SELECT a.source || ' -> ' || a.target || ' -> ' || b.target || ' -> ' || c.target AS path FROM a JOIN edges b ON a.target = b.source JOIN edges c ON b.target = c.source""",
 )
 def gr_04(spark, d):
-    edges = A.adapted(spark, d, "edges")
-    reach = G.dependencies(edges, _nodes(edges.filter("source LIKE 'P%'"), "source"))
-    pairs = reach.filter("node LIKE 'G%'").select("repo", F.col("seed").alias("start"), F.col("node").alias("end"))
-    paths = G.call_paths(edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst")), pairs)
+    """All paths to regions from the parts of a stated seeds table, ids divisible by 50, over all edges."""
+    paths = G.call_paths(_hops(A.adapted(spark, d, "edges")), _part_pairs(spark, d, "p_partkey % 50 = 0"))
     return paths.select(T.flow_text(F.col("path")).alias("path"))
 
 
+@register(
+    "gr_04_path_counts", "edges",
+    """SELECT a.source AS start, c.target AS "end", count(*) AS walks FROM edges a JOIN edges b ON a.target = b.source JOIN edges c ON b.target = c.source WHERE a.source LIKE 'P%' GROUP BY a.source, c.target""",
+)
+def gr_04_counts(spark, d):
+    """The number of paths of every pair of part and region, none of them expanded."""
+    counts = G.path_counts(_hops(A.adapted(spark, d, "edges")), _part_pairs(spark, d, "true"))
+    return counts.select("start", "end", F.col("walks").cast("long").alias("walks"))
+
+
+@register(
+    "gr_04_cyclic_paths", "calls",
+    """, asked AS (SELECT 'P' || a.p_partkey AS start, 'P' || b.p_partkey AS "end" FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND b.p_partkey = a.p_partkey % 500 + 1),
+       w AS MATERIALIZED (SELECT src, dst FROM calls WHERE src <> dst)
+       SELECT start, "end", start || ' -> ' || "end" AS path FROM asked JOIN w ON src = start AND dst = "end"
+       UNION ALL SELECT start, "end", start || ' -> ' || a.dst || ' -> ' || "end" FROM asked JOIN w a ON a.src = start JOIN w b ON b.src = a.dst AND b.dst = "end" WHERE a.dst <> "end"
+       UNION ALL SELECT start, "end", start || ' -> ' || a.dst || ' -> ' || b.dst || ' -> ' || "end" FROM asked JOIN w a ON a.src = start JOIN w b ON b.src = a.dst JOIN w c ON c.src = b.dst AND c.dst = "end"
+       WHERE a.dst <> "end" AND b.dst <> "end" AND b.dst <> start""",
+)
+def gr_04_cyclic(spark, d):
+    """Paths of at most four nodes over the whole cyclic call graph, for a stated pairs table."""
+    keys = A.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    ends = keys.select(F.col("k").alias("e"))
+    pairs = keys.filter("k % 50 = 0").join(ends, F.col("e") == F.col("k") % 500 + 1).select(F.lit("main").alias("repo"), F.concat(F.lit("P"), F.col("k").cast("string")).alias("start"), F.concat(F.lit("P"), F.col("e").cast("string")).alias("end"))
+    return G.call_paths(A.adapted(spark, d, "calls"), pairs, 4).select("start", "end", T.flow_text(F.col("path")).alias("path"))
+
+
 TOP = "SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, is_external) AS place FROM calls"
 SHOW = "'-> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END"
 
@@ -632,14 +677,14 @@ def gr_05_whole(spark, d):
 @register(
     "gr_06_dependency_report", "edges",
     f"""WITH x AS (SELECT * FROM (WITH e AS (SELECT DISTINCT source, target FROM edges) {CLOSURE}))
-        SELECT seed, 'depends on' AS direction, node, CASE WHEN node LIKE 'S%' THEN '(contract)' ELSE '(external)' END AS label FROM x
-        UNION ALL SELECT node, 'used by', seed, '' FROM x""".replace("WITH x AS", ", x AS", 1),
+        SELECT seed, 'depends on' AS direction, node, CASE WHEN node LIKE 'S%' THEN '(contract)' ELSE '(external)' END AS label FROM x WHERE {ASKS.format('seed')}
+        UNION ALL SELECT node, 'used by', seed, '' FROM x WHERE {ASKS.format('node')}""".replace("WITH x AS", ", x AS", 1),
 )
 def gr_06(spark, d):
     edges = A.adapted(spark, d, "edges")
     known = edges.filter("edge_type = 'inherits'").select("repo", F.col("source").alias("name"), F.lit("contract").alias("contract_type")).distinct()
-    deps = G.dependencies(edges, _nodes(edges, "source"))
-    return G.dependency_report(deps, G.dependents(edges, _nodes(edges, "target")), known).select("seed", "direction", "node", "label")
+    deps = G.dependencies(edges, _seeds(edges, "source"))
+    return G.dependency_report(deps, G.dependents(edges, _seeds(edges, "target")), known).select("seed", "direction", "node", "label")
 
 
 @register("ag_01_graph_stats", "contracts functions graph", "SELECT 'main' AS repo, (SELECT count(*) FROM contracts) AS contracts, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM graph) AS edges, (SELECT count(*) FROM contracts) AS files_indexed")

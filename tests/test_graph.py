@@ -1,7 +1,7 @@
 """Graph operators against plain searches over random graphs."""
 
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 
@@ -61,6 +61,19 @@ def test_paths(spark, seed):
     for depth in (1, 3, 6):
         found = sorted(tuple(r.path) for r in G.call_paths(df, pairs, depth).collect())
         assert found == sorted(tuple(p) for a, b in asked for p in simple_paths(edges, a, b, depth, []))
+        counts = {(r.start, r.end): int(r.walks) for r in G.path_counts(df, pairs, depth).collect()}
+        paths = Counter((p[0], p[-1]) for p in set(found))
+        assert all(counts[ends] >= n for ends, n in paths.items())
+
+
+def test_path_counts_without_cycles(spark):
+    layers = [[f"l{i}n{j}" for j in range(5)] for i in range(9)]
+    edges = [(a, b) for x, y in zip(layers, layers[1:]) for a in x for b in y] + [("l0n0", "l1n1"), ("s", "l0n0"), ("l8n0", "e"), ("s", "e")]
+    pairs = spark.createDataFrame([("r", "s", "e"), ("r", "s", "l3n2"), ("r", "e", "s"), ("r", "s", "s")], "repo string, start string, end string")
+    counts = lambda depth: {(r.start, r.end): int(r.walks) for r in G.path_counts(frame(spark, edges, ("src", "dst")), pairs, depth).collect()}
+    assert counts(11) == {("s", "e"): 5**7 + 5**6 + 1, ("s", "l3n2"): 25 + 5, ("s", "s"): 1}  # 93,751 paths, none of them expanded
+    assert counts(10) == {("s", "e"): 1, ("s", "l3n2"): 30, ("s", "s"): 1}
+    assert counts(0) == {}
 
 
 def chain(edges, start, depth, fanout):
