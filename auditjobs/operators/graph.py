@@ -47,76 +47,72 @@ def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFr
     return dependencies(edges.select("repo", F.col("target").alias("source"), F.col("source").alias("target")), seeds, max_depth)
 
 
-def _levels(hops: DataFrame, asked: DataFrame, near: str, far: str, ahead: bool, most: int) -> list[DataFrame]:
-    """Levels 0 to ``most`` of the walks of each pair from its ``near`` end: repo, start, end, node, walks. Walks turn back at neither end.
+def _levels(hops: DataFrame, ends: DataFrame, ahead: bool, most: int) -> list[DataFrame]:
+    """Levels 0 to ``most`` of the walks from each of the ends (repo, of), with or against the edges: repo, of, node, walks.
 
-    Walks that meet in a node of a level are one row with their number, so a level has a row a pair and node at most.
+    Walks that meet in a node of a level are one row with their number, so a level has a row an end and node at most; none comes back to where it began.
     """
     here, there = ("src", "dst") if ahead else ("dst", "src")
-    level = cut(asked.select("repo", "start", "end", F.col(near).alias("node"), F.lit(1).cast("decimal(38,0)").alias("walks")))
-    found = [level]
-    for n in range(1, most + 1):
-        going = level if n == 1 else level.filter(F.col("node") != F.col(far))
-        step = going.join(hops.select("repo", F.col(here).alias("node"), F.col(there).alias("next"), "times"), ["repo", "node"]).filter(F.col("next") != F.col(near))
-        level = cut(step.groupBy("repo", "start", "end", F.col("next").alias("node")).agg(F.sum(F.col("walks") * F.col("times")).cast("decimal(38,0)").alias("walks")))
-        found.append(level)
-        if level.isEmpty():
-            break
+    step = hops.select("repo", F.col(here).alias("node"), F.col(there).alias("next"), "times")
+    found = [cut(ends.distinct().select("repo", "of", F.col("of").alias("node"), F.lit(1).cast("decimal(38,0)").alias("walks")))]
+    while len(found) <= most and not found[-1].isEmpty():
+        joined = found[-1].join(step, ["repo", "node"]).filter(F.col("next") != F.col("of"))
+        found.append(cut(joined.groupBy("repo", "of", F.col("next").alias("node")).agg(F.sum(F.col("walks") * F.col("times")).cast("decimal(38,0)").alias("walks"))))
     return found
 
 
-def _layers(call_edges: DataFrame, pairs: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame, list[DataFrame], list[DataFrame]]:
-    """(edges with their number, pairs with two ends, levels from the starts, levels from the ends): half the hops from either side."""
+def _layers(call_edges: DataFrame, pairs: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None, list[DataFrame], list[DataFrame]]:
+    """(edges with their number, arrivals, meetings, levels from the starts, levels from the ends): half the hops from either side.
+
+    arrivals: repo, start, end, hops, walks where the starts' levels reach an end; meetings: repo, start, end, node, walks, rest, more for
+    nodes of the starts' last level that are ``rest`` hops from the end, by ``more`` walks. Only here do pairs come in.
+    """
     hops = cut(call_edges.select("repo", "src", "dst").filter("src <> dst").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
     asked = cut(pairs.select("repo", "start", "end").filter("start <> end").distinct())
     most = max(max_depth - 1, 0)
     half = (most + 1) // 2
-    return hops, asked, _levels(hops, asked, "start", "end", True, half), _levels(hops, asked, "end", "start", False, most - half)
+    ahead = _levels(hops, asked.select("repo", F.col("start").alias("of")), True, half)
+    back = _levels(hops, asked.select("repo", F.col("end").alias("of")), False, most - half)
+    placed = lambda levels, least, place: _union([x.withColumn(place, F.lit(n)) for n, x in enumerate(levels) if n >= least])
+    if half == 0:
+        return hops, asked.limit(0).select("*", F.lit(0).alias("hops"), F.lit(0).cast("decimal(38,0)").alias("walks")), None, ahead, back
+    arrivals = asked.join(placed(ahead, 1, "hops").select("repo", F.col("of").alias("start"), F.col("node").alias("end"), "hops", "walks"), ["repo", "start", "end"])
+    if len(ahead) <= half or len(back) < 2:
+        return hops, arrivals, None, ahead, back
+    known = placed(back, 1, "rest").select("repo", F.col("of").alias("end"), "node", "rest", F.col("walks").alias("more"))
+    reached = ahead[half].select("repo", F.col("of").alias("start"), "node", "walks")
+    met = asked.join(reached, ["repo", "start"]).filter(F.col("node") != F.col("end")).join(known, ["repo", "end", "node"]).filter(F.col("node") != F.col("start"))
+    return hops, arrivals, cut(met.select("repo", "start", "end", "node", "walks", "rest", "more")), ahead, back
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _meetings(ahead: list[DataFrame], back: list[DataFrame], max_depth: int) -> DataFrame | None:
-    """repo, start, end, node, walks, rest, more: nodes at the last level from the start that are also on a level ``rest`` from the end."""
-    half = (max(max_depth - 1, 0) + 1) // 2
-    if len(ahead) <= half or len(back) < 2:
-        return None
-    known = _union([x.withColumn("rest", F.lit(n)).withColumnRenamed("walks", "more") for n, x in enumerate(back) if n])
-    return ahead[half].filter(F.col("node") != F.col("end")).join(known, ["repo", "start", "end", "node"])
-
-
 def path_counts(call_edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """repo, start, end, walks (decimal): the walks of at most ``max_depth`` nodes for each pair that has any, which pass through neither end on the way.
+    """repo, start, end, walks (decimal): the walks of at most ``max_depth`` nodes for each pair that has any.
 
     It is the number of its paths where no walk meets a node twice, as in graphs without cycles, and never less. Levels from both ends meet
     in the middle; nothing is expanded, so counting costs as much as half the depth, however many walks there are.
     """
-    _, asked, ahead, back = _layers(call_edges, pairs, max_depth)
+    _, arrivals, met, _, _ = _layers(call_edges, pairs, max_depth)
     same = pairs.select("repo", "start", "end").filter("start = end").distinct().withColumn("walks", F.lit(1).cast("decimal(38,0)"))
-    found = [same] if max_depth > 0 else [same.limit(0)]
-    found += [x.filter(F.col("node") == F.col("end")).select("repo", "start", "end", "walks") for x in ahead[1:]]
-    met = _meetings(ahead, back, max_depth)
+    found = [same if max_depth > 0 else same.limit(0), arrivals.drop("hops")]
     if met is not None:
         found.append(met.select("repo", "start", "end", (F.col("walks") * F.col("more")).cast("decimal(38,0)").alias("walks")))
     return _union(found).groupBy("repo", "start", "end").agg(F.sum("walks").cast("decimal(38,0)").alias("walks"))
 
 
-def _grown(seeds: list[tuple[int, DataFrame]], hops: DataFrame, levels: list[DataFrame], ahead: bool) -> DataFrame | None:
-    """Half paths from seeds (level, (repo, start, end, path, times, ...)) to level 0, one level a step, each on nodes of its pair's levels only."""
-    if not seeds:
-        return None
-    by_level: dict[int, list[DataFrame]] = {}
-    for n, df in seeds:
-        by_level.setdefault(n, []).append(df)
-    at = None
-    for n in range(max(by_level), 0, -1):
-        at = _union(([at] if at is not None else []) + by_level.get(n, []))
-        columns = at.columns
-        head, here, there = (F.get("path", F.lit(0)), "dst", "src") if ahead else (F.element_at("path", -1), "src", "dst")
-        step = at.withColumn(here, head).join(hops.withColumnRenamed("times", "more"), ["repo", here])
-        step = step.join(levels[n - 1].select("repo", "start", "end", F.col("node").alias(there)), ["repo", "start", "end", there]).filter(~F.array_contains("path", F.col(there)))
+def _grown(seeds: DataFrame, hops: DataFrame, levels: list[DataFrame], ahead: bool) -> DataFrame:
+    """Half paths from seeds (repo, start, end, middle, path, times, level) to level 0, one level a step, each on nodes of the levels of its end only."""
+    of, other = ("start", "end") if ahead else ("end", "start")
+    head, here, there = (F.get("path", F.lit(0)), "dst", "src") if ahead else (F.element_at("path", -1), "src", "dst")
+    columns, at = ["repo", "start", "end", "middle", "path", "times"], None
+    for n in range(len(levels) - 1, 0, -1):
+        new = seeds.filter(F.col("level") == n).select(*columns)
+        at = new if at is None else at.unionByName(new)
+        step = at.withColumn(here, head).join(hops.withColumnRenamed("times", "more"), ["repo", here]).filter(~F.array_contains("path", F.col(there)) & (F.col(there) != F.col(other)))
+        step = step.join(levels[n - 1].select("repo", F.col("of").alias(of), F.col("node").alias(there)), ["repo", of, there])
         path = F.array_prepend("path", F.col(there)) if ahead else F.array_append("path", F.col(there))
         at = cut(step.withColumn("path", path).withColumn("times", F.col("times") * F.col("more")).select(*columns))
     return at
@@ -125,29 +121,27 @@ def _grown(seeds: list[tuple[int, DataFrame]], hops: DataFrame, levels: list[Dat
 def call_paths(call_edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
     """repo, start, end, path: all simple paths of at most ``max_depth`` nodes for each pair (repo, start, end).
 
-    Parallel edges repeat paths; equal ends give the one-node path. Each pair has a layered graph: levels of nodes by hops from
-    its start and, for the other half of the hops, from its end, made with the numbers of their walks and nothing expanded. Where they meet,
-    half paths grow back to either end along the levels, so every half path is the half of a walk between the ends, and has half
+    Parallel edges repeat paths; equal ends give the one-node path. A pair has a layered graph: levels of nodes by hops from
+    its start and, for the other half of the hops, from its end, shared by all pairs of that start or end and made with the numbers of their walks, nothing
+    expanded. Where they meet, half paths grow back to either end along the levels, so every half path is part of a walk between the ends and has half
     the length at most. Two halves that share only their meeting node are a path. :func:`path_counts` tells beforehand how many to expect.
     """
-    hops, asked, ahead, back = _layers(call_edges, pairs, max_depth)
-    one = F.lit(1).cast("long").alias("times")
-    none = F.array().cast("array<string>")
+    hops, arrivals, met, ahead, back = _layers(call_edges, pairs, max_depth)
     same = pairs.select("repo", "start", "end").filter("start = end").distinct().select("repo", "start", "end", F.array("start").alias("path"))
-    done = [same] if max_depth > 0 else [same.limit(0)]
-    # rest: hops that the other half has; 0 where the start's half arrives by itself
-    arrive = [(n, x.filter(F.col("node") == F.col("end")).select("repo", "start", "end", F.array("node").alias("path"), one, F.lit(None).cast("string").alias("middle"))) for n, x in enumerate(ahead) if n]
-    met = _meetings(ahead, back, max_depth)
-    middle = [] if met is None else [(len(ahead) - 1, met.select("repo", "start", "end", "node").distinct().select("repo", "start", "end", F.array("node").alias("path"), one, F.col("node").alias("middle")))]
-    first = _grown(arrive + middle, hops, ahead, True)
+    done = [same if max_depth > 0 else same.limit(0)]
+    seed = lambda df, node, middle, level: df.select("repo", "start", "end", middle.alias("middle"), F.array(node).alias("path"), F.lit(1).cast("long").alias("times"), level.alias("level"))
+    seeds = seed(arrivals, "end", F.lit(None).cast("string"), F.col("hops"))
+    if met is not None:
+        middles = met.select("repo", "start", "end", "node").distinct()
+        seeds = seeds.unionByName(seed(middles, "node", F.col("node"), F.lit(len(ahead) - 1)))
     repeated = lambda df: df.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("repo", "start", "end", "path")
-    if first is not None:
+    if len(ahead) > 1:
+        first = _grown(seeds, hops, ahead, True)
         done.append(repeated(first.filter("middle is null")))
     if met is not None:
-        ends = [(n, met.filter(F.col("rest") == n).select("repo", "start", "end", F.array("node").alias("path"), one, F.col("node").alias("middle"))) for n in range(1, len(back))]
-        second = _grown(ends, hops, back, False)
-        other = second.select("repo", "start", "end", "middle", F.slice("path", 2, F.size("path")).alias("tail"), F.col("times").alias("more"))
-        joined = first.filter("middle is not null").join(other, ["repo", "start", "end", "middle"]).filter(~F.arrays_overlap("path", F.coalesce("tail", none)))
+        second = _grown(seed(met, "node", F.col("node"), F.col("rest")), hops, back, False)
+        tails = second.select("repo", "start", "end", "middle", F.slice("path", 2, F.size("path")).alias("tail"), F.col("times").alias("more"))
+        joined = first.filter("middle is not null").join(tails, ["repo", "start", "end", "middle"]).filter(~F.arrays_overlap("path", "tail"))
         done.append(repeated(joined.withColumn("path", F.concat("path", "tail")).withColumn("times", F.col("times") * F.col("more"))))
     return _union(done)
 

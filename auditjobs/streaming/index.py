@@ -49,8 +49,8 @@ def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             rows.append((*key, version, INSERT, name, kind, parents, first, last, body))
     state.update((version, list(told), list(told.values())))
     columns = [c.split()[0] for c in CHANGES.split(", ")]
-    frame = pd.DataFrame(rows, columns=columns)
-    yield frame.astype({"line_start": "Int32", "line_end": "Int32"})
+    if rows:
+        yield pd.DataFrame(rows, columns=columns).astype({"line_start": "Int32", "line_end": "Int32"})
 
 
 def contract_changes(files: DataFrame) -> DataFrame:
