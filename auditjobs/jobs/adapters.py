@@ -38,6 +38,11 @@ SQL = {
                CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS INT) AS line,
                concat('dev_', CAST(o_custkey AS STRING)) AS author, o_orderdate AS author_time
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "long_blame": """
+        SELECT 'main' AS repo, concat('Flag', l_returnflag, l_linestatus, '.sol') AS path,
+               CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS line,
+               concat('dev_', CAST(o_custkey AS STRING)) AS author, o_orderdate AS author_time
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "edges": """
         SELECT 'main' AS repo, concat('P', CAST(l_partkey AS STRING)) AS source, concat('S', CAST(l_suppkey AS STRING)) AS target, 'calls' AS edge_type, 1 AS weight
         FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) x

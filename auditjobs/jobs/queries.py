@@ -302,6 +302,23 @@ def src_06(spark, d):
     return numbered.select("finding_id", "number").join(S.report_sections(numbered), "number").select("finding_id", "section")
 
 
+@register(
+    "src_06_write_report", "findings verdicts",
+    f"""SELECT part, min(n) AS first, max(n) AS last, count(*) AS entries, sha256(CASE WHEN part = '00000' THEN 'HEAD' ELSE '' END || string_agg(section || chr(10), '' ORDER BY n)) AS text_sha256 FROM (
+        SELECT CAST(row_number() OVER (ORDER BY finding_id) AS INT) AS n, printf('%05d', (row_number() OVER (ORDER BY finding_id) - 1) // 100) AS part,
+        '## ' || row_number() OVER (ORDER BY finding_id) || '. ' || type || chr(10) || chr(10) || '- **Severity:** ' || severity || chr(10) || '- **Type:** ' || type || chr(10)
+        || '- **Difficulty:** ' || difficulty || chr(10) || chr(10) || '### Description' || chr(10) || chr(10) || description || chr(10) || chr(10) || '### Exploit Scenario' || chr(10) || chr(10)
+        || exploit_scenario || chr(10) || chr(10) || '### Recommendations' || chr(10) || chr(10) || recommendations || chr(10) || chr(10) || '---' || chr(10) AS section FROM ({ENTRIES})) GROUP BY part""".replace("'HEAD'", "'" + "\n".join(S.REPORT_HEAD) + "' || chr(10)"),
+)
+def src_06_files(spark, d):
+    """The report written in files of a hundred entries, and read back by its manifest."""
+    v = _verdicts(spark, d)
+    entries = N.report_entries(N.true_positives(_findings(spark, d), v), v, _report_replies(spark, d)).withColumn("repo", F.lit("main"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    S.write_report(cut(N.number_entries(entries, ["finding_id"])), path, 100)
+    return S.read_report(spark, path).select("part", "first", "last", "entries", F.sha2("text", 256).alias("text_sha256"))
+
+
 @register("src_05_write_findings", "findings", "SELECT id, check_type, severity FROM findings")
 def src_05(spark, d):
     """Findings written as JSON lines and read back."""
@@ -1053,6 +1070,16 @@ def src_04(spark, d):
     return S.blame_lines(S.porcelain(blame)).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("author").alias("authors"))
 
 
+@register("src_04_read_blame", "long_blame", "SELECT path, line, author, author_time FROM long_blame")
+def src_04_files(spark, d):
+    """A few long files' blame as files of porcelain, each read by many tasks."""
+    blame = A.adapted(spark, d, "long_blame").withColumn("hash", F.substring(F.sha2(F.concat_ws("|", "author", "author_time"), 256), 1, 40))
+    path = f"{shared_folder(spark)}/blame-{uuid.uuid4().hex}"
+    rows = S.porcelain_lines(blame).repartition("path").sortWithinPartitions("path", "line")
+    rows.select(F.concat("path", F.lit(".blame")).alias("file"), F.col("row").alias("value")).write.partitionBy("file").text(path)
+    return S.read_blame(spark, f"{path}/*/*", "main").select("path", "line", "author", "author_time")
+
+
 @register(
     "str_01_stream_index", "contracts functions graph",
     f"""SELECT c.name, contract_type, path, line_start, line_end, coalesce(t.n, 0) AS terms, coalesce(f.n, 0) AS functions, coalesce(g.n, 0) AS edges FROM contracts c

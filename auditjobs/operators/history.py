@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import commit_summary, contains_any, relative_age
+from ..sources.scratch import cut
 from .ranked import running
 
 # Words whose presence marks a commit.
@@ -144,11 +147,53 @@ def hotspots(churn: DataFrame, least: int = 5, most: int | None = None) -> DataF
     return running(rows, ["repo"], order, place=F.lit(1)).withColumn("place", F.col("place").cast("int")).drop("place_whole")
 
 
+#: Lines, and then nodes of lines, that a node of the next level of a file's tree has; levels for 2**32 lines.
+FANOUT, LEVELS = 16, 8
+
+
+def blame_tree(blame: DataFrame) -> DataFrame:
+    """repo, path, level, node, author, lines, latest: lines counted per author for every run of FANOUT**level lines that begins at a multiple of it.
+
+    Each level adds up the one below, so that all of them together have little more rows than the lowest.
+    """
+    level = blame.select("repo", "path", F.col("line").cast("long").alias("node"), "author", "author_time").groupBy("repo", "path", "node", "author")
+    level = cut(level.agg(F.count(F.lit(1)).alias("lines"), F.max("author_time").alias("latest")))
+    levels = [level.withColumn("level", F.lit(0))]
+    while len(levels) < LEVELS and not level.filter(F.col("node") >= FANOUT).isEmpty():
+        up = level.groupBy("repo", "path", F.floor(F.col("node") / FANOUT).alias("node"), "author").agg(F.sum("lines").alias("lines"), F.max("latest").alias("latest"))
+        level = cut(up)
+        levels.append(level.withColumn("level", F.lit(len(levels))))
+    return reduce(DataFrame.unionByName, levels).select("repo", "path", "level", "node", "author", "lines", "latest")
+
+
+def range_nodes(ranges: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """ranges with level, node: the fewest nodes of :func:`blame_tree` that make up line_start to line_end, under 2 * FANOUT a level but the last."""
+    first, end = F.greatest(F.col("line_start").cast("long"), F.lit(0).cast("long")), F.col("line_end").cast("long") + 1
+    # whole nodes of level n within the range begin at from_(n) and stop before to(n)
+    from_, to = (lambda n: F.ceil(first / F.lit(FANOUT**n))), (lambda n: F.floor(end / F.lit(FANOUT**n)))
+    span = lambda a, b, n: F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda x: F.struct(F.lit(n).alias("level"), x.alias("node"))))
+    parts = []
+    for n in range(levels):
+        a, b, up, down = from_(n), to(n), from_(n + 1), to(n + 1)
+        apart = (up < down) if n < levels - 1 else F.lit(False)  # whole parents lie between: only what is on either side of them
+        parts += [F.when(apart, span(a, up * FANOUT, n)).otherwise(span(a, b, n)), F.when(apart, span(down * FANOUT, b, n))]
+    none = F.array().cast("array<struct<level: int, node: bigint>>")
+    rows = ranges.select(*ranges.columns, F.explode(F.concat(*(F.coalesce(x, none) for x in parts))).alias("_x"))
+    return rows.select(*ranges.columns, F.col("_x.level").alias("level"), F.col("_x.node").alias("node"))
+
+
 def blame_share(blame: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Per range (repo, path, line_start, line_end) and author: lines, percent of the range, newest time of the range."""
-    rows = blame.join(ranges, ["repo", "path"]).filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    """Per range (repo, path, line_start, line_end) and author: lines, percent of the range, newest time of the range.
+
+    A range meets a file by the nodes of a tree over its lines, some tens for a range of any length, never line by line; so long files
+    with many and overlapping ranges make no row a line and range. Repeated ranges are one; ranges with no line have no row.
+    """
     key = ["repo", "path", "line_start", "line_end"]
-    counted = rows.groupBy(*key, "author").agg(F.count(F.lit(1)).alias("lines"), F.max("author_time").alias("latest"))
+    tree = blame_tree(blame)
+    held = tree.agg(F.max("level"), F.max(F.when(F.col("level") == 0, F.col("node")))).first()
+    asked = ranges.select(*key).distinct().withColumn("_end", F.col("line_end")).withColumn("line_end", F.least("line_end", F.lit(held[1])))
+    met = range_nodes(asked, 1 + (held[0] or 0)).withColumn("line_end", F.col("_end")).join(tree, ["repo", "path", "level", "node"])
+    counted = met.groupBy(*key, "author").agg(F.sum("lines").alias("lines"), F.max("latest").alias("latest"))
     whole = Window.partitionBy(*key)
     return counted.select(*key, "author", "lines", (F.col("lines") * 100 / F.sum("lines").over(whole)).alias("percent"), F.max("latest").over(whole).alias("last_modified"))
 
