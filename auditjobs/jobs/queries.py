@@ -876,9 +876,15 @@ def wn_02(spark, d):
     return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions), 420)
 
 
+def _cut_index(spark, d):
+    """Contracts and functions, parsed once for all that reads them."""
+    contracts = cut(_contracts(spark, d))
+    return contracts, cut(E.extract_storage_access(E.extract_calls(E.extract_functions(contracts))))
+
+
 @whole("wn_02_pack_contracts")
 def wn_02_whole(spark, d):
-    contracts, functions = _indexed(spark, d)
+    contracts, functions = _cut_index(spark, d)
     return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions))
 
 
@@ -929,7 +935,9 @@ def jn_14(spark, d):
 
 @whole("jn_14_finding_call_context")
 def jn_14_whole(spark, d):
-    return X.finding_call_context(_findings(spark, d), _call_edges(spark, d), _indexed(spark, d)[1])
+    contracts, functions = _cut_index(spark, d)
+    calls = cut(C.call_edges(functions, E.extract_state_vars(contracts), contracts))
+    return X.finding_call_context(cut(_findings(spark, d)), calls, functions)
 
 
 @register(
@@ -996,7 +1004,7 @@ def jn_10_text(spark, d):
 def _all_elements(spark, d):
     """The elements of all eight kinds; what several kinds read is made once."""
     findings = cut(_findings(spark, d))
-    contracts, functions = (cut(x) for x in _indexed(spark, d))
+    contracts, functions = _cut_index(spark, d)
     edges, texts = cut(G.build_edges(contracts, functions)), cut(X.contract_text(contracts, functions))
     calls = cut(C.call_edges(functions, E.extract_state_vars(contracts), contracts))
     sources, (commits, numstat) = A.sources(spark, d), _history(spark, d)

@@ -55,18 +55,25 @@ def match_paths(findings: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def source_window(findings: DataFrame, sources: DataFrame, before: int = 20, after: int = 19, most: int = 50_000) -> DataFrame:
-    """id, content: the numbered lines around each finding, each marked, as a slice of the file's lines."""
-    where = match_paths(findings, sources).join(findings.select("id", "location"), "id")
-    rows = where.join(sources.select("repo", "path", F.split("content", "\n").alias("lines")), ["repo", "path"])
+    """id, content: the numbered lines around each finding, each marked.
+
+    A file with findings is read and split into lines once, whatever their number, and a line that lies in several windows is
+    numbered once; different windows are cut from these lines and then joined to their findings.
+    """
     start = F.coalesce("location.line_start", F.lit(1))
-    end = F.coalesce("location.line_end", start)
-    first, last = F.greatest(F.lit(1), start - before), F.least(F.size("lines"), end + after)
-    number = lambda i: (F.col("first") + i).cast("string")
+    first, last = F.greatest(F.lit(1), start - before), F.coalesce("location.line_end", start) + after
+    asked = match_paths(findings, sources).join(findings.select("id", "location"), "id").select("id", "repo", "path", "location.file", first.alias("first"), last.alias("last"))
+    # a window is a pair of line numbers of its file, so a file's list is bounded by its lines
+    per_file = asked.select("repo", "path", "first", "last").distinct().groupBy("repo", "path").agg(F.collect_list(F.struct("first", "last")).alias("windows"), F.min("first").alias("low"), F.max("last").alias("high"))
+    number = lambda i: (F.col("low") + i).cast("string")
     padded = lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, " ")).otherwise(n)
     line = lambda x, i: F.concat(F.lit(">>> "), padded(number(i)), F.lit(" | "), x)
-    rows = rows.select("id", "location", "lines", first.alias("first"), F.greatest(last - first + 1, F.lit(0)).alias("n"))
-    text = F.concat(F.lit("=== Source: "), F.col("location.file"), F.lit(" ===\n"), F.array_join(F.transform(F.slice("lines", F.col("first"), F.col("n")), line), "\n"))
-    return rows.select("id", cap_text(text, most).alias("content"))
+    between = lambda a, b: F.slice(a, b[0], F.greatest(b[1] - b[0] + 1, F.lit(0)))
+    files = sources.join(per_file, ["repo", "path"]).select("repo", "path", "windows", "low", F.transform(between(F.split("content", "\n"), (F.col("low"), F.col("high"))), line).alias("shown"))
+    cut_out = files.select("repo", "path", "low", "shown", F.inline("windows"))
+    texts = cut_out.select("repo", "path", "first", "last", F.array_join(between("shown", (F.col("first") - F.col("low") + 1, F.col("last") - F.col("low") + 1)), "\n").alias("text"))
+    content = F.concat(F.lit("=== Source: "), F.col("file"), F.lit(" ===\n"), F.col("text"))
+    return asked.join(texts, ["repo", "path", "first", "last"]).select("id", cap_text(content, most).alias("content"))
 
 
 def _line(label: str, items: Column) -> Column:

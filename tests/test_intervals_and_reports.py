@@ -93,3 +93,16 @@ def test_a_report_of_many_files(spark, tmp_path):
     places = [whole.index(f"## {n}. t{n}\n") for n in range(1, 26)]
     assert places == sorted(places) and whole.startswith("# Solidity Security Audit Report\n") and whole.count(S.REPORT_HEAD[0]) == 1
     assert read["s/2", "00000"].count("## 1. only") == 1
+
+
+def test_least_name_within(spark):
+    from auditjobs.functions.automaton import least_name_within
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    names = {(repo, word(rng.randrange(1, 5))) for repo in ("r", "s") for _ in range(40)} | {("only names", "a")}
+    texts = {(repo, word(rng.randrange(0, 12))) for repo in ("r", "s") for _ in range(200)} | {("only texts", "aaa"), ("r", "mapping(address => zz)")}
+    want = {(r, t, min(n for q, n in names if q == r and n in t)) for r, t in texts if any(q == r and n in t for q, n in names)}
+    frames = spark.createDataFrame(sorted(texts) * 2, "repo string, text string"), spark.createDataFrame(sorted(names), "repo string, name string")
+    for sizes in ({}, {"names_each": 3, "texts_each": 17}):
+        assert {tuple(r) for r in least_name_within(*frames, **sizes).collect()} == want
