@@ -685,7 +685,21 @@ def gr_05(spark, d):
     return G.call_chain(calls, _nodes(calls, "src"), max_depth=1).select("seed", "chain")
 
 
-@whole("gr_05_call_chain")
+def chain_sql(top: str, seeds: str, depth: int) -> str:
+    """Definitions top, n0, n1 ... and chain (seed, chain): breadth first, a node at its least turn of the first level that has it."""
+    parts = [f"top AS MATERIALIZED (SELECT * FROM ({top}) WHERE place <= 5)", f"n0 AS MATERIALIZED (SELECT DISTINCT seed, seed AS node, CAST([] AS INT[]) AS turn FROM ({seeds}))"]
+    for i in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, node FROM n{j}" for j in range(i))
+        parts.append(f"""n{i} AS MATERIALIZED (SELECT x.* FROM (SELECT n.seed, t.dst AS node, min(list_append(n.turn, CAST(t.place AS INT))) AS turn FROM n{i - 1} n JOIN top t ON t.src = n.node GROUP BY n.seed, t.dst) x
+        ANTI JOIN ({seen}) s ON s.seed = x.seed AND s.node = x.node)""")
+    nodes = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(depth + 1))
+    lines = f"""SELECT seed, len(turn) AS depth, turn, coalesce(place, 0) AS place,
+        repeat('  ', len(turn) + 1) || coalesce('-> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END, '(leaf)') AS line FROM ({nodes}) LEFT JOIN top ON src = node"""
+    parts.append(f"chain AS (SELECT seed, 'Call chain from ' || seed || ':' || chr(10) || string_agg(line, chr(10) ORDER BY depth, turn, place) AS chain FROM ({lines}) GROUP BY seed)")
+    return ", " + ",\n".join(parts) + "\n"
+
+
+@register("gr_05_call_chain", "calls", chain_sql(TOP, "SELECT src AS seed FROM calls", 3) + "SELECT seed, chain FROM chain")
 def gr_05_whole(spark, d):
     calls = A.adapted(spark, d, "calls")
     return G.call_chain(calls, _nodes(calls, "src")).select("seed", "chain")
@@ -864,13 +878,15 @@ def jn_09(spark, d):
     return X.finding_dependencies(_findings(spark, d), G.build_edges(contracts, functions), X.contract_text(contracts, functions))
 
 
-@register(
-    "wn_02_pack_contracts_small", "findings sup vars functions contracts graph",
-    f"""WITH t AS MATERIALIZED ({PLAIN_TEXT}), parts AS (SELECT f.id, 0 AS place, {FOCUS_TEXT} AS content FROM findings f JOIN t ON t.name = f.contract
-             UNION ALL SELECT f.id, 1, t.text FROM findings f JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN t ON t.name = g.target),
-        run AS (SELECT *, sum(length(content) // 4) OVER (PARTITION BY id ORDER BY place ROWS UNBOUNDED PRECEDING) AS used FROM parts)
-        SELECT f.id, coalesce(p.context, 'No relevant context found.') AS context FROM findings f LEFT JOIN (SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY place) AS context FROM run WHERE used <= 420 GROUP BY id) p USING (id)""".replace("WITH t AS", ", t AS", 1),
-)
+def packed_sql(budget: int) -> str:
+    """Contract and direct dependencies by name up to the first that overflows; indexed dependencies have none of their own here, so two hops add nothing."""
+    return f"""WITH t AS MATERIALIZED ({PLAIN_TEXT}), parts AS (SELECT f.id, 0 AS place, '' AS name, {FOCUS_TEXT} AS content FROM findings f JOIN t ON t.name = f.contract
+             UNION ALL SELECT f.id, 1, t.name, t.text FROM findings f JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN t ON t.name = g.target),
+        run AS (SELECT *, sum(length(content) // 4) OVER (PARTITION BY id ORDER BY place, name ROWS UNBOUNDED PRECEDING) AS used FROM parts)
+        SELECT f.id, coalesce(p.context, 'No relevant context found.') AS context FROM findings f LEFT JOIN (SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY place, name) AS context FROM run WHERE used <= {budget} GROUP BY id) p USING (id)""".replace("WITH t AS", ", t AS", 1)
+
+
+@register("wn_02_pack_contracts_small", "findings sup vars functions contracts graph", packed_sql(420))
 def wn_02(spark, d):
     contracts, functions = _indexed(spark, d)
     return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions), 420)
@@ -882,7 +898,7 @@ def _cut_index(spark, d):
     return contracts, cut(E.extract_storage_access(E.extract_calls(E.extract_functions(contracts))))
 
 
-@whole("wn_02_pack_contracts")
+@register("wn_02_pack_contracts", "findings sup vars functions contracts graph", packed_sql(15_000))
 def wn_02_whole(spark, d):
     contracts, functions = _cut_index(spark, d)
     return X.pack_contracts(_findings(spark, d), X.contract_text(contracts, functions), G.build_edges(contracts, functions))
@@ -895,20 +911,21 @@ def _lookups(spark, d, *most_chars):
     return G.contract_lookup(texts, G.build_terms(contracts, functions), names.select(F.lit("main").alias("repo"), "name"), *most_chars).select("name", "answer")
 
 
-@register(
-    "st_02_contract_lookup_small", "sup vars functions contracts",
-    f"""WITH asked AS (SELECT DISTINCT 'S' || user_id AS name FROM events UNION SELECT 'G1'), hit AS (SELECT a.name, t.text FROM asked a LEFT JOIN ({PLAIN_TEXT}) t USING (name)),
+def lookup_sql(most: int) -> str:
+    return f"""WITH asked AS (SELECT DISTINCT 'S' || user_id AS name FROM events UNION SELECT 'G1'), hit AS (SELECT a.name, t.text FROM asked a LEFT JOIN ({PLAIN_TEXT}) t USING (name)),
         near AS (SELECT query, string_agg(contract, ', ' ORDER BY place) AS xs FROM (SELECT query, contract, row_number() OVER (PARTITION BY query ORDER BY max(CASE WHEN term = lower(query) THEN 1 ELSE 0 END) DESC, contract) AS place
                  FROM (SELECT name AS query FROM hit WHERE text IS NULL) q JOIN ({TERMS}) t ON contains(term, lower(query)) OR contains(lower(query), term) GROUP BY query, contract) WHERE place <= 5 GROUP BY query)
-        SELECT name, CASE WHEN text IS NOT NULL THEN CASE WHEN length(text) <= 600 THEN text ELSE substring(text, 1, 600 - 23) || chr(10) || '... (output truncated)' END
+        SELECT name, CASE WHEN text IS NOT NULL THEN CASE WHEN length(text) <= {most} THEN text ELSE substring(text, 1, {most} - 23) || chr(10) || '... (output truncated)' END
                WHEN xs IS NULL THEN 'Contract ''' || name || ''' not found in the codebase.' ELSE 'Contract ''' || name || ''' not found. Did you mean: ' || xs || '?' END AS answer
-        FROM hit LEFT JOIN near ON near.query = hit.name""".replace("WITH asked AS", ", asked AS", 1),
-)
+        FROM hit LEFT JOIN near ON near.query = hit.name""".replace("WITH asked AS", ", asked AS", 1)
+
+
+@register("st_02_contract_lookup_small", "sup vars functions contracts", lookup_sql(600))
 def st_02(spark, d):
     return _lookups(spark, d, 600)
 
 
-@whole("st_02_contract_lookup")
+@register("st_02_contract_lookup", "sup vars functions contracts", lookup_sql(4000))
 def st_02_whole(spark, d):
     return _lookups(spark, d)
 
@@ -916,24 +933,21 @@ def st_02_whole(spark, d):
 CHAIN_TOP = "SELECT src_contract || '.' || src_function AS src, dst_contract || '.' || dst_function AS dst, is_external, row_number() OVER (PARTITION BY src_contract, src_function ORDER BY dst_contract || '.' || dst_function, is_external) AS place FROM cedges"
 
 
-@register(
-    "jn_14_finding_call_context_small", "findings cedges functions",
-    f"""WITH top AS MATERIALIZED (SELECT * FROM ({CHAIN_TOP}) WHERE place <= 5), seeds AS (SELECT DISTINCT contract || '.' || function AS seed FROM findings),
-        chain AS (SELECT seed, 'Call chain from ' || seed || ':' || chr(10) || string_agg(line, chr(10) ORDER BY depth, turn, place) AS chain FROM (
-            SELECT seed, 0 AS depth, 0 AS turn, coalesce(place, 0) AS place, coalesce('  -> ' || dst || CASE WHEN is_external THEN ' [external]' ELSE '' END, '  (leaf)') AS line FROM seeds LEFT JOIN top ON src = seed
-            UNION ALL SELECT seed, 1, a.place, coalesce(b.place, 0), '    ' || coalesce('-> ' || b.dst || CASE WHEN b.is_external THEN ' [external]' ELSE '' END, '(leaf)')
-            FROM seeds JOIN (SELECT src, dst, min(place) AS place FROM top GROUP BY src, dst) a ON a.src = seed AND a.dst <> seed LEFT JOIN top b ON a.dst = b.src) GROUP BY seed),
+def call_context_sql(depth: int) -> str:
+    return chain_sql(CHAIN_TOP, "SELECT contract || '.' || function AS seed FROM findings", depth) + f""",
         paths AS (SELECT contract, string_agg('  ' || path, chr(10) ORDER BY function) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY function) AS p FROM ({REENTRANT})) WHERE p <= 3 GROUP BY contract),
         callers AS (SELECT c, f, string_agg(line, chr(10) ORDER BY p) AS callers FROM (SELECT dst_contract AS c, dst_function AS f, '  ' || src_contract || '.' || src_function || CASE WHEN is_external THEN ' (external)' ELSE ' (internal)' END AS line,
             row_number() OVER (PARTITION BY dst_contract, dst_function ORDER BY src_contract, src_function, is_external) AS p FROM cedges) WHERE p <= 5 GROUP BY c, f)
         SELECT id, '=== Call Graph Context ===' || chr(10) || chain || coalesce(chr(10) || chr(10) || 'Potential reentrancy paths:' || chr(10) || paths, '') || coalesce(chr(10) || chr(10) || 'Breaking change impact:' || chr(10) || callers, '') AS content
-        FROM findings f JOIN chain ON seed = f.contract || '.' || f.function LEFT JOIN paths ON paths.contract = f.contract LEFT JOIN callers ON callers.c = f.contract AND callers.f = f.function""".replace("WITH top AS", ", top AS", 1),
-)
+        FROM findings f JOIN chain ON seed = f.contract || '.' || f.function LEFT JOIN paths ON paths.contract = f.contract LEFT JOIN callers ON callers.c = f.contract AND callers.f = f.function"""
+
+
+@register("jn_14_finding_call_context_small", "findings cedges functions", call_context_sql(1))
 def jn_14(spark, d):
     return X.finding_call_context(_findings(spark, d), _call_edges(spark, d), _indexed(spark, d)[1], 1)
 
 
-@whole("jn_14_finding_call_context")
+@register("jn_14_finding_call_context", "findings cedges functions", call_context_sql(5))
 def jn_14_whole(spark, d):
     contracts, functions = _cut_index(spark, d)
     calls = cut(C.call_edges(functions, E.extract_state_vars(contracts), contracts))
