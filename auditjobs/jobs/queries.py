@@ -19,8 +19,6 @@ from ..sources.scratch import cut, shared_folder
 from . import adapters as A
 
 QUERIES, ORACLE_SQL = {}, {}
-#: Queries with the operators' own depths, sections and budgets, which no SQL follows; QUERIES has their small forms.
-WHOLE = {}
 #: The moment that ages count from.
 AS_OF_SQL = f"TIMESTAMP '{A.AS_OF}'"
 
@@ -118,14 +116,6 @@ def register(name: str, shared: str = "", sql: str | None = None):
     return add
 
 
-def whole(name: str):
-    def add(query):
-        WHOLE[name] = query
-        return query
-
-    return add
-
-
 def _as_of():
     return F.lit(A.AS_OF).cast("timestamp_ntz")
 
@@ -501,7 +491,25 @@ def jn_10(spark, d):
     return rows.filter("section < 4")  # hotspot lines hold rounded numbers: ag_07 checks them
 
 
-@whole("jn_10_finding_history")
+def history_lines_sql(commits: str, numstat: str, sizes: bool) -> str:
+    """repo, path (null: the whole repository's), section, place, line of the four lists of a history."""
+    touched = f"SELECT *, {NEWEST.format('repo, path')} AS place FROM (SELECT DISTINCT repo, hash, path FROM {numstat}) JOIN {commits} USING (repo, hash)"
+    changed = f"(SELECT repo, path, hash, sum(insertions) AS i, sum(deletions) AS x FROM {numstat} GROUP BY repo, path, hash HAVING sum(insertions) + sum(deletions) > 0)"
+    size = f"coalesce(chr(10) || '    +' || CAST(i AS BIGINT) || '/-' || CAST(x AS BIGINT) || ' lines', '')" if sizes else "''"
+    recent = f"SELECT * EXCLUDE p FROM (SELECT *, {NEWEST.format('repo')} AS p FROM {commits} WHERE date >= {DAY.format(30)}) WHERE p <= 100"
+    listed = lambda n, words: f"SELECT repo, NULL, {n}, place, {COMMIT_LINE} FROM (SELECT *, {NEWEST.format('repo')} AS place FROM ({recent}) WHERE {words}) WHERE place <= 5"
+    volatile = VOLATILE.replace("FROM numstat JOIN commits USING", f"FROM {numstat} JOIN {commits} USING")
+    return f"""SELECT repo, path, 1 AS section, place, {COMMIT_LINE} || {size} AS line FROM (SELECT * FROM ({touched}) WHERE place <= 5) LEFT JOIN {changed} USING (repo, path, hash)
+              UNION ALL {listed(2, SECURITY)} UNION ALL {listed(3, RISKY)}
+              UNION ALL SELECT repo, NULL, 4, place, '  ' || path || ': ' || commits || ' changes, volatility=' || printf('%.2f', v)
+              FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY v DESC, path) AS place FROM ({volatile}) WHERE commits >= 3) WHERE place <= 5"""
+
+
+@register(
+    "jn_10_finding_history", "commits numstat",
+    f"""SELECT e.id, s.section, CAST(s.place AS INT) AS place, s.line FROM (SELECT 'R' || (event_id % 4) AS repo, event_id AS id, 'src/P' || user_id || '.sol' AS path FROM events) e
+        JOIN ({history_lines_sql('commits', 'numstat', False)}) s ON s.repo = e.repo AND (s.path IS NULL OR s.path = e.path)""",
+)
 def jn_10_whole(spark, d):
     return H.finding_history(_file_findings(spark, d), A.commits(spark, d), A.adapted(spark, d, "numstat"), _as_of())
 
@@ -868,11 +876,11 @@ def jn_08(spark, d):
     return X.finding_contracts(_findings(spark, d), _texts(spark, d))
 
 
-@register(
-    "jn_09_finding_dependencies", "findings sup vars functions contracts graph",
-    f"""SELECT f.id, CAST(row_number() OVER (PARTITION BY f.id ORDER BY t.name) AS INT) AS place, t.text AS content FROM findings f
-        JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN ({PLAIN_TEXT}) t ON t.name = g.target""",
-)
+DEPENDENCY_TEXTS = f"""SELECT f.id, CAST(row_number() OVER (PARTITION BY f.id ORDER BY t.name) AS INT) AS place, t.text AS content FROM findings f
+        JOIN (SELECT DISTINCT source, target FROM graph) g ON g.source = f.contract JOIN ({PLAIN_TEXT}) t ON t.name = g.target"""
+
+
+@register("jn_09_finding_dependencies", "findings sup vars functions contracts graph", DEPENDENCY_TEXTS)
 def jn_09(spark, d):
     contracts, functions = _indexed(spark, d)
     return X.finding_dependencies(_findings(spark, d), G.build_edges(contracts, functions), X.contract_text(contracts, functions))
@@ -954,14 +962,14 @@ def jn_14_whole(spark, d):
     return X.finding_call_context(cut(_findings(spark, d)), calls, functions)
 
 
-@register(
-    "jn_15_finding_flow_context", "findings functions flows",
-    f"""SELECT f.id, '=== Data Flow Context ===' || chr(10) || 'Reads: ' || array_to_string(storage_reads[1:10], ', ') || chr(10) || 'Writes: ' || array_to_string(storage_writes[1:10], ', ')
+FLOW_TEXTS = f"""SELECT f.id, '=== Data Flow Context ===' || chr(10) || 'Reads: ' || array_to_string(storage_reads[1:10], ', ') || chr(10) || 'Writes: ' || array_to_string(storage_writes[1:10], ', ')
         || coalesce(chr(10) || chr(10) || 'Data flow for ' || storage_writes[1] || ':' || chr(10) || x.t, '') AS content
         FROM findings f JOIN functions g ON g.contract = f.contract AND g.name = f.function
         LEFT JOIN (SELECT c1, var, string_agg(line, chr(10) ORDER BY line) AS t FROM (SELECT c1, var, '  ' || {FLOW_PATH} || ' (storage)' AS line, row_number() OVER (PARTITION BY c1, var ORDER BY '  ' || {FLOW_PATH} || ' (storage)') AS p FROM flows) WHERE p <= 3 GROUP BY c1, var) x
-        ON x.c1 = f.contract AND x.var = storage_writes[1]""",
-)
+        ON x.c1 = f.contract AND x.var = storage_writes[1]"""
+
+
+@register("jn_15_finding_flow_context", "findings functions flows", FLOW_TEXTS)
 def jn_15(spark, d):
     return X.finding_flow_context(_findings(spark, d), _indexed(spark, d)[1], _flows(spark, d))
 
@@ -1010,7 +1018,17 @@ def _history(spark, d):
     return commits, A.adapted(spark, d, "numstat").withColumn("repo", F.lit("main")).withColumn("path", F.regexp_replace("path", "^src/P", "src/S"))
 
 
-@whole("jn_10_history_text")
+#: The history of the one repository with sources, as :func:`_history` makes it.
+MAIN_HISTORY = """, hc AS MATERIALIZED (SELECT * REPLACE ('main' AS repo) FROM commits), hn AS MATERIALIZED (SELECT * REPLACE ('main' AS repo, regexp_replace(path, '^src/P', 'src/S') AS path) FROM numstat),
+       """
+_HEADS = " ".join(f"WHEN {n} THEN '{text}'" for n, text in enumerate(H.HEADINGS, 1) if text)
+HISTORY_TEXTS = f"""SELECT f.id, coalesce(h.content, '{H.NO_HISTORY}') AS content FROM findings f LEFT JOIN (
+           SELECT f.id, string_agg(CASE WHEN s.place > 1 THEN '' WHEN s.section = 1 THEN '=== Recent changes to ' || f.file || ' ===' || chr(10) ELSE CASE s.section {_HEADS} END END || s.line, chr(10) ORDER BY s.section, s.place) AS content
+           FROM findings f JOIN hl s ON s.path IS NULL OR s.path = f.file GROUP BY f.id) h USING (id)"""
+HISTORY_LISTS = f"hl AS MATERIALIZED ({history_lines_sql('hc', 'hn', True)})"
+
+
+@register("jn_10_history_text", "findings commits numstat", f"{MAIN_HISTORY}{HISTORY_LISTS} {HISTORY_TEXTS}")
 def jn_10_text(spark, d):
     return H.history_text(_findings(spark, d), *_history(spark, d), _as_of())
 
@@ -1035,12 +1053,36 @@ def _all_elements(spark, d):
     return X.context_elements(parts)
 
 
-@whole("set_01_context_elements")
+_CALL_DEFINITIONS, _, CALL_TEXTS = call_context_sql(5).rpartition("        SELECT id, '=== Call Graph Context")
+CALL_TEXTS = "SELECT id, '=== Call Graph Context" + CALL_TEXTS
+STRUCTURE_TEXT = """'=== Project Structure ===' || chr(10) || 'Contracts: ' || (SELECT count(*) FROM contracts) || chr(10) || 'Functions: ' || (SELECT count(*) FROM functions) || chr(10) || 'Dependencies: '
+       || (SELECT count(*) FROM graph) || chr(10) || 'Commits: ' || (SELECT count(*) FROM hc) || chr(10) || 'Contributors: ' || (SELECT count(DISTINCT author) FROM hc)"""
+#: All eight kinds of elements, from the SQL of each.
+ALL_ELEMENTS = f"""{_CALL_DEFINITIONS.rstrip()}{MAIN_HISTORY}{HISTORY_LISTS},
+       el AS MATERIALIZED (SELECT *, 1 AS priority FROM ({ELEMENTS})
+       UNION ALL SELECT id, 300000 + place, content, 0.7, 'dependency', 2 FROM ({DEPENDENCY_TEXTS}) UNION ALL SELECT id, 400000, content, 0.8, 'call_graph', 2 FROM ({CALL_TEXTS})
+       UNION ALL SELECT id, 500000, content, 0.6, 'data_flow', 3 FROM ({FLOW_TEXTS}) UNION ALL SELECT id, 600000, content, 0.4, 'git', 4 FROM ({HISTORY_TEXTS})
+       UNION ALL SELECT id, 700000, {STRUCTURE_TEXT}, 0.2, 'structure', 4 FROM findings)"""
+ELEMENT_TABLES = "findings sup lines vars functions contracts graph cedges flows commits numstat"
+
+
+@register(
+    "set_01_context_elements", ELEMENT_TABLES,
+    f"{ALL_ELEMENTS} SELECT id, CAST(seq AS INT) AS seq, length(content) AS chars, priority, source, CAST(floor(length(content) * 0.25) AS INT) AS tokens, relevance, sha256(content) AS content_sha256 FROM el",
+)
 def set_01_whole(spark, d):
-    return _all_elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance")
+    return _all_elements(spark, d).select("id", "seq", F.length("content").cast("long").alias("chars"), "priority", "source", "tokens", "relevance", F.sha2("content", 256).alias("content_sha256"))
 
 
-@whole("wn_01_pack_context")
+@register(
+    "wn_01_pack_context", ELEMENT_TABLES,
+    f"""{ALL_ELEMENTS}, et AS (SELECT *, CAST(floor(length(content) * 0.25) AS INT) AS tokens FROM el),
+        r AS (SELECT *, sum(tokens) OVER w AS run, row_number() OVER w AS place FROM et WINDOW w AS (PARTITION BY id ORDER BY priority, relevance DESC, seq ROWS UNBOUNDED PRECEDING)),
+        o AS (SELECT *, min(CASE WHEN run > 30000 THEN place END) OVER (PARTITION BY id) AS over FROM r),
+        c AS (SELECT id, place, CASE WHEN run <= 30000 THEN content ELSE substring(content, 1, CAST(4 * (30000 - run + tokens) AS INT)) || chr(10) || '... (context truncated)' END AS content, CASE WHEN run <= 30000 THEN tokens ELSE 0 END AS tokens
+              FROM o WHERE run <= 30000 OR (place = over AND 30000 - run + tokens > 200))
+        SELECT id, string_agg(content, chr(10) || chr(10) ORDER BY place) AS context, CAST(sum(tokens) AS BIGINT) AS used FROM c GROUP BY id""",
+)
 def wn_01_whole(spark, d):
     return X.pack_context(_all_elements(spark, d))
 
