@@ -1034,23 +1034,8 @@ def jn_10_text(spark, d):
 
 
 def _all_elements(spark, d):
-    """The elements of all eight kinds; what several kinds read is made once."""
-    findings = cut(_findings(spark, d))
-    contracts, functions = _cut_index(spark, d)
-    edges, texts = cut(G.build_edges(contracts, functions)), cut(X.contract_text(contracts, functions))
-    calls = cut(C.call_edges(functions, E.extract_state_vars(contracts), contracts))
-    sources, (commits, numstat) = A.sources(spark, d), _history(spark, d)
-    parts = {
-        "finding": findings.select("id", X.finding_text().alias("content")),
-        "source": X.source_window(findings, sources),
-        "semantic_graph": X.finding_contracts(findings, texts),
-        "dependency": X.finding_dependencies(findings, edges, texts),
-        "call_graph": X.finding_call_context(findings, calls, functions),
-        "data_flow": X.finding_flow_context(findings, functions, C.storage_flows(functions, edges)),
-        "git": H.history_text(findings, commits, numstat, _as_of()),
-        "structure": X.structure_text(findings, G.graph_stats(contracts, functions, edges, sources), H.repo_stats(commits, _as_of())),
-    }
-    return X.context_elements(parts)
+    """The elements of all eight kinds."""
+    return X.all_elements(cut(_findings(spark, d)), A.sources(spark, d), *_cut_index(spark, d), *_history(spark, d), _as_of())
 
 
 _CALL_DEFINITIONS, _, CALL_TEXTS = call_context_sql(5).rpartition("        SELECT id, '=== Call Graph Context")

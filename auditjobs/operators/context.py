@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cap_text, flow_text, list_to_text, truncate_text
 from ..sources.scratch import cut
-from .calls import breaking_changes, reentrancy_paths, trace_data_flow
+from .calls import breaking_changes, call_edges, reentrancy_paths, storage_flows, trace_data_flow
 from .extract import extract_decls, extract_state_vars
-from .graph import call_chain, dependencies, first_n_per_key
+from .graph import build_edges, call_chain, dependencies, first_n_per_key, graph_stats
+from .history import history_text, repo_stats
 from .ranked import running
 
 # Priority and relevance of each kind of element, in the order in which they are built.
@@ -184,6 +185,26 @@ def context_elements(parts: dict[str, DataFrame], switched_off: tuple[str, ...]
     return reduce(DataFrame.unionByName, found)
 
 
+def all_elements(findings: DataFrame, sources: DataFrame, contracts: DataFrame, functions: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, switched_off: tuple[str, ...] = ()) -> DataFrame:
+    """The elements of all eight kinds from findings, an index (contracts, functions) and a history, less those switched off.
+
+    What several kinds read (edges, texts, call edges) is made once and written; pass an index that is written too.
+    """
+    edges, texts = cut(build_edges(contracts, functions)), cut(contract_text(contracts, functions))
+    calls = cut(call_edges(functions, extract_state_vars(contracts), contracts))
+    parts = {
+        "finding": lambda: findings.select("id", finding_text().alias("content")),
+        "source": lambda: source_window(findings, sources),
+        "semantic_graph": lambda: finding_contracts(findings, texts),
+        "dependency": lambda: finding_dependencies(findings, edges, texts),
+        "call_graph": lambda: finding_call_context(findings, calls, functions),
+        "data_flow": lambda: finding_flow_context(findings, functions, storage_flows(functions, edges)),
+        "git": lambda: history_text(findings, commits, numstat, as_of),
+        "structure": lambda: structure_text(findings, graph_stats(contracts, functions, edges, sources), repo_stats(commits, as_of)),
+    }
+    return context_elements({kind: make() for kind, make in parts.items() if kind not in switched_off})
+
+
 def pack_context(elements: DataFrame, max_tokens: int = 30_000, buffer: int = 0, suffix: str = "\n... (context truncated)") -> DataFrame:
     """id, context, used: elements by priority, relevance and seq up to the first that overflows; that one is cut if over 200
     tokens remain. 0 tokens: all. The window runs over sizes only; texts join afterwards."""
