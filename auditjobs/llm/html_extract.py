@@ -19,7 +19,10 @@ MIN_PAGES, MIN_SHARE = 5, 0.3
 #: On hosts of very many pages, this many different pages are enough without the share.
 MANY_PAGES = 1000
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A comment, or a tag of usual form: no quote in its name, and no angle bracket in its values. What else begins with a bracket takes the scanner.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>"']*)(?=[\s/>])((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*)>|<""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,47 +66,113 @@ class Node:
         self.tag, self.attrs, self.parts, self.print, self.places = tag, attrs, [], 0, ()
 
 
+class Scanner:
+    """Tags of any form in one pass: what was searched for without success is not searched for again from further on."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.last_section = source, source.rfind(">"), source.rfind("]]>")
+        self.ends: dict[int, int] = {}  # place of a bracket or quote outside quotes -> where the tag ends that has it, or -1
+
+    def end(self, at: int) -> int:
+        """The first > from a place outside quotes on that is outside quotes; -1 if there is none."""
+        m, passed, found = _SPECIAL.search(self.source, at), [], -1
+        while m:
+            place = m.start()
+            if place in self.ends:
+                found = self.ends[place]
+                break
+            passed.append(place)
+            if m[0] == ">":
+                found = place
+                break
+            close = self.source.find(m[0], place + 1)
+            m = _SPECIAL.search(self.source, close + 1) if close >= 0 else None
+        for place in passed:
+            self.ends[place] = found
+        return found
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        """(where it ends, "/" of an end tag, name, attributes) of what begins at this bracket; no name if it is no tag, None if it is text."""
+        source = self.source
+        if source.startswith("<![CDATA[", at) and self.last_section >= at + 9:
+            return source.index("]]>", at + 9) + 3, "", "", ""
+        if self.last <= at:
+            return None
+        if source[at + 1 : at + 2] in ("!", "?"):
+            close = source.find(">", at + 2)
+            return (close + 1, "", "", "") if close >= 0 else None
+        m = _NAME.match(source, at + 1)
+        if m is None:
+            return None
+        starts = [m.end()] + [i for i in range(m.end() - 1, m.start(2), -1) if source[i] in "\"'"]  # a name may end before a quote
+        for start in starts:
+            end = self.end(start)
+            if end >= 0:
+                return end + 1, m[1], source[m.start(2) : start], source[start:end]
+        end = source.find(">", m.end())
+        return (end + 1, m[1], m[2], source[m.end() : end]) if end >= 0 else None
+
+
+class Open:
+    """Open elements, and for each name where they are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        for node in self.nodes[place:]:
+            self.places[node.tag].pop()
+        del self.nodes[place:]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(source: str) -> Node:
-    """The element tree. Unclosed and misnested tags are repaired as browsers mostly do."""
+    """The element tree, in time linear in the source. Unclosed and misnested tags are repaired as browsers mostly do."""
     root = Node("#page")
-    stack, at = [root], 0
+    open_, scanner, at, look = Open(root), None, 0, 0
     while True:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, look)
         if m is None:
             break
+        end, name, slash, attrs = m.end(), m[2], m[1], m[3]
+        if name is None and end == m.start() + 1:  # a bracket alone
+            scanner = scanner or Scanner(source)
+            found = scanner.tag(m.start())
+            if found is None:
+                look = m.start() + 1
+                continue
+            end, slash, name, attrs = found
         if m.start() > at:
-            stack[-1].parts.append(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+            open_.nodes[-1].parts.append(source[at : m.start()])
+        at = look = end
+        if not name:
             continue
         tag = name.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if slash:
+            if place := open_.nearest((tag,)):
+                open_.close(place)
             continue
-        attrs = m[3] if m[2] else m[6]
         ends, within = ({"p"}, {"td", "th", "button", "li", "div", "article", "section"}) if tag in _BLOCK else (None, None)
         for ends, within in ((ends, within), _ENDS.get(tag, (None, None))):
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in within:
-                        break
+            if ends and (place := open_.nearest(ends)) > open_.nearest(within):
+                open_.close(place)
         node = Node(tag, attrs)
-        stack[-1].parts.append(node)
+        open_.nodes[-1].parts.append(node)
         if tag in _RAW:
-            end = _RAW[tag].search(source, at)
-            node.parts.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
+            close = _RAW[tag].search(source, at)
+            node.parts.append(source[at : close.start() if close else len(source)])
+            at = look = close.end() if close else len(source)
         elif tag not in _VOID and not attrs.endswith("/"):
-            stack.append(node)
+            open_.push(node)
     if at < len(source):
-        stack[-1].parts.append(source[at:])
+        open_.nodes[-1].parts.append(source[at:])
     return root
 
 
@@ -156,15 +225,18 @@ def marked(node: Node) -> bool:
     return False
 
 
-def _text_size(node: Node, templates: frozenset) -> int:
-    size, todo = 0, [node]
+def _text_sizes(root: Node, templates: frozenset) -> dict[int, int]:
+    """The text below each element, by the element's identity, less marked and template subtrees; each element once, from below."""
+    sizes: dict[int, int] = {}
+    todo = [(root, False)]
     while todo:
-        for x in todo.pop().parts:
-            if isinstance(x, str):
-                size += len(x)
-            elif not marked(x) and templates.isdisjoint(x.places):
-                todo.append(x)
-    return size
+        node, below = todo.pop()
+        if not below:
+            todo.append((node, True))
+            todo.extend((x, False) for x in node.parts if isinstance(x, Node))
+            continue
+        sizes[id(node)] = sum(len(x) if isinstance(x, str) else 0 if marked(x) or not templates.isdisjoint(x.places) else sizes[id(x)] for x in node.parts)
+    return sizes
 
 
 def main_element(root: Node, templates: frozenset) -> Node:
@@ -180,7 +252,10 @@ def main_element(root: Node, templates: frozenset) -> Node:
                 todo.append(x)
     for tag in ("article", "main", "body"):
         if found[tag]:
-            return max(found[tag], key=lambda x: _text_size(x, templates)) if len(found[tag]) > 1 else found[tag][0]
+            if len(found[tag]) == 1:
+                return found[tag][0]
+            sizes = _text_sizes(root, templates)
+            return max(found[tag], key=lambda x: sizes[id(x)])
     return root
 
 
