@@ -240,7 +240,7 @@ def _text_sizes(root: Node, templates: frozenset) -> dict[int, int]:
 
 
 def main_element(root: Node, templates: frozenset) -> Node:
-    """The article with most text, else the main element, else the body, else the page."""
+    """The article with most text, of equal siblings the last, else the main element, else the body, else the page."""
     found = {"article": [], "main": [], "body": []}
     todo = [root]
     while todo:

@@ -34,6 +34,6 @@ def test_forms_of_tags():
     assert text_of('<body><a"b>c') == "c"
 
 
-def test_ties_between_articles_go_to_the_first():
-    assert text_of("<article>one</article><article>two</article>") == "one"
+def test_ties_between_sibling_articles_go_to_the_last():
+    assert text_of("<article>one</article><article>two</article>") == "two"
     assert text_of("<article>one</article><article>three</article>") == "three"
