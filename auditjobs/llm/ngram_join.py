@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, joined
 from ._io import Scratch, broadcast_if_small, numbered, pick, shuffle_parts
 from ._memory import lean
 from ._text import SEPARATORS, mix, runs, shingles, spans, word_hashes
@@ -201,21 +201,6 @@ def _combine(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[new], sid[new], edges[:, 0], edges[:, 1]
 
 
-def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of one star for each set of nodes that the given edges connect: (node, the least node of the set)."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while (label[x] != label[y]).any():
-        least = np.minimum(label[x], label[y])
-        for end in (x, y):
-            np.minimum.at(label, label[end].copy(), least)
-        while (label[label] != label).any():
-            label = label[label]
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def _leads(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sets that stand for these in the stars (a, b), whose a ascend."""
     if not len(a):

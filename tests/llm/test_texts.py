@@ -176,7 +176,10 @@ def test_joined_edges():
         assert dict(zip(x.tolist(), y.tolist())) == {v: r for v, r in up.items() if v != r}
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("in_task", [2_000_000, 20, -1])
+def test_graph_components(spark, monkeypatch, in_task):
+    """In one task from the start, after rounds, and by rounds alone."""
+    monkeypatch.setattr(_graph, "TASK_EDGES", in_task)
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(9, 9)]
     up = {x: x for e in edges for x in e}
