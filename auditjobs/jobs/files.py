@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators import calls, context, extract, findings, graph, history, replies
+from ..operators import calls, context, extract, findings, graph, history, postings, replies
 from ..sources import files
 
 
@@ -34,13 +34,14 @@ class Store:
 
 
 def index_sources(spark: SparkSession, root: str, repo: str, store: Store) -> None:
-    """sources, contracts, functions, state_vars, edges, terms, call_edges and flows of a source tree."""
+    """sources, contracts, functions, state_vars, edges, terms, trigrams, call_edges and flows of a source tree."""
     sources = store.put("sources", files.read_sources(spark, root, repo), repo)
     contracts = store.put("contracts", extract.latest_contracts(extract.extract_contracts(sources)), repo)
     functions = store.put("functions", extract.extract_storage_access(extract.extract_calls(extract.extract_functions(contracts))), repo)
     variables = store.put("state_vars", extract.extract_state_vars(contracts), repo)
     edges = store.put("edges", graph.build_edges(contracts, functions), repo)
     store.put("terms", graph.build_terms(contracts, functions), repo)
+    store.put("trigrams", postings.trigram_postings(sources).repartitionByRange("trigram", "path").sortWithinPartitions("trigram"), repo)
     store.put("call_edges", calls.call_edges(functions, variables, contracts), repo)
     store.put("flows", calls.storage_flows(functions, edges), repo)
 
@@ -71,6 +72,11 @@ def assemble_contexts(store: Store, as_of: Column, max_tokens: int = 30_000, bat
     return store.put("contexts", batches.join(packed, "id"))
 
 
+def search_text(store: Store, pattern: str, glob: str | None = None) -> DataFrame:
+    """repo, result: lines of the stored sources that match, found through their trigrams."""
+    return context.grep(store.get("sources"), pattern, glob, postings=store.get("trigrams"))
+
+
 def read_verdicts(spark: SparkSession, submissions: str, store: Store) -> DataFrame:
     """verdicts: repo, finding_id, is_true_positive, reason, exploit_scenario, from submissions as files of one text each, named by batch number."""
     text = spark.read.text(submissions, wholetext=True)

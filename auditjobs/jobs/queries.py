@@ -13,6 +13,7 @@ from ..operators import extract as E
 from ..operators import findings as N
 from ..operators import graph as G
 from ..operators import history as H
+from ..operators import postings as P
 from ..operators import replies as R
 from ..sources import files as S
 from ..sources.scratch import cut, shared_folder
@@ -1085,17 +1086,35 @@ def ag_10(spark, d):
     return X.project_overview(*_indexed(spark, d)).drop("repo")
 
 
-@register(
-    "flt_11_grep", "docs",
-    """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM docs),
+_GREP_SQL = """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM docs),
        h AS (SELECT path, n, path || ':' || n || ':' || text AS line FROM l WHERE regexp_matches(text, 'licen[sc]e|License')),
        t AS (SELECT coalesce(string_agg(line, chr(10) ORDER BY path, n), '(no matches)') AS r FROM h)
-       SELECT 'main' AS repo, CASE WHEN length(r) <= 4000 THEN r ELSE substring(r, 1, 4000 - 23) || chr(10) || '... (output truncated)' END AS result FROM t""",
-)
+       SELECT 'main' AS repo, CASE WHEN length(r) <= 4000 THEN r ELSE substring(r, 1, 4000 - 23) || chr(10) || '... (output truncated)' END AS result FROM t"""
+
+
+@register("flt_11_grep", "docs", _GREP_SQL)
 def flt_11(spark, d):
     return X.grep(A.adapted(spark, d, "docs"), "licen[sc]e|License", "*.sol")
 
 
+@register("flt_11_grep_by_trigrams", "docs", _GREP_SQL)
+def flt_11_by_trigrams(spark, d):
+    """The same through an index of all documents."""
+    docs = A.adapted(spark, d, "docs")
+    return X.grep(docs, "licen[sc]e|License", "*.sol", postings=P.trigram_postings(docs))
+
+
+@register(
+    "flt_11_trigram_postings", "docs",
+    """, l AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS line FROM docs),
+       t AS (SELECT DISTINCT repo, path, substring(line, i::BIGINT, 3) AS trigram FROM (SELECT repo, path, line, unnest(range(1, length(line) - 1)) AS i FROM l))
+       SELECT trigram, CAST(count(*) AS BIGINT) AS files, min(path) AS first_path FROM t GROUP BY trigram""",
+)
+def flt_11_postings(spark, d):
+    """In how many documents each trigram stands, and the first of them."""
+    return P.trigram_postings(A.adapted(spark, d, "docs")).groupBy("trigram").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path"))
+
+
 @register("sc_01_truncate_text", "", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 500 - 23) || chr(10) || '... (output truncated)' END AS cut FROM documents")
 def sc_01(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.truncate_text(F.col("text"), 500).alias("cut"))

@@ -13,6 +13,7 @@ from .calls import breaking_changes, call_edges, reentrancy_paths, storage_flows
 from .extract import extract_decls, extract_state_vars
 from .graph import build_edges, call_chain, dependencies, first_n_per_key, graph_stats
 from .history import history_text, repo_stats
+from .postings import only_candidates
 from .ranked import running
 
 # Priority and relevance of each kind of element, in the order in which they are built.
@@ -249,12 +250,13 @@ def project_overview(contracts: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.join(totals, "repo")
 
 
-def grep(sources: DataFrame, pattern: str, glob: str | None = None, most_chars: int = 4000) -> DataFrame:
+def grep(sources: DataFrame, pattern: str, glob: str | None = None, most_chars: int = 4000, postings: DataFrame | None = None) -> DataFrame:
     """repo, result: matching lines as path:number:text by path and number, '(no matches)' where a repository has none, cut at ``most_chars``.
 
-    Whole files are tested before lines are made. glob: * and ? within a path's last part.
+    Whole files are tested before lines are made. glob: * and ? within a path's last part. With the trigram postings of the
+    sources only files that have the pattern's texts are read; the pattern itself decides, so results are the same.
     """
-    rows = sources
+    rows = sources if postings is None else only_candidates(sources, postings, pattern)
     if glob is not None:
         part = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\Q" + c + "\\E" for c in glob)
         rows = rows.filter(F.substring_index("path", "/", -1).rlike(f"^{part}$"))
