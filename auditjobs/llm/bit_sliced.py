@@ -118,7 +118,7 @@ def value_at(total: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 def _build(table: pa.Table) -> pa.Table:
     """The index of one block: rows by id, so that positions settle ties."""
     table = table.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
-    values = whole(table.column("q").to_pylist()).reshape(len(table), -1)
+    values = whole(table.column("q").to_pylist())
     low, slices = to_slices(values)
     as_bytes = lambda name: table.column(name).to_numpy().astype("<i8").tobytes()
     return pa.table(
@@ -139,7 +139,7 @@ def _search(k: int):
         found = {"query_rid": [], "query_id": [], "vec_id": [], "score": []}
         for row in index.to_pylist():
             ids, rids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rids"], "<i8")
-            slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["bits"], -1)
+            slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["bits"], -(-len(ids) // 64))
             everyone = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
             place = {r: i for i, r in enumerate(rids.tolist())}
             for rid, vec_id, q in zip(*(queries.column(c).to_pylist() for c in ("rid", "vec_id", "q"))):
@@ -178,7 +178,7 @@ def top_k(
     are merged by a ranking whose partial limit runs before the shuffle.
 
     ``is_query`` is a condition on the id column. Rows with a null id, and vectors
-    null, empty, or holding a null or non-finite (also after scaling) component take no part. Vectors with components of
+    null or holding a null or non-finite (also after scaling) component take no part; empty ones score 0 with each other. Vectors with components of
     over 31 bits have blocks of their own, with as many slices as they need; only a score of over 64
     bits among the results, which no long can hold, ends the job with an error. Vectors of different lengths are not compared.
     Of repeated ids each row counts; a row is never its own result. An empty table gives no rows; other columns are not read.
@@ -191,7 +191,7 @@ def top_k(
     rows = scratch.cut(
         vectors.select(vectors[f"`{id_col}`"].cast("long").alias("vec_id"), vectors[f"`{vector_col}`"].alias("v"), is_query.alias("asks"))
         .withColumn("rid", F.monotonically_increasing_id())
-        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fits)
+        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fits)
         .select("rid", "vec_id", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("v").alias("dims"), q.alias("q"), F.exists("v", lambda x: F.abs(scaled(x)) >= PLAIN).alias("wide")),
         "vectors",
     )

@@ -124,10 +124,10 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), rng.normal(size=8).astype(float).tolist()) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 340)]  # ties
-    rows += [(340, None), (341, [1.0, None] * 4), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (344, []), (345, [1.0, 2.0]), (20, [0.5] * 8), (None, [0.5] * 8), (360, [4e7] * 8), (361, [-4e7] * 8), (362, [1e5, 1.0] * 4)]
+    rows += [(340, None), (341, [1.0, None] * 4), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (344, []), (346, []), (340, []), (345, [1.0, 2.0]), (20, [0.5] * 8), (None, [0.5] * 8), (360, [4e7] * 8), (361, [-4e7] * 8), (362, [1e5, 1.0] * 4)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rid int, q string")
     got = bit_sliced.top_k(df, F.col("vec_id") % 20 == 0, k=7, block_rows=64, query_rows=8).collect()
-    kept = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for a, (i, x) in enumerate(kept):
         if i % 20 == 0:
