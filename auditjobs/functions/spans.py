@@ -1,9 +1,8 @@
-"""The three pandas helpers: brace-balanced spans, deep element walks, balanced JSON."""
+"""The pandas helpers: brace-balanced spans and balanced JSON."""
 
 from __future__ import annotations
 
 import bisect
-import json
 import re
 
 import pandas as pd
@@ -84,30 +83,6 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-def walk_elements(text: str | None) -> tuple:
-    """(contract, function, file, line_start, line_end) from a pre-order walk of elements as JSON, of any depth."""
-    try:
-        todo = [json.loads(text or "[]")]
-    except ValueError:
-        todo = []
-    contract = function = ""
-    place = None
-    while todo:
-        value = todo.pop()
-        if isinstance(value, list):
-            todo += reversed(value)
-        elif isinstance(value, dict):
-            name = value.get("name")
-            if isinstance(name, str) and name:
-                contract = contract or (name if value.get("type") == "contract" else "")
-                function = function or (name if value.get("type") == "function" else "")
-            at = value.get("source_mapping")
-            if place is None and isinstance(at, dict) and at.get("lines"):
-                place = (at.get("filename_relative") or at.get("filename_short") or at.get("filename_absolute") or "", min(at["lines"]), max(at["lines"]))
-            todo += reversed(list(value.values()))
-    return (contract, function, *(place or ("", None, None)))
-
-
 def _contracts(content: pd.Series) -> pd.Series:
     return content.map(contract_spans)
 
@@ -120,11 +95,6 @@ def _first_json(text: pd.Series) -> pd.Series:
     return text.map(first_json)
 
 
-def _walk(elements: pd.Series) -> pd.DataFrame:
-    rows = pd.DataFrame(elements.map(walk_elements).tolist(), columns=["contract", "function", "file", "line_start", "line_end"])
-    return rows.astype({"line_start": "Int32", "line_end": "Int32"})
-
-
 def parse_contract_spans(content: ColumnOrName) -> Column:
     return F.pandas_udf(_contracts, CONTRACT_SPANS)(content)
 
@@ -135,7 +105,3 @@ def parse_function_spans(body: ColumnOrName) -> Column:
 
 def first_json_object(text: ColumnOrName) -> Column:
     return F.pandas_udf(_first_json, "string")(text)
-
-
-def walk_elements_json(elements: ColumnOrName) -> Column:
-    return F.pandas_udf(_walk, "contract string, function string, file string, line_start int, line_end int")(elements)

@@ -164,7 +164,7 @@ def ext_10(spark, d):
 
 @register("udf_02_walk_elements", "findings", "SELECT key, contract, function, file, line_start, line_end FROM findings")
 def udf_02(spark, d):
-    from ..functions.spans import walk_elements_json
+    from ..functions.deep import walk_elements_json
 
     rows = N.detectors_of(A.reports(spark, d), ["key"])
     return rows.select("key", walk_elements_json(F.get_json_object("detector", "$.elements")).alias("x")).select("key", "x.*")

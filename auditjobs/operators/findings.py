@@ -66,7 +66,7 @@ def flatten_elements(detectors: DataFrame, detector_col: str = "detector") -> Da
     """Adds contract, function and location, from a pre-order walk of elements and their parents.
 
     The walk is an array of nodes, each element followed by its parents; the first named contract and function
-    count, and the first node with lines. Three levels; deeper reports take the pandas walk in functions.spans.
+    count, and the first node with lines. Three levels; deeper reports take the walk in functions.deep.
     """
     d = F.from_json(detector_col, DETECTOR)
 

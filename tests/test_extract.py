@@ -1,8 +1,11 @@
 """Golden cases of the source patterns, quirks included."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from auditjobs.functions import deep as deep_json
 from auditjobs.functions import spans
 from auditjobs.operators import extract as E
 
@@ -113,8 +116,39 @@ def test_first_json(text, found):
     assert spans.first_json(text) == found
 
 
-def test_deep_walk():
+def walked(text):
+    """Brute force: a pre-order walk with keys in sorted order."""
+    try:
+        todo = [json.loads(text or "[]")]
+    except ValueError:
+        todo = []
+    contract = function = ""
+    place = None
+    while todo:
+        value = todo.pop()
+        if isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, dict):
+            name = value.get("name")
+            if isinstance(name, str) and name:
+                contract = contract or (name if value.get("type") == "contract" else "")
+                function = function or (name if value.get("type") == "function" else "")
+            at = value.get("source_mapping")
+            if place is None and isinstance(at, dict) and at.get("lines"):
+                place = (at.get("filename_relative") or at.get("filename_short") or at.get("filename_absolute") or "", min(at["lines"]), max(at["lines"]))
+            todo += [value[k] for k in sorted(value, reverse=True)]
+    return (contract, function, *(place or ("", None, None)))
+
+
+def test_deep_walk(spark):
     node = '{"type": "function", "name": "f", "type_specific_fields": {"parent": {"type": "x", "name": "", "p": {"q": {"r": {"type": "contract", "name": "C", "source_mapping": {"lines": [9, 7], "filename_relative": "", "filename_short": "s.sol"}}}}}}}'
-    assert spans.walk_elements(f"[{node}]") == ("C", "f", "s.sol", 7, 9)
-    assert spans.walk_elements("broken") == ("", "", "", None, None)
-    assert spans.walk_elements(None) == ("", "", "", None, None)
+    assert walked(f"[{node}]") == ("C", "f", "s.sol", 7, 9)
+    deep = node
+    for _ in range(30):
+        deep = f'{{"x": [1, "[{{\\" {{", {deep}], "name": 5, "type": "contract"}}'
+    texts = [f"[{node}]", "broken", None, "", "[]", "7", '"[x"', f"[{deep}]", f"[[], {{}}, null, {deep}, {node}]", '[{"type": "contract", "name": "A", "source_mapping": {"lines": []}}, {"type": "contract", "name": "B", "source_mapping": null}]']
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, e string")
+    found = table.select("i", deep_json.walk_elements_json("e").alias("w"))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert {r.i: tuple(r.w) for r in found.collect()} == {i: walked(t) for i, t in enumerate(texts)}
+    assert table.limit(0).select(deep_json.walk_elements_json("e")).count() == 0
