@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import pick
+from ._io import Scratch, pick
 from ._memory import lean
 from ._text import BYTE_VALUES, SEPARATORS, hashes, runs, spans, sums
 
 #: Documents that the field is fitted on, at most. Chosen by a hash of their id among the labelled rows given.
 FIT_DOCUMENTS = 6000
+#: Lines that the field is fitted on, at most, which bounds what comes to the driver: documents count in the order of the hash until their lines are more.
+FIT_LINES = 600_000
+#: Features are formed for so many lines at a time.
+WINDOW_LINES = 1 << 15
 
 _KINDS = {"upper": 1, "lower": 2, "digit": 3, "mark": 4, "symbol": 5, "pipe": 6, "bang": 7, "beyond": 8}
 KIND = np.zeros(256, np.int64)
@@ -28,28 +32,30 @@ KINDS = 9
 OWN = 14
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lengths, first line of each document and the end) of the lines of a run of documents.
+def document_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where lines start, their lengths without line feeds, first line of each document and the end) of a run of documents.
 
-    A document has one line more than it has line feeds; an empty one has one
-    empty line. Features of a line are followed by those of its neighbours.
+    A document has one line more than it has line feeds; an empty one has one empty line.
     """
     feeds = np.flatnonzero(data == 10)
     docs = len(offsets) - 1
     starts = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
     first = np.searchsorted(feeds, offsets) + np.arange(docs + 1)
     # an empty document's only line starts where the next document's first line does: order by document
-    n = len(starts)
-    ends = np.empty(n, np.int64)
+    ends = np.empty(len(starts), np.int64)
     ends[:-1] = starts[1:]
-    last = first[1:] - 1
     ends -= 1
-    ends[last] = offsets[1:]
-    length = np.maximum(ends - starts, 0)
+    ends[first[1:] - 1] = offsets[1:]
+    return starts, np.maximum(ends - starts, 0), first
+
 
-    line = np.repeat(np.arange(n), np.diff(np.append(starts, len(data))))
+def line_features(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The OWN features of each of some adjoining lines. data begins with the first and ends with the last."""
+    n = len(starts)
+    bounds = np.append(starts, len(data))
+    line = np.repeat(np.arange(n), np.diff(bounds))
     kinds = np.bincount(line * KINDS + KIND[data], minlength=n * KINDS).reshape(n, KINDS).astype(np.float64)
-    word_from, word_to, _ = spans(SEPARATORS[data], offsets)
+    word_from, word_to, _ = spans(SEPARATORS[data], bounds)
     of = line[word_from] if len(word_from) else word_from
     words = np.bincount(of, minlength=n).astype(np.float64)
     h = hashes(sums(data, BYTE_VALUES), word_from, word_to)
@@ -59,7 +65,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     short = np.bincount(of[(word_to - word_from) <= 3], minlength=n)
     some, letters = np.maximum(words, 1), np.maximum(kinds[:, 1] + kinds[:, 2] + kinds[:, 8], 1)
     share = kinds / np.maximum(length, 1)[:, None]
-    own = np.stack(
+    return np.stack(
         [
             np.ones(n),
             np.log1p(length) / 8,
@@ -78,11 +84,65 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         ],
         axis=1,
     )
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first[:-1]] = 0
-    after[last] = 0
-    return np.concatenate([own, before, after], axis=1), length, first
+
+
+def windows(data: np.ndarray, starts: np.ndarray, length: np.ndarray, most: int = WINDOW_LINES):
+    """(first line, one past the last, their features) for at most so many lines at a time."""
+    for a in range(0, len(starts), most):
+        b = min(a + most, len(starts))
+        lo, hi = starts[a], starts[b] if b < len(starts) else len(data)
+        yield a, b, line_features(data[lo:hi], starts[a:b] - lo, length[a:b])
+
+
+def log_odds(scores: np.ndarray, between: np.ndarray, first: np.ndarray, block: int | None = None) -> np.ndarray:
+    """Log-odds of label 1 at each line given the lines up to it, in chains over two labels.
+
+    scores: log potentials of label 1 over label 0; between: (2, 2). Chains are cut in blocks that advance together, a line at a time:
+    first the map of each block from the odds before it to those at its end, then the odds along the blocks of a
+    chain, then the odds within blocks. A chain of n lines takes about three times its square root in steps.
+    """
+    out, sizes = scores.copy(), np.diff(first) - 1  # the first line of a chain has nothing before it
+    block = block or max(64, int(np.sqrt(sizes.max(initial=0))) + 1)
+    count = -(-sizes // block)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    chain = np.repeat(np.arange(len(sizes)), count)
+    start = first[:-1][chain] + 1 + place * block
+    length = np.minimum(block, sizes[chain] - place * block)
+    order = np.argsort(-length, kind="stable")
+    before = scores[start - 1]  # right for the first block of a chain
+
+    def lines(blocks):
+        longest = length[blocks]
+        for t in range(int(longest[0]) if len(blocks) else 0):
+            now = blocks[: np.searchsorted(-longest, -t, "left")]
+            yield now, start[now] + t
+
+    if len(count) and count.max() > 1:
+        maps = np.zeros((2, 2, len(start)))  # log weight of (label before the block, label now)
+        maps[0, 1] = maps[1, 0] = -np.inf
+        for now, at in lines(order[place[order] + 1 < count[chain[order]]]):
+            m = maps[:, :, now]
+            new = np.stack([np.stack([np.logaddexp(m[i, 0] + between[0, j], m[i, 1] + between[1, j]) for j in (0, 1)]) for i in (0, 1)])
+            new[:, 1] += scores[at]
+            maps[:, :, now] = new - new.max(axis=(0, 1))
+        by_place = np.argsort(place, kind="stable")
+        for now in np.split(by_place, np.cumsum(np.bincount(place))[:-1])[1:]:
+            m, r = maps[:, :, now - 1], before[now - 1]
+            before[now] = np.logaddexp(m[0, 1], m[1, 1] + r) - np.logaddexp(m[0, 0], m[1, 0] + r)
+    (b00, b01), (b10, b11) = between
+    for now, at in lines(order):
+        r = before[now]
+        before[now] = out[at] = scores[at] + np.logaddexp(b01, b11 + r) - np.logaddexp(b00, b10 + r)
+    return out
+
+
+def good_marginals(scores: np.ndarray, between: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Probability of label 1 at each line, by :func:`log_odds` from both ends."""
+    n = len(scores)
+    odds = log_odds(scores, between, first)
+    odds += log_odds(scores[::-1].copy(), between.T, n - first[::-1])[::-1]
+    odds -= scores
+    return 0.5 + 0.5 * np.tanh(odds / 2)
 
 
 def forward_backward(scores: np.ndarray, between: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -147,34 +207,57 @@ def fit(features: np.ndarray, first: np.ndarray, good: np.ndarray, steps: int =
     return theta
 
 
-def document_scores(theta: np.ndarray, features: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Length-weighted mean of the lines' marginals of being good."""
-    scores = np.stack([np.zeros(len(features)), features @ theta[:-4]], axis=1)
-    good = forward_backward(scores, theta[-4:].reshape(2, 2), first)[0][:, 1]
+def document_scores(theta: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Length-weighted mean of the lines' marginals of being good, of each document of a run.
+
+    A line's score is the sum of its own part and its neighbours'; only these three numbers of a line are held, not its features.
+    """
+    starts, length, first = document_lines(data, offsets)
+    weights = theta[: 3 * OWN].reshape(3, OWN).T
+    parts = np.empty((3, len(starts)))
+    for a, b, own in windows(data, starts, length):
+        parts[:, a:b] = (own @ weights).T
+    scores = parts[0]
+    inner = np.ones(len(starts), bool)
+    inner[first[:-1]] = False
+    at = np.flatnonzero(inner)
+    scores[at] += parts[1, at - 1]
+    scores[at - 1] += parts[2, at]
     weight = length + 1.0
-    return np.clip(np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
+    good = good_marginals(scores, theta[-4:].reshape(2, 2), first) * weight
+    return np.clip(np.add.reduceat(good, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
 
 
 def _fit_rows(stream):
     for batch in stream:
         for lo, data, offsets in runs(batch.column(1)):
-            features, _, first = line_features(data, offsets)
-            own = features[:, :OWN].astype("<f4")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo : lo + len(first) - 1], pa.array([own[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())],
-                ["label", "lines"],
-            )
+            starts, length, first = document_lines(data, offsets)
+            for i, (a, b) in enumerate(zip(first, first[1:])):
+                if b - a <= FIT_LINES:  # others pass any bound alone
+                    own = line_features(data[offsets[i] : offsets[i + 1]], starts[a:b] - offsets[i], length[a:b]).astype("<f4")
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c[lo + i : lo + i + 1] for c in batch.columns[:1] + batch.columns[2:]), pa.array([b - a]), pa.array([own.tobytes()], pa.binary())],
+                        ["rank", "label", "n", "lines"],
+                    )
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_DOCUMENTS) -> np.ndarray:
-    """Weights fitted on at most ``most`` labelled documents for which ``may_learn``, a condition on the id column, holds.
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_DOCUMENTS, lines_most: int = FIT_LINES) -> np.ndarray:
+    """Weights fitted on at most ``most`` labelled documents, of ``lines_most`` lines together, for which ``may_learn``, a condition on the id column, holds.
 
-    With labels of one kind only, or none, every weight is 0 and every score 0.5.
+    Of rows that share an id, the least label and the least text count.
+    With labels of one kind only, or none, every weight is 0 and every score 0.5; so for empty tables.
     """
     known = pick(labels.filter(may_learn), doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    rows = texts.mapInArrow(lean(_fit_rows), "label int, lines binary").toArrow()
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.min("text").alias("text"))
+    ranked = texts.select(F.struct(F.xxhash64("doc_id"), F.col("doc_id").cast("string")).cast("string").alias("rank"), "text", "label")
+    schema = "rank string, label int, n long, lines binary"
+    fitted = Scratch(docs.sparkSession).cut(ranked.mapInArrow(lean(_fit_rows), schema), "lines")
+    so_far = F.sum("n").over(Window.orderBy("rank"))  # over numbers of at most ``most`` rows
+    within = fitted.select("rank", so_far.alias("n")).filter(F.col("n") <= lines_most).select("rank")
+    rows = fitted.join(F.broadcast(within), "rank").select("label", "lines").toArrow()
     good = rows.column("label").to_numpy() > 0
     lines = [np.frombuffer(x, "<f4").reshape(-1, OWN).astype(np.float64) for x in rows.column("lines").to_pylist()]
     if not len(good) or good.all() or not good.any():
@@ -191,13 +274,17 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
 
 
 def score(docs: DataFrame, theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, and as column0, column1, ... the columns named in ``keep``: one narrow pass over whole texts. Null texts count as empty."""
+    """doc_id, score, and as column0, column1, ... the columns named in ``keep``: one narrow pass over whole texts.
+
+    Null texts count as empty, one row comes out per row given, none for an empty table; null and repeated ids are carried. Columns
+    of other names in ``docs`` play no part. A task holds some 80 bytes for each line of its longest text.
+    """
 
     def batches(stream):
         for batch in stream:
             out = np.zeros(batch.num_rows)
             for lo, data, offsets in runs(batch.column(1)):
-                out[lo : lo + len(offsets) - 1] = document_scores(theta, *line_features(data, offsets))
+                out[lo : lo + len(offsets) - 1] = document_scores(theta, data, offsets)
             held = iter(batch.columns[2:])
             carried = [batch.column(0) if c == id_col else batch.column(1) if c == text_col else next(held) for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *carried], ["doc_id", "score", *(f"column{i}" for i in range(len(keep)))])

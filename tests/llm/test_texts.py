@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -341,6 +342,46 @@ def test_forward_backward_sums_over_all_labelings():
     assert total == pytest.approx(whole) and moves == pytest.approx(seen)
 
 
+@pytest.mark.parametrize("block", [None, 1, 2, 7])
+def test_marginals_by_blocks_equal_forward_backward(block):
+    rng = np.random.default_rng(5)
+    first = np.array([0, 1, 3, 900, 901, 1000])
+    scores, between = np.zeros((1000, 2)), rng.normal(size=(2, 2)) * 3
+    scores[:, 1] = rng.normal(size=1000) * 5
+    want = quality_crf.forward_backward(scores, between, first)[0][:, 1]
+    ahead = quality_crf.log_odds(scores[:, 1], between, first, block)
+    back = quality_crf.log_odds(scores[::-1, 1].copy(), between.T, 1000 - first[::-1], block)[::-1]
+    assert 1 / (1 + np.exp(scores[:, 1] - ahead - back)) == pytest.approx(want, abs=1e-9)
+    assert quality_crf.good_marginals(scores[:, 1], between, first) == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_of_windows_and_of_very_many_lines(monkeypatch):
+    theta = np.linspace(-1, 1, 3 * quality_crf.OWN + 4)
+    texts = [b"", b"A b.\n" * 40, b"", b"\n\nx", b"one two two | 3!\nlow"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    whole = quality_crf.document_scores(theta, data, offsets)
+    monkeypatch.setattr(quality_crf.windows, "__defaults__", (3,))
+    assert quality_crf.document_scores(theta, data, offsets) == pytest.approx(whole, abs=1e-12)
+    monkeypatch.undo()
+    feeds = np.full(4 << 20, 10, np.uint8)
+    tracemalloc.start()
+    score = quality_crf.document_scores(theta, feeds, np.array([0, len(feeds)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 120 * len(feeds)
+
+
+def test_fit_of_repeated_ids_and_bounded_lines(spark):
+    docs = spark.createDataFrame([(i % 9, f"Good line {i % 9}.\n" * 3 if i % 2 else "|| 9 !!\n" * 3) for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    once = quality_crf.train(docs, labels, F.lit(True))
+    assert quality_crf.train(docs.union(docs), labels.union(labels), F.lit(True)) == pytest.approx(once)
+    few = quality_crf.train(docs.union(spark.createDataFrame([(99, "\n" * 50)], docs.schema)), labels.union(spark.createDataFrame([(99, 1)], labels.schema)), F.lit(True), lines_most=40)
+    assert few.shape == once.shape and np.isfinite(few).all()
+    assert not quality_crf.train(docs, labels, F.lit(True), lines_most=0).any()
+
+
 ODD = [(1, None), (2, ""), (3, "\n\n\n"), (4, "x" * 300_000), (5, "A b.\n" * 3000), (None, "no id"), (6, "same"), (6, "same")]
 
 
