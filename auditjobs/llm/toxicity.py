@@ -138,14 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
     """A model fitted on a bounded sample of the labelled documents for which ``may_learn`` (on the id column) holds.
 
     Features are counted in Spark over the whole texts of the sample; the best
-    ``FEATURES`` come to the driver, then each document's few of them. Without
-    labels of both kinds every score is 0.
+    ``FEATURES`` come to the driver, then each document's few of them. Of rows that share
+    an id, the least label and the least text count. Without labels of both kinds, or with empty tables, every score is 0.
     """
     known = pick(labels.filter(may_learn), doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null")
-    known = known.select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
+    known = known.groupBy("doc_id").agg((F.min("label") > 0).cast("int").alias("label"))
     sample = lambda kind, n: known.filter(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = sample(1, most_toxic).unionByName(sample(0, most_clean))
-    texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("label", "text").persist()
+    found = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text").persist()
     try:
         sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(sizes) < 2:

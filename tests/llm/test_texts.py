@@ -372,6 +372,14 @@ def test_quality_of_windows_and_of_very_many_lines(monkeypatch):
     assert 0 <= score[0] <= 1 and peak < 120 * len(feeds)
 
 
+def test_toxicity_fit_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, f"you utter scum and filth {i}" if i % 2 else f"a pleasant walk in the garden {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    once, twice = toxicity.train(docs, labels, F.lit(True)), toxicity.train(docs.union(docs), labels.union(labels), F.lit(True))
+    scores = [{r.doc_id: r.score for r in toxicity.score(docs, m).collect()} for m in (once, twice)]
+    assert scores[0] == pytest.approx(scores[1]) and min(scores[0][i] for i in range(1, 40, 2)) > max(scores[0][i] for i in range(0, 40, 2))
+
+
 def test_fit_of_repeated_ids_and_bounded_lines(spark):
     docs = spark.createDataFrame([(i % 9, f"Good line {i % 9}.\n" * 3 if i % 2 else "|| 9 !!\n" * 3) for i in range(9)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
