@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import calls, context, extract, findings, graph, history, postings, replies
 from ..sources import files
 
+#: Findings of one contract beyond which tables are not laid out by contract, since a bucket is one task's.
+HOT_FINDINGS = 100_000
+
 
 class Store:
     """Tables below a folder. Those of inputs have a partition a repository, which is replaced as a whole, also by no rows."""
@@ -26,6 +30,13 @@ class Store:
         held = self.spark.read.schema(kept.schema).parquet(at)
         return held if repo is None else held.select(F.lit(repo).alias("repo"), *held.columns)
 
+    def put_buckets(self, name: str, rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
+        """Write a whole table in sorted buckets. Tables of as many buckets by keys of one meaning join on them without an exchange."""
+        table = f"store_{zlib.crc32(self.root.encode()):08x}_{name}"
+        laid = rows.repartition(buckets, *by).write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, *by).sortBy(*by)
+        laid.option("path", f"{self.root}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
     def get(self, name: str) -> DataFrame:
         """The table with all repositories; their names stay text, whatever they look like."""
         at = f"{self.root}/{name}"
@@ -63,10 +74,28 @@ def read_findings(spark: SparkSession, reports: str, repo: str, store: Store) ->
     store.put("findings", findings.normalize_findings(detectors, ["repo", "detector"], ["repo"]).dropDuplicates(["id"]), repo)
 
 
-def assemble_contexts(store: Store, as_of: Column, max_tokens: int = 30_000, batch_size: int = 10) -> DataFrame:
-    """contexts: repo, id, batch, batches, context, used of every finding worth acting on, of all repositories in the store."""
-    wanted = findings.prefilter_findings(store.get("findings"))
-    elements = context.all_elements(wanted, store.get("sources"), store.get("contracts"), store.get("functions"), store.get("commits"), store.get("numstat"), as_of)
+def by_contract(store: Store, wanted: DataFrame, contracts: DataFrame, functions: DataFrame, buckets: int, hot: int = HOT_FINDINGS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(findings, functions, contract texts), laid out in matching buckets by repository and contract where no contract has over ``hot`` findings.
+
+    Otherwise findings and functions as given and None: their joins then shuffle, and adaptive execution splits the hot contract.
+    Joins on these keys and more (a function's name) go without an exchange where spark.sql.requireAllClusterKeysForCoPartition is false.
+    """
+    most = wanted.groupBy("repo", "contract").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > hot:
+        return wanted, functions, None
+    put = lambda name, rows, key: store.put_buckets(f"{name}_by_contract", rows, ["repo", key], buckets)
+    functions = put("functions", functions, "contract")
+    return put("findings", wanted, "contract"), functions, put("texts", context.contract_text(contracts, functions), "name")
+
+
+def assemble_contexts(store: Store, as_of: Column, max_tokens: int = 30_000, batch_size: int = 10, buckets: int = 200) -> DataFrame:
+    """contexts: repo, id, batch, batches, context, used of every finding worth acting on, of all repositories in the store.
+
+    buckets: of the tables that contexts join by contract; some 100 MB of contract texts a bucket suit a task.
+    """
+    contracts = store.get("contracts")
+    wanted, functions, texts = by_contract(store, findings.prefilter_findings(store.get("findings")), contracts, store.get("functions"), buckets)
+    elements = context.all_elements(wanted, store.get("sources"), contracts, functions, store.get("commits"), store.get("numstat"), as_of, texts=texts)
     packed = context.pack_context(elements, max_tokens)
     batches = findings.assign_batches(wanted, ["id"], batch_size).select("repo", "id", "batch", "batches")
     return store.put("contexts", batches.join(packed, "id"))

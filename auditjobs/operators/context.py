@@ -186,12 +186,14 @@ def context_elements(parts: dict[str, DataFrame], switched_off: tuple[str, ...]
     return reduce(DataFrame.unionByName, found)
 
 
-def all_elements(findings: DataFrame, sources: DataFrame, contracts: DataFrame, functions: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, switched_off: tuple[str, ...] = ()) -> DataFrame:
+def all_elements(findings: DataFrame, sources: DataFrame, contracts: DataFrame, functions: DataFrame, commits: DataFrame, numstat: DataFrame, as_of: Column, switched_off: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
     """The elements of all eight kinds from findings, an index (contracts, functions) and a history, less those switched off.
 
     What several kinds read (edges, texts, call edges) is made once and written; pass an index that is written too.
+    texts: what contract_text makes of them, if that is written already.
     """
-    edges, texts = cut(build_edges(contracts, functions)), cut(contract_text(contracts, functions))
+    edges = cut(build_edges(contracts, functions))
+    texts = cut(contract_text(contracts, functions)) if texts is None else texts
     calls = cut(call_edges(functions, extract_state_vars(contracts), contracts))
     parts = {
         "finding": lambda: findings.select("id", finding_text().alias("content")),

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from auditjobs.jobs import files as J
+from auditjobs.operators import context
 from auditjobs.operators.replies import SUBMISSION_PREFIX
 from auditjobs.sources.files import read_report
 
@@ -85,3 +86,31 @@ def test_a_repository_again_replaces_only_itself(spark, tmp_path):
     (tmp_path / "a/tree/src/Vault.sol").write_text("contract New {\n}\n")
     J.index_sources(spark, str(tmp_path / "a/tree"), "a", store)
     assert {(r.repo, r.name) for r in store.get("contracts").collect()} == {("a", "New"), ("a", "Token"), ("b", "Vault"), ("b", "Base"), ("b", "Token")}
+
+
+def test_contexts_join_tables_by_contract_without_exchange(spark, tmp_path):
+    store = J.Store(spark, str(tmp_path / "store"))
+    files_of(tmp_path / "a", "Token")
+    J.index_sources(spark, str(tmp_path / "a/tree"), "a", store)
+    J.read_findings(spark, str(tmp_path / "a/report.json"), "a", store)
+    given = store.get("findings"), store.get("contracts"), store.get("functions")
+    wanted, functions, texts = J.by_contract(store, *given, buckets=3)
+    plain = J.by_contract(store, *given, buckets=3, hot=2)
+    assert plain == (given[0], given[2], None)  # three findings of one contract
+    rows = lambda df: sorted(map(str, df.collect()))
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        found = context.finding_contracts(wanted, texts)
+        assert "Exchange" not in plan(found) and "SortMergeJoin" in plan(found)
+        assert rows(found) == rows(context.finding_contracts(given[0], context.contract_text(given[1], given[2]))) and len(rows(found)) == 3
+        own = lambda f, g: f.select("id", "repo", "contract", F.col("function").alias("name")).join(g.select("repo", "contract", "name", "storage_writes"), ["repo", "contract", "name"])
+        assert "Exchange" not in plan(own(wanted, functions)) and rows(own(wanted, functions)) == rows(own(given[0], given[2]))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    again, _, _ = J.by_contract(store, given[0].limit(0), given[1], given[2], buckets=5)  # no findings, other buckets, same place
+    assert again.count() == 0
