@@ -153,3 +153,34 @@ def test_registered_chains_and_history_are_whole(spark):
     found = {r.seed: r.chain for r in queries["gr_05_call_chain"](spark, DATA).collect()}
     assert found == {x: expected(x) for x in list(out)}
     assert {r.section for r in queries["jn_10_finding_history"](spark, DATA).select("section").distinct().collect()} >= {4}
+
+
+def walks_of_three(pairs):
+    """(start, node, least number of hops) over all starts."""
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    found = set()
+    for start in list(out):
+        seen, level = {start}, {start}
+        for depth in (1, 2, 3):
+            level = set().union(*(out.get(x, set()) for x in level)) - seen
+            seen |= level
+            found |= {(start, x, depth) for x in level}
+    return found
+
+
+def closures(spark, name):
+    from tests.conftest import DATA
+
+    import __spark_entry__
+    from auditjobs.jobs import adapters as A
+
+    edges = [(r.source, r.target) for r in A.adapted(spark, DATA, "edges").collect()]
+    return edges, [tuple(r) for r in __spark_entry__.queries()[name](spark, DATA).collect()]
+
+
+def test_registered_dependencies_ask_every_node(spark):
+    edges, found = closures(spark, "gr_02_dependencies")
+    assert sorted(found) == sorted(walks_of_three(edges))
+    assert {x for x, _, _ in found} == {a for a, _ in edges}
