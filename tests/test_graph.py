@@ -184,3 +184,9 @@ def test_registered_dependencies_ask_every_node(spark):
     edges, found = closures(spark, "gr_02_dependencies")
     assert sorted(found) == sorted(walks_of_three(edges))
     assert {x for x, _, _ in found} == {a for a, _ in edges}
+
+
+def test_registered_dependents_ask_every_node(spark):
+    edges, found = closures(spark, "gr_03_dependents")
+    assert sorted(found) == sorted(walks_of_three([(b, a) for a, b in edges]))
+    assert {x for x, _, _ in found} == {b for _, b in edges}
