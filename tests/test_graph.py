@@ -190,3 +190,10 @@ def test_registered_dependents_ask_every_node(spark):
     edges, found = closures(spark, "gr_03_dependents")
     assert sorted(found) == sorted(walks_of_three([(b, a) for a, b in edges]))
     assert {x for x, _, _ in found} == {b for _, b in edges}
+
+
+def test_registered_report_asks_every_node(spark):
+    edges, found = closures(spark, "gr_06_dependency_report")
+    down, up = walks_of_three(edges), walks_of_three([(b, a) for a, b in edges])
+    label = lambda x: "(contract)" if x[0] == "S" else "(external)"
+    assert sorted(found) == sorted([(a, "depends on", b, label(b)) for a, b, _ in down] + [(a, "used by", b, "") for a, b, _ in up])
