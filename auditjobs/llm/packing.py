@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _encode_each(encoder, pattern, ends, words: list[str]) -> list[bytes]:
 
     Without a pattern each word is one part.
     """
-    ids = np.array(encoder.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    ids = np.array(encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
     counts = [len(pattern.findall(unicodedata.normalize("NFC", word).lower())) for word in words] if pattern else np.ones(len(words), int)
     parts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     stops = np.flatnonzero(ends[ids]) + 1
@@ -73,9 +74,14 @@ def encode_words(texts: list[str], path: str, words_kept: int = WORDS_KEPT) -> l
     encoder, plain, pattern, ends, known = _encoder(path)
     if len(known) > words_kept:
         known.clear()
+    if not texts:
+        return []
     # the encoder lower-cases by itself; done before, forms of a word meet in one entry (the skipped letters fold by context)
-    split = [(text if "Σ" in text or "İ" in text else text.lower()).replace("\n", " ").split(" ") for text in texts]
-    new = list(set().union(*split).difference(known))
+    folded = pa.array([(text if "Σ" in text or "İ" in text else text.lower()).replace("\n", " ") for text in texts], pa.large_string())
+    split = pc.split_pattern(folded, " ")
+    met = pc.dictionary_encode(split.flatten())
+    words = met.dictionary.to_pylist()  # each word of these texts once
+    new = [word for word in words if word not in known]
     closed = [word for word in new if word[-1:] in _CLOSING and word[-2:-1] in _PLAIN]
     if closed:  # a part ends between a letter and a mark, so the word and the mark are encoded apart
         taken = set(closed)
@@ -83,17 +89,31 @@ def encode_words(texts: list[str], path: str, words_kept: int = WORDS_KEPT) -> l
     simple, rest = [], []
     for word in new:
         (simple if word and _PLAIN.issuperset(word) else rest).append(word)
-    for words, by, split_at in ((simple, plain, None), (rest, encoder, pattern)):
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+    for some_words, by, split_at in ((simple, plain, None), (rest, encoder, pattern)):
+        for at in range(0, len(some_words), 4096):
+            some = some_words[at : at + 4096]
             known.update(zip(some, _encode_each(by, split_at, ends, some)))
     known.update([(word, known[word[:-1]] + known[word[-1]]) for word in closed])
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
+    ids = [known[word] for word in words]
+    out = _laid_out(ids, met.indices.to_numpy(), split.offsets.to_numpy())
     for word in [word for word in new if len(word) > 64] + [word for word in closed if len(word) > 64]:
         del known[word]
     return out
 
 
+def _laid_out(ids: list[bytes], places: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The ids of each text, whose words offsets[i] to offsets[i + 1] have the ids at their places."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    first = np.cumsum(size) - size
+    lengths = size[places]
+    ends = np.cumsum(lengths)
+    take = np.repeat(first[places] - (ends - lengths), lengths)
+    take += np.arange(len(take))
+    data = np.frombuffer(b"".join(ids), "<u4")[take].tobytes()
+    at = (np.append(0, ends)[offsets] * 4).tolist()
+    return [data[i:j] for i, j in zip(at, at[1:])]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the closing id, cut every ``capacity`` ids.
 
@@ -101,7 +121,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
     closing = np.array([end_id], "<u4").tobytes()
 
-    def runs(texts, most=1 << 20):
+    def runs(texts, most=1 << 22):
         run, size = [], 0
         for i, text in texts:
             run.append((i, text))

@@ -146,3 +146,23 @@ def test_top_k_of_components_beyond_64_bits(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(same_rows, name):
     same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_each_word_of_a_run_is_looked_up_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = ["", " ", "One two, two. TWO\n\nΣΑΣ İstanbul", "naïve  e\u0301 x" + "y" * 80 + ", z\t9.", "the cat, the dog. " * 5000]
+    asked = []
+
+    class Known(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return dict.__getitem__(self, word)
+
+    held = packing._encoder(WORD)
+    monkeypatch.setattr(packing, "_encoder", lambda _: (*held[:4], Known()))
+    plain = Tokenizer.from_file(WORD)
+    wanted = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.encode_words(texts, WORD) == wanted
+    assert len(asked) < 60  # not the 20,000 words
+    assert packing.encode_words([], WORD) == [] and packing.encode_words(["", ""], WORD) == [b"", b""]
