@@ -61,11 +61,13 @@ def needed(size_a, size_b, num: int, den: int):
 # ---- frequent shingles -------------------------------------------------------------------------
 
 
-def frequent_cells(texts: DataFrame, n: int) -> np.ndarray:
-    """Bitmap over cells of shingle hashes: which count far more than the mean cell, over all texts.
+def frequent_cells(texts: DataFrame, n: int, total: int) -> np.ndarray:
+    """Bitmap over cells of shingle hashes: which count far more than the mean cell, over all texts, whose sets have ``total`` shingles.
 
-    It only decides which lists the search treats as long, never a result. Its size is fixed.
+    It only decides which lists the search treats as long, never a result. Its size is fixed. Counts are summed and
+    judged in one pass, so that only flags leave the tasks and no table of counts is written.
     """
+    least = FREQUENT_TIMES * total / CELLS + FREQUENT_LEAST
 
     def count(stream):
         cells, held, waiting = np.zeros(CELLS, np.uint32), [], 0
@@ -86,30 +88,17 @@ def frequent_cells(texts: DataFrame, n: int) -> np.ndarray:
         for i in range(0, CELLS, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([cells[i : i + CHUNK].astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
 
-    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        chunk = None
+    def flag(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, chunk = np.zeros(CHUNK, np.int64), None
         for batch in groups:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(counts, "<u4").astype(np.int64)
-                total = part if total is None else total + part
-        packed = np.minimum(total, 2**31 - 1).astype("<i4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["chunk", "counts", "total"])
-
-    scratch = Scratch(texts.sparkSession)
-    summed = scratch.cut(
-        texts.mapInArrow(lean(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary, total long"), "cells"
-    )
-    total = summed.agg(F.sum("total")).first()[0] or 0
-    least = FREQUENT_TIMES * total / CELLS + FREQUENT_LEAST
-
-    def flag(stream):
-        for batch in stream:
-            flags = [np.packbits(np.frombuffer(c, "<i4") >= least).tobytes() for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary())], ["chunk", "flags"])
+            chunk = batch.column(0)[0].as_py()
+            for counts in batch.column(1):
+                counted += np.frombuffer(counts.as_buffer(), "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(counted >= least).tobytes()], pa.binary())], ["chunk", "flags"])
 
     bitmap = np.zeros((CELLS // CHUNK, CHUNK // 8), np.uint8)
-    for row in summed.select("chunk", "counts").mapInArrow(lean(flag), "chunk int, flags binary").collect():  # CELLS / 8 bytes in all
+    flagged = texts.mapInArrow(lean(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(flag, "chunk int, flags binary")
+    for row in flagged.collect():  # CELLS / 8 bytes in all
         bitmap[row["chunk"]] = np.frombuffer(row["flags"], np.uint8)
     return bitmap.ravel()
 
@@ -654,7 +643,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     sets = scratch.cut(base.select("rid", "doc_id", "text").mapInArrow(lean(sized), f"rid long, doc_id {kind}, n_shingles long, sid long"), "sets")
     texts = base.select("text")
-    bitmap = frequent_cells(texts, n)
+    bitmap = frequent_cells(texts, n, sets.agg(F.sum("n_shingles")).first()[0] or 0)
     groups = components(candidate_edges(texts, n, num, den, bitmap).distinct(), scratch)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
     chosen = sets.filter("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"))

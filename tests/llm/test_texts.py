@@ -8,6 +8,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -603,3 +604,14 @@ def test_stages_equal_brute_force(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 4096 and len(ends) == len(bins)
+
+
+def test_frequent_cells_are_counted_in_one_pass_without_a_table(spark, monkeypatch):
+    texts = [t for _, t in corpus()] + [None, ""]
+    sets = [tokens for _, tokens in ngram_join.shingle_sets(pa.array(texts, pa.string()), 3)]
+    counted = np.bincount((np.concatenate(sets) >> np.uint64(42)).astype(np.int64), minlength=ngram_join.CELLS)
+    wanted = np.packbits(counted >= ngram_join.FREQUENT_TIMES * counted.sum() / ngram_join.CELLS + ngram_join.FREQUENT_LEAST)
+    cuts = []
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name="t": cuts.append(name) or df)
+    found = ngram_join.frequent_cells(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3, int(counted.sum()))
+    assert (found == wanted).all() and found.any() and not cuts
