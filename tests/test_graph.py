@@ -102,6 +102,35 @@ def test_chain(spark, seed, fanout):
     assert found == {f"n{i}": chain(edges, f"n{i}", 3, fanout) for i in range(10)}
 
 
+def written_rows(spark, make):
+    """The rows of the scratch tables that ``make`` writes."""
+    import glob
+
+    from auditjobs.sources.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    old = set(glob.glob(f"{folder}/cut-*"))
+    result = make()
+    return result, sum(spark.read.parquet(x).count() for x in set(glob.glob(f"{folder}/cut-*")) - old)
+
+
+def test_chains_write_no_row_a_seed_and_node(spark):
+    edges = [(f"n{i}", f"n{(i * 5 + j) % 60}") for i in range(60) for j in range(5)]
+    df = frame(spark, edges, ("src", "dst"))
+    seeds = spark.createDataFrame([("r", f"n{i}") for i in range(60)], "repo string, seed string")
+    found, rows = written_rows(spark, lambda: {r.seed: r.chain for r in G.call_chain(df, seeds, 3).collect()})
+    assert found == {f"n{i}": chain(edges, f"n{i}", 3, 5) for i in range(60)}
+    assert rows <= 60 * (5 + 4 + 1)  # edges, nodes near the seeds and pieces; queues of all seeds held 60 nodes each
+
+
+def test_chain_of_names_with_marks(spark):
+    names = ["a\x01", "a", "b\x01bi", "\x01a", "x\ny", "[external]", "-> c", "a\x01b", "\x01i\x01x"]
+    edges = sorted({(a, b) for i, a in enumerate(names[:-1]) for b in (names[(i * 2) % 9], names[(i + 4) % 9], names[i])})
+    seeds = spark.createDataFrame([("r", x) for x in names + ["alone"]], "repo string, seed string")
+    found = {r.seed: r.chain for r in G.call_chain(frame(spark, edges, ("src", "dst")), seeds, 4, 2).collect()}
+    assert found == {x: chain(edges, x, 4, 2) for x in names + ["alone"]}
+
+
 def test_search_both_ways(spark):
     terms = spark.createDataFrame([("r", t, c) for t, c in [("vault", "Vault"), ("vaultfactory", "VaultFactory"), ("v", "V"), ("au", "X")]], "repo string, term string, contract string")
     queries = spark.createDataFrame([("Vault",), ("v",), ("zzz",), ("",)], "query string")
