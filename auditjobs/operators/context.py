@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cap_text, flow_text, list_to_text, truncate_text
-from ..sources.scratch import cut
+from ..sources.scratch import cut, shuffled
 from .calls import breaking_changes, call_edges, reentrancy_paths, storage_flows, trace_data_flow
 from .extract import extract_decls, extract_state_vars
 from .graph import build_edges, call_chain, dependencies, first_n_per_key, graph_stats
@@ -135,19 +135,27 @@ def finding_dependencies(findings: DataFrame, edges: DataFrame, texts: DataFrame
 
 
 def finding_call_context(findings: DataFrame, call_edges: DataFrame, functions: DataFrame, max_depth: int = 5) -> DataFrame:
-    """id, content: call chain, first three reentrancy paths of the contract, first five callers of the function."""
+    """id, content: call chain, first three reentrancy paths of the contract, first five callers of the function.
+
+    Texts are made once a function, and the long ones stay where call_chain dealt them: only keys and ids move to them.
+    """
     asked = findings.filter("contract <> '' and function <> ''").select("id", "repo", "contract", "function", F.concat_ws(".", "contract", "function").alias("seed"))
-    chains = call_chain(call_edges, asked.select("repo", "seed"), max_depth)
+    named = cut(asked.select("repo", "contract", "function", "seed").distinct())
+    chains = call_chain(call_edges, named.select("repo", "seed"), max_depth)
     paths = first_n_per_key(reentrancy_paths(functions, call_edges).withColumn("text", F.concat(F.lit("  "), flow_text(F.col("path")))), ["repo", "contract"], ["function"], 3)
     paths = paths.groupBy("repo", "contract").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("paths"))
-    callers = breaking_changes(call_edges, asked)
+    callers = breaking_changes(shuffled(call_edges), named)
     text = F.concat(F.lit("  "), F.concat_ws(".", "affected_contract", "affected_function"), F.when(F.col("is_external"), " (external)").otherwise(" (internal)"))
     callers = first_n_per_key(callers.withColumn("text", text), ["repo", "contract", "function"], ["affected_contract", "affected_function", "is_external"], 5)
     callers = callers.groupBy("repo", "contract", "function").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("callers"))
     lines = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "\n")
-    rows = asked.join(chains, ["repo", "seed"]).join(paths, ["repo", "contract"], "left").join(callers, ["repo", "contract", "function"], "left")
-    content = F.concat_ws("\n", F.lit("=== Call Graph Context ==="), "chain", F.concat(F.lit("\nPotential reentrancy paths:\n"), lines("paths")), F.concat(F.lit("\nBreaking change impact:\n"), lines("callers")))
-    return rows.select("id", content.alias("content"))
+    after = F.concat_ws("\n", F.concat(F.lit("\nPotential reentrancy paths:\n"), lines("paths")), F.concat(F.lit("\nBreaking change impact:\n"), lines("callers")))
+    told = shuffled(named).join(paths, ["repo", "contract"], "left").join(callers, ["repo", "contract", "function"], "left").select("repo", "seed", "contract", "function", after.alias("after"))
+    # names with dots may give several functions one seed
+    told = told.groupBy("repo", "seed").agg(F.collect_list(F.struct("contract", "function", "after")).alias("told"))
+    rows = shuffled(asked).join(shuffled(told).join(chains, ["repo", "seed"]), ["repo", "seed"])
+    own = F.element_at(F.filter("told", lambda x: (x["contract"] == F.col("contract")) & (x["function"] == F.col("function"))), 1)["after"]
+    return rows.select("id", F.concat_ws("\n", F.lit("=== Call Graph Context ==="), "chain", F.when(own != "", own)).alias("content"))
 
 
 def finding_flow_context(findings: DataFrame, functions: DataFrame, flows: DataFrame) -> DataFrame:
