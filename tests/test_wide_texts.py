@@ -2,10 +2,9 @@
 
 from contextlib import contextmanager
 
-from pyspark.sql import functions as F
-
 from auditjobs.operators import calls as C
 from auditjobs.operators import context as X
+from auditjobs.sources.scratch import cut
 
 
 @contextmanager
@@ -61,3 +60,15 @@ def test_call_context_leaves_chains_where_they_are_made(spark):
     assert "Potential reentrancy paths:\n  A.b.c -> " in found["1"] and "Potential" not in found["2"]
     assert found["5"].endswith("Call chain from A.none:\n  (leaf)\n\nPotential reentrancy paths:\n  A.b.c -> x.y")
     assert "\n\nBreaking change impact:\n  A.b.c (internal)" in found["8"]
+
+
+def test_flow_context_broadcasts_no_functions(spark):
+    functions = cut(index(spark)[1])
+    edges = spark.createDataFrame([("r", "S", "A")], "repo string, source string, target string")
+    rows = X.finding_flow_context(cut(findings(spark)), functions, C.storage_flows(functions, edges))
+    # sizes of parsed tables are unknown when plans are made, so neither side of their join with findings may be sent whole
+    assert [x for x in exchanges(rows) if x[0].startswith("Broadcast") and ("storage_reads" in x[1] or {"id", "name"} <= x[1])] == []
+    found = {r.id: r.content for r in rows.collect()}
+    assert sorted(found) == ["1", "2", "3", "4", "8"]
+    assert found["1"] == "=== Data Flow Context ===\nReads: v\nWrites: v, w\n\nData flow for v:\n  A.b.c -> A.b.c (storage)\n  A.b.c -> A.f (storage)\n\nData flow for w:\n  A.b.c -> S.g (storage)"
+    assert found["2"] == "=== Data Flow Context ==="
