@@ -72,3 +72,13 @@ def test_flow_context_broadcasts_no_functions(spark):
     assert sorted(found) == ["1", "2", "3", "4", "8"]
     assert found["1"] == "=== Data Flow Context ===\nReads: v\nWrites: v, w\n\nData flow for v:\n  A.b.c -> A.b.c (storage)\n  A.b.c -> A.f (storage)\n\nData flow for w:\n  A.b.c -> S.g (storage)"
     assert found["2"] == "=== Data Flow Context ==="
+
+
+def test_elements_broadcast_no_texts(spark):
+    from auditjobs.jobs import queries as Q
+
+    from .conftest import DATA
+
+    wide = {"content", "head", "functions", "function_lines", "storage_reads", "calls", "levels", "shown", "text"}
+    rows = Q._all_elements(spark, DATA)
+    assert [x for x in exchanges(rows) if x[0].startswith("Broadcast") and x[1] & wide] == []
