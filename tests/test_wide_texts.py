@@ -82,3 +82,22 @@ def test_elements_broadcast_no_texts(spark):
     wide = {"content", "head", "functions", "function_lines", "storage_reads", "calls", "levels", "shown", "text"}
     rows = Q._all_elements(spark, DATA)
     assert [x for x in exchanges(rows) if x[0].startswith("Broadcast") and x[1] & wide] == []
+
+
+def test_packing_writes_no_texts(spark):
+    import glob
+
+    from auditjobs.sources.scratch import shared_folder
+
+    rows = [("a", 1, 1.0, 0, 100, "x" * 400), ("a", 1, 0.5, 1, 300, "y" * 1200), ("a", 2, 0.5, 2, 10, "z" * 40), ("b", 1, 1.0, 0, 900, "w" * 3600), ("c", 1, 1.0, 0, 450, "v" * 1800), ("c", 1, 1.0, 1, 100, "u" * 400)]
+    elements = spark.createDataFrame(rows, "id string, priority int, relevance double, seq int, tokens int, content string")
+    folder = shared_folder(spark).removeprefix("file:")
+    old = set(glob.glob(f"{folder}/cut-*"))
+    packed = X.pack_context(elements, 350)
+    found = {r.id: (r.context, r.used) for r in packed.collect()}
+    assert set(glob.glob(f"{folder}/cut-*")) == old
+    assert len([x for x in exchanges(packed) if x[1] & {"content", "text"}]) == 1
+    end = "\n... (context truncated)"
+    assert found == {"a": ("x" * 400 + "\n\n" + "y" * 1000 + end, 100), "b": ("w" * 1400 + end, 0), "c": ("v" * 1400 + end, 0)}
+    assert {r.id: (r.context, r.used) for r in X.pack_context(elements, 100).collect()} == {"a": ("x" * 400, 100), "b": ("", 0), "c": ("", 0)}
+    assert {r.id: r.used for r in X.pack_context(elements, 0).collect()} == {"a": 410, "b": 900, "c": 550}
